@@ -27,7 +27,7 @@ from tidewire.llm.common import hash_bitmap, materialize
 from tidewire.llm.graph import connected_components
 
 #: Hash ranges whose counts the suffix filter compares.
-BINS = 32
+BINS = 64
 
 
 def _doc_sets(column, k: int) -> Iterator[np.ndarray]:
@@ -101,19 +101,19 @@ def _prefixes(docs: DataFrame, reps: DataFrame, rarity, k: int, percent: int, id
                 keep.append(i)
                 sizes.append(n)
                 flat.append(at.signed(s[order]))
-                bins.append(np.bincount((s >> np.uint64(59)).astype(np.int64), minlength=BINS).astype(np.int32))
+                bins.append(np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=BINS).astype(np.int16))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([ids[i] for i in keep], pa.int64()),
                     pa.array(sizes, pa.int64()),
                     at.list_column(np.concatenate(flat) if flat else np.zeros(0, np.int64), [len(x) for x in flat], pa.int64()),
-                    at.list_column(np.concatenate(bins) if bins else np.zeros(0, np.int32), [BINS] * len(bins), pa.int32()),
+                    at.list_column(np.concatenate(bins) if bins else np.zeros(0, np.int16), [BINS] * len(bins), pa.int16()),
                 ],
                 names=["doc", "n", "prefix", "bins"],
             )
 
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    out = picked.mapInArrow(run, "doc long, n long, prefix array<long>, bins array<int>")
+    out = picked.mapInArrow(run, "doc long, n long, prefix array<long>, bins array<smallint>")
     return materialize(out.join(reps.select(F.col("rep").alias("doc")), "doc", "left_semi"), "prefixes")
 
 
@@ -152,33 +152,45 @@ def _token_batch(ids: list, flat: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), at.list_column(np.concatenate(flat) if flat else np.zeros(0, np.int64), [len(x) for x in flat], pa.int64())], names=["doc", "toks"])
 
 
-def _verified(pairs: DataFrame, meta: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b), each taken once, that pass the suffix filter and then the exact test."""
-    m = meta.select("doc", "n", "bins")
-    a, b = (m.select(*[F.col(c).alias(f"{c}_{s}") for c in m.columns]) for s in "ab")
-    p = pairs.join(a, pairs["a"] == a["doc_a"]).drop("doc_a").join(b, F.col("b") == b["doc_b"]).drop("doc_b")
-    bound = F.aggregate(F.zip_with("bins_a", "bins_b", lambda x, y: F.least(x, y).cast("long")), F.lit(0).cast("long"), lambda acc, x: acc + x)
-    p = p.filter(bound >= _least_overlap(F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
+def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int, id_col: str, text_col: str, filter_bits: int) -> DataFrame:
+    """Those of the pairs (a, b) that reach the threshold on their whole sets."""
+    pairs = materialize(pairs, "pairs")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
+    tokens = _token_sets(docs, wanted, k, percent, id_col, text_col, filter_bits)
     ta, tb = (tokens.select(F.col("doc").alias(s), F.col("toks").alias(f"toks_{s}")) for s in "ab")
     both = F.size(F.array_intersect("toks_a", "toks_b")).cast("long")
     union = F.size("toks_a") + F.size("toks_b") - both
-    return p.join(ta, "a").join(tb, "b").filter(both * 100 >= union * percent).select("a", "b").distinct()
+    return pairs.join(ta, "a").join(tb, "b").filter(both * 100 >= union * percent).select("a", "b").distinct()
 
 
 def _filtered_pairs(left: DataFrame, right: DataFrame, percent: int, ordered: bool) -> DataFrame:
-    """Pairs (a < b) of two posting tables on one k-gram in different components, after length and positional filter.
+    """Pairs (a < b) of two posting tables on one k-gram in different components that pass the three filters.
 
-    ordered: both tables are the same one, so each pair need be met in one order only.
+    Length: the smaller set must hold ``percent`` of the larger. Positional: a shared k-gram at places i and j of the
+    common order leaves at most min(i, j) + 1 + min(rest, rest) shared. Suffix: sets share at most the smaller count
+    of each hash range. ordered: both tables are the same one, so each pair need be met in one order only.
     """
-    r = right.select("tok", *[F.col(c).alias(f"{c}_r") for c in ("doc", "n", "pos", "comp")])
+    r = right.select("tok", *[F.col(c).alias(f"{c}_r") for c in ("doc", "n", "pos", "comp", "bins")])
     need = _least_overlap(F.col("n"), F.col("n_r"), percent)
-    bound = F.least("pos", "pos_r") + 1 + F.least(F.col("n") - F.col("pos") - 1, F.col("n_r") - F.col("pos_r") - 1)
-    lengths = (F.least("n", "n_r") * 100 >= F.greatest("n", "n_r") * percent) & (bound >= need)
-    joined = left.join(r, "tok").filter((F.col("comp") != F.col("comp_r")) & ((F.col("doc") < F.col("doc_r")) if ordered else (F.col("doc") != F.col("doc_r"))) & lengths)
-    return joined.select(F.least("doc", "doc_r").alias("a"), F.greatest("doc", "doc_r").alias("b")).distinct()
+    length = F.least("n", "n_r") * 100 >= F.greatest("n", "n_r") * percent
+    positional = F.least("pos", "pos_r") + 1 + F.least(F.col("n") - F.col("pos") - 1, F.col("n_r") - F.col("pos_r") - 1) >= need
+    shared = F.aggregate(F.zip_with("bins", "bins_r", lambda x, y: F.least(x, y).cast("long")), F.lit(0).cast("long"), lambda acc, x: acc + x)
+    order = F.col("doc") < F.col("doc_r") if ordered else F.col("doc") != F.col("doc_r")
+    met = (left["tok"] == r["tok"]) & order & (F.col("comp") != F.col("comp_r")) & length & positional & (shared >= need)
+    return left.join(r, met).select(F.least("doc", "doc_r").alias("a"), F.greatest("doc", "doc_r").alias("b")).distinct()
 
 
-def near_links(docs: DataFrame, sets: DataFrame, k: int, percent: int, rarity_bits: int, id_col: str = "doc_id", text_col: str = "text", hub_rounds: int = 6, filter_bits: int = 24) -> DataFrame | None:
+def _hubs(work: DataFrame, step: int) -> DataFrame:
+    """(tok, doc): one document per posting list, that the others are held against.
+
+    First the one in which the k-gram ranks as rarest: an original has no rarer k-grams of its own, its edited copies
+    have. Later any, by a hash.
+    """
+    by_place = F.struct(F.col("pos"), F.xxhash64("doc").alias("h"))
+    return work.groupBy("tok").agg(F.min_by("doc", by_place if step == 0 else F.struct(F.xxhash64("doc", F.lit(step)))).alias("doc"))
+
+
+def near_links(docs: DataFrame, sets: DataFrame, k: int, percent: int, rarity_bits: int, id_col: str = "doc_id", text_col: str = "text", filter_bits: int = 24) -> DataFrame | None:
     """(node, component) over classes with partners, or None where no k-gram is shared."""
     spark = docs.sparkSession
     reps = sets.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n")).filter(f"rep is not null and n >= {_least_n(percent)}")
@@ -190,31 +202,28 @@ def near_links(docs: DataFrame, sets: DataFrame, k: int, percent: int, rarity_bi
     n_live = live.count()
     if not n_live:
         return None
-    tokens = _token_sets(docs, live.select("doc").distinct(), k, percent, id_col, text_col, filter_bits)
 
-    comps, links = None, None
-    for step in range(hub_rounds + 1):
+    comps = links = None
+    before, step = float("inf"), 0
+    while True:
         at_work = live.withColumn("comp", F.col("doc")) if comps is None else live.join(comps, live["doc"] == comps["node"], "left").withColumn("comp", F.coalesce("component", "doc")).select("tok", "doc", "n", "pos", "comp")
         groups = at_work.groupBy("tok", "comp").agg(F.count("*").cast("double").alias("c"))
-        mixed = groups.groupBy("tok").agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("pairs"), F.sum("c").alias("size")).filter("pairs > 0")
-        work = materialize(at_work.join(mixed, "tok"), "mixed")
-        left = work.agg(F.sum(F.col("pairs") / F.col("size")).alias("p"), F.count("*").alias("n")).first()
-        if not left.n:
-            break
-        complete = left.p <= 4 * n_live or step == hub_rounds
-        if complete:
-            other = work
-        else:
-            rank = F.xxhash64("doc", F.lit(step))
-            hub = work.groupBy("tok").agg(F.min_by("doc", rank).alias("doc"))
-            other = work.join(hub, ["tok", "doc"], "left_semi")
+        mixed = groups.groupBy("tok").agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("pairs")).filter("pairs > 0")
+        open_pairs = mixed.agg(F.sum("pairs")).first()[0] or 0
+        if not open_pairs:
+            return comps
+        work = at_work.join(mixed.select("tok"), "tok", "left_semi").join(meta.select("doc", "bins"), "doc")
+        work = materialize(work, "work")
+        # Few pairs, or hubs no longer draw components together: what is left is paired completely.
+        complete = open_pairs <= 4 * n_live or open_pairs > before / 2
+        other = work if complete else work.join(_hubs(work, step), ["tok", "doc"], "left_semi")
         pairs = _filtered_pairs(work, other, percent, ordered=complete)
-        found = materialize(_verified(pairs, meta, tokens, percent), "links")
+        found = materialize(_verified(docs, pairs, k, percent, id_col, text_col, filter_bits), "links")
         links = found if links is None else links.unionByName(found)
         comps = connected_components(links)
         if complete:
-            break
-    return comps
+            return comps
+        before, step = open_pairs, step + 1
 
 
 def near_duplicate_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", rarity_bits: int = 20) -> DataFrame:
