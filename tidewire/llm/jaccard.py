@@ -27,7 +27,9 @@ from tidewire.llm.common import hash_bitmap, materialize
 from tidewire.llm.graph import connected_components
 
 #: Hash ranges whose counts the suffix filter compares.
-BINS = 64
+BINS = 256
+#: Posting lists of more members carry the suffix filter's counts into their join.
+LONG_LIST = 64
 
 
 def _doc_sets(column, k: int) -> Iterator[np.ndarray]:
@@ -101,7 +103,7 @@ def _prefixes(docs: DataFrame, reps: DataFrame, rarity, k: int, percent: int, id
                 keep.append(i)
                 sizes.append(n)
                 flat.append(at.signed(s[order]))
-                bins.append(np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=BINS).astype(np.int16))
+                bins.append(np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=BINS).astype(np.int16))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([ids[i] for i in keep], pa.int64()),
@@ -163,21 +165,41 @@ def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int, id_col: s
     return pairs.join(ta, "a").join(tb, "b").filter(both * 100 >= union * percent).select("a", "b").distinct()
 
 
-def _filtered_pairs(left: DataFrame, right: DataFrame, percent: int, ordered: bool) -> DataFrame:
-    """Pairs (a < b) of two posting tables on one k-gram in different components that pass the three filters.
+def _shared_at_most(x: Column, y: Column) -> Column:
+    """The suffix filter's bound: sets share at most the smaller count of each hash range."""
+    return F.aggregate(F.zip_with(x, y, lambda p, q: F.least(p, q).cast("long")), F.lit(0).cast("long"), lambda acc, z: acc + z)
+
+
+def _list_pairs(left: DataFrame, right: DataFrame, percent: int, ordered: bool, bins: bool) -> DataFrame:
+    """Pairs (a < b) of two posting tables on one k-gram in different components that pass the filters.
 
     Length: the smaller set must hold ``percent`` of the larger. Positional: a shared k-gram at places i and j of the
-    common order leaves at most min(i, j) + 1 + min(rest, rest) shared. Suffix: sets share at most the smaller count
-    of each hash range. ordered: both tables are the same one, so each pair need be met in one order only.
+    common order leaves at most min(i, j) + 1 + min(rest, rest) shared. bins: apply the suffix filter as well.
+    ordered: both tables are the same one, so each pair need be met in one order only.
     """
-    r = right.select("tok", *[F.col(c).alias(f"{c}_r") for c in ("doc", "n", "pos", "comp", "bins")])
+    r = right.select("tok", *[F.col(c).alias(f"{c}_r") for c in ("doc", "n", "pos", "comp", *["bins"] * bins)])
     need = _least_overlap(F.col("n"), F.col("n_r"), percent)
-    length = F.least("n", "n_r") * 100 >= F.greatest("n", "n_r") * percent
-    positional = F.least("pos", "pos_r") + 1 + F.least(F.col("n") - F.col("pos") - 1, F.col("n_r") - F.col("pos_r") - 1) >= need
-    shared = F.aggregate(F.zip_with("bins", "bins_r", lambda x, y: F.least(x, y).cast("long")), F.lit(0).cast("long"), lambda acc, x: acc + x)
-    order = F.col("doc") < F.col("doc_r") if ordered else F.col("doc") != F.col("doc_r")
-    met = (left["tok"] == r["tok"]) & order & (F.col("comp") != F.col("comp_r")) & length & positional & (shared >= need)
-    return left.join(r, met).select(F.least("doc", "doc_r").alias("a"), F.greatest("doc", "doc_r").alias("b")).distinct()
+    met = (left["tok"] == r["tok"]) & (F.col("doc") < F.col("doc_r") if ordered else F.col("doc") != F.col("doc_r")) & (F.col("comp") != F.col("comp_r"))
+    met &= F.least("n", "n_r") * 100 >= F.greatest("n", "n_r") * percent
+    met &= F.least("pos", "pos_r") + 1 + F.least(F.col("n") - F.col("pos") - 1, F.col("n_r") - F.col("pos_r") - 1) >= need
+    if bins:
+        met &= _shared_at_most(F.col("bins"), F.col("bins_r")) >= need
+    return left.join(r, met).select(F.least("doc", "doc_r").alias("a"), F.greatest("doc", "doc_r").alias("b"))
+
+
+def _filtered_pairs(work: DataFrame, other: DataFrame, meta: DataFrame, percent: int, ordered: bool) -> DataFrame:
+    """The pairs of all posting lists that pass the three filters, each once.
+
+    Short lists are paired on narrow rows and the suffix filter follows; long lists carry its counts into the join, so
+    that their many pairs never leave it.
+    """
+    bins = meta.select(F.col("doc").alias("bd"), "bins")
+    long_, long_other = (x.filter(F.col("size") > LONG_LIST).join(bins, F.col("doc") == F.col("bd")).drop("bd") for x in (work, other))
+    short = _list_pairs(work.filter(F.col("size") <= LONG_LIST), other.filter(F.col("size") <= LONG_LIST), percent, ordered, bins=False).distinct()
+    a, b = (meta.select(*[F.col(c).alias(f"{c}_{s}") for c in ("doc", "n", "bins")]) for s in "ab")
+    short = short.join(a, F.col("a") == F.col("doc_a")).join(b, F.col("b") == F.col("doc_b"))
+    short = short.filter(_shared_at_most(F.col("bins_a"), F.col("bins_b")) >= _least_overlap(F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
+    return short.unionByName(_list_pairs(long_, long_other, percent, ordered, bins=True)).distinct()
 
 
 def _hubs(work: DataFrame, step: int) -> DataFrame:
@@ -197,7 +219,7 @@ def near_links(docs: DataFrame, sets: DataFrame, k: int, percent: int, rarity_bi
     rarity = spark.sparkContext.broadcast(rarity_table(sets, rarity_bits))
     meta = _prefixes(docs, reps, rarity, k, percent, id_col, text_col)
     postings = meta.select("doc", "n", F.posexplode("prefix").alias("pos", "tok")).select("tok", "doc", "n", F.col("pos").cast("long").alias("pos"))
-    shared = postings.groupBy("tok").agg(F.count("*").alias("c")).filter("c > 1").select("tok")
+    shared = postings.groupBy("tok").agg(F.count("*").alias("size")).filter("size > 1")
     live = materialize(postings.join(shared, "tok"), "postings")
     n_live = live.count()
     if not n_live:
@@ -206,18 +228,21 @@ def near_links(docs: DataFrame, sets: DataFrame, k: int, percent: int, rarity_bi
     comps = links = None
     before, step = float("inf"), 0
     while True:
-        at_work = live.withColumn("comp", F.col("doc")) if comps is None else live.join(comps, live["doc"] == comps["node"], "left").withColumn("comp", F.coalesce("component", "doc")).select("tok", "doc", "n", "pos", "comp")
-        groups = at_work.groupBy("tok", "comp").agg(F.count("*").cast("double").alias("c"))
-        mixed = groups.groupBy("tok").agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("pairs")).filter("pairs > 0")
-        open_pairs = mixed.agg(F.sum("pairs")).first()[0] or 0
-        if not open_pairs:
-            return comps
-        work = at_work.join(mixed.select("tok"), "tok", "left_semi").join(meta.select("doc", "bins"), "doc")
-        work = materialize(work, "work")
+        if comps is None:
+            work = live.withColumn("comp", F.col("doc"))
+            open_pairs = live.agg(F.sum((F.col("size") - 1) / 2)).first()[0]
+        else:
+            at_work = live.join(comps, live["doc"] == comps["node"], "left").withColumn("comp", F.coalesce("component", "doc")).select("tok", "doc", "n", "pos", "size", "comp")
+            groups = at_work.groupBy("tok", "comp").agg(F.count("*").cast("double").alias("c"))
+            mixed = groups.groupBy("tok").agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("pairs")).filter("pairs > 0")
+            open_pairs = mixed.agg(F.sum("pairs")).first()[0] or 0
+            if not open_pairs:
+                return comps
+            work = materialize(at_work.join(mixed.select("tok"), "tok", "left_semi"), "work")
         # Few pairs, or hubs no longer draw components together: what is left is paired completely.
         complete = open_pairs <= 4 * n_live or open_pairs > before / 2
         other = work if complete else work.join(_hubs(work, step), ["tok", "doc"], "left_semi")
-        pairs = _filtered_pairs(work, other, percent, ordered=complete)
+        pairs = _filtered_pairs(work, other, meta, percent, ordered=complete)
         found = materialize(_verified(docs, pairs, k, percent, id_col, text_col, filter_bits), "links")
         links = found if links is None else links.unionByName(found)
         comps = connected_components(links)
