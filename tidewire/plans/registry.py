@@ -1,14 +1,607 @@
-"""Queries of the news-event operators and their SQL."""
+"""Queries of the news-event operators over the test tables, each beside its DuckDB SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from tidewire.functions import text as tx
+from tidewire.functions.vectors import cosine_distance
+from tidewire.operators import analytics as an
+from tidewire.operators import decisions as de
+from tidewire.operators import filters as fi
+from tidewire.operators import queues as qu
+from tidewire.operators import rollup as ru
+from tidewire.operators import score as sc
+from tidewire.operators import search as se
+from tidewire.plans.oracle_views import with_views
+from tidewire.sources import entities as en
+from tidewire.sources import harvest as ha
+from tidewire.streaming import streams as st
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+T = "timestamp '2024-01-31'"
+
+
+def query(name: str, sql: str | None = None, views: str = ""):
+    """Register a query by its inventory ids; sql repeats it in DuckDB, after the named views."""
+
+    def put(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = with_views(views, sql) if views else sql
+        return f
+
+    return put
+
+
+def _outlet_articles(s: SparkSession, d: str) -> DataFrame:
+    return en.articles(s, d).join(en.newspapers(s, d), F.col("newspaper") == F.col("name")).drop("name")
+
+
+AB = "ab as (select * from articles join newspapers on newspaper = name)"
+
+
+@query("s1_scan_s2_pruned", "select doc_id, lang, n_chars from documents")
+def _(s, d):
+    return en.table(s, d, "documents").select("doc_id", "lang", "n_chars")
+
+
+@query("s3_serialised_events", "select id, strftime(created_at, '%Y-%m-%dT%H:%M:%S') as created_at, lower(status) as status, is_active from evs", "events")
+def _(s, d):
+    return en.events(s, d).drop("centroid").select("id", F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss").alias("created_at"), F.lower("status").alias("status"), "is_active")
+
+
+@query("s7_newest_sitemap", "select l_suppkey as feed_id, 'https://x.test/sitemap-' || max(l_orderkey) || '.xml' as loc from lineitem group by 1")
+def _(s, d):
+    loc = en.table(s, d, "lineitem").select(F.col("l_suppkey").alias("feed_id"), F.concat(F.lit("https://x.test/sitemap-"), F.col("l_orderkey").cast("string"), F.lit(".xml")).alias("loc"))
+    return ha.newest_sitemap(loc, r"sitemap-(\d+)\.xml")
+
+
+@query("s6_page_links_w6")
+def _(s, d):
+    pages = en.table(s, d, "pages")
+    known = pages.select(tx.url_hash(F.col("url")).alias("url_hash"))
+    return ha.new_links(ha.page_links(pages), known, "login|signup|/tag/")
+
+
+@query("s12_source_catalogue_a27", "select name, count(*) as articles, max(published_date) as newest from articles join newspapers on newspaper = name group by 1", "newspapers articles")
+def _(s, d):
+    return _outlet_articles(s, d).groupBy(F.col("newspaper").alias("name")).agg(F.count("*").alias("articles"), F.max("published_date").alias("newest"))
+
+
+@query("s14_seed_upsert_k3", "select o_custkey as key, max(o_orderkey) as version, arg_max(o_orderpriority, o_orderkey) as value from orders group by 1")
+def _(s, d):
+    o = en.table(s, d, "orders").select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("version"), F.col("o_orderpriority").alias("value"))
+    return qu.upsert(o.filter("version % 2 = 0"), o.filter("version % 2 = 1"), ["key"], "version")
+
+
+@query("k1_insert_new_k2", "select article_id, min(id) as id from aq where id % 3 = 0 group by 1 union all select article_id, min(id) as id from aq where id % 3 = 1 and article_id not in (select article_id from aq where id % 3 = 0) group by 1", "queue")
+def _(s, d):
+    q = en.articles_queue(s, d).select("article_id", "id")
+    state = q.filter("id % 3 = 0").groupBy("article_id").agg(F.min("id").alias("id"))
+    return qu.insert_new(state, q.filter("id % 3 = 1"), ["article_id"])
+
+
+@query("k10_audit_changes", f"select id, 'UPDATE' as action, 'status' as \"column\", 'PUBLISHED' as old, 'ARCHIVED' as new from evs where status = 'PUBLISHED' and is_active and ((created_at < {T} - interval 7 day and hot_score < 50) or created_at < {T} - interval 14 day)", "events")
+def _(s, d):
+    e = en.events(s, d).drop("centroid")
+    return qu.changes(e, qu.archive(e, en.as_of()), "id")
+
+
+@query("f1_dynamic_filter", "select id, status, hot_score from evs where status in ('PUBLISHED', 'DRAFT') and hot_score >= 20 and hot_score < 90 and status ilike '%publ%'", "events")
+def _(s, d):
+    return fi.apply_filters(en.events(s, d), {"status__in": ["PUBLISHED", "DRAFT"], "hot_score__gte": 20, "hot_score__lt": 90, "status__ilike": "publ", "nothing__eq": 1, "label": None}).select("id", "status", "hot_score")
+
+
+@query("f2_relation_filter", "select a.id, a.newspaper, n.bias from articles a join newspapers n on n.name = a.newspaper where n.bias like '%left%' and a.clickbait_score > 0.5", "articles newspapers")
+def _(s, d):
+    rel = {"outlet": fi.Relation(en.newspapers(s, d), "newspaper", "name")}
+    return fi.apply_filters(en.articles(s, d), {"outlet__bias__like": "left", "clickbait_score__gt": 0.5}, rel).select("id", "newspaper", F.col("outlet__bias").alias("bias"))
+
+
+@query("f3_order_page_t2_t3", "select id, hot_score, count(*) over () as total from evs where is_active order by hot_score desc, id limit 10 offset 20", "events")
+def _(s, d):
+    return fi.paged(en.events(s, d).filter("is_active").select("id", "hot_score"), ["-hot_score", "unknown"], number=3, size=10).select("id", "hot_score", "total")
+
+
+@query("f5_text_filter", "select id, newspaper from articles where (title ilike '%the%' or content ilike '%tion%') and published_date >= timestamp '2024-01-10'", "articles")
+def _(s, d):
+    return fi.search_text(en.articles(s, d).filter("published_date >= timestamp_ntz'2024-01-10 00:00:00'"), "the", ["title"]).select("id", "newspaper").union(
+        fi.search_text(en.articles(s, d).filter("published_date >= timestamp_ntz'2024-01-10 00:00:00'"), "tion", ["content"]).select("id", "newspaper")).distinct()
+
+
+@query("f7_blocklist_f8", "select page_id, url from pages where not regexp_matches(url, '(?i)ref=|#top') and regexp_matches(url, '/(en|fr)/')")
+def _(s, d):
+    return en.table(s, d, "pages").filter(~F.col("url").rlike("(?i)ref=|#top") & F.col("url").rlike("/(en|fr)/")).select("page_id", "url")
+
+
+@query("f9_recent_links", f"select id from aq where created_at >= {T} - interval 100 hour or id % 7 = 0", "queue")
+def _(s, d):
+    q = en.articles_queue(s, d).withColumn("date", F.when(F.col("id") % 7 == 0, "no date").otherwise(F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss")))
+    return q.filter(ha.recent_or_undated(F.col("date"), en.as_of())).select("id")
+
+
+@query("f10_known_hashes", "select id, url_hash from articles where url_hash not in (select md5(cast(vec_id as varchar)) from embeddings where vec_id % 2 = 0)", "articles")
+def _(s, d):
+    known = en.events(s, d).filter("id % 2 = 0").select(F.md5(F.col("id").cast("string")).alias("url_hash"))
+    return en.articles(s, d).select("id", "url_hash").join(known, "url_hash", "left_anti").select("id", "url_hash")
+
+
+@query("f11_block_signatures_a17", "select newspaper, msg, count(*) as n, sum(count(*)) over (partition by newspaper)::bigint as source_total from aq join articles on aq.article_id = articles.id where msg ilike '%403%' or msg ilike '%forbidden%' group by 1, 2", "queue articles")
+def _(s, d):
+    return an.blocked_by_source(en.articles_queue(s, d), en.articles(s, d), tx.looks_blocked(F.col("msg")))
+
+
+@query("f12_json_keys", "select event_id, cast(props->>'k' as bigint) as k from events where json_exists(props, '$.k') and cast(props->>'k' as bigint) > 50")
+def _(s, d):
+    e = en.table(s, d, "events").select("event_id", F.from_json("props", "map<string,bigint>").alias("m"))
+    return e.filter(F.map_contains_key("m", "k")).select("event_id", F.col("m")["k"].alias("k")).filter("k > 50")
+
+
+@query("f15_untitled_q6", "select id from articles where lower(title) in ('no title', 'unknown', '') or id % 10 = 0", "articles")
+def _(s, d):
+    a = en.articles(s, d).withColumn("title", F.when(F.col("id") % 10 == 0, "No Title").otherwise(F.col("title")))
+    return a.filter(qu.untitled(F.col("title"))).select("id")
+
+
+@query("f16_title_filter_f17_x4", f"select id, case when published_date < {T} - interval 7 day then 'IGNORED' when title = '' then 'FAILED' when length(content) < 50 then 'FAILED' else 'KEEP' end as decision from articles", "articles")
+def _(s, d):
+    old = F.col("published_date") < qu.ago(en.as_of(), days=7)
+    return en.articles(s, d).select("id", F.when(old, "IGNORED").when(F.col("title") == "", "FAILED").when(F.char_length("content") < 50, "FAILED").otherwise("KEEP").alias("decision"))
+
+
+@query("f18_binary_urls", "select page_id, regexp_matches(lower(split_part(url, '?', 1)), '\\.(pdf|jpg|jpeg|png|gif|zip|mp3|mp4|doc|docx|xls|xlsx)$') as is_binary, md5(split_part(url, '?', 1)) as url_hash from pages")
+def _(s, d):
+    return en.table(s, d, "pages").select("page_id", tx.is_binary_url(F.col("url")).alias("is_binary"), tx.url_hash(F.col("url")).alias("url_hash"))
+
+
+@query("p1_labels_p4", "select id, case when m is null then 'offline' when m > 60 then 'critical' when m > 15 then 'warning' else 'healthy' end as heartbeat, case when n = 0 then 'SILENT' when n < 5 then 'LOW' else 'OK' end as volume, case when n > 5 then 'Topic/Niche' else 'Low Volume' end as waiting from (select id, article_count as n, nullif(id % 90, 0) as m from evs)", "events")
+def _(s, d):
+    n, m = F.col("article_count"), F.nullif(F.col("id") % 90, F.lit(0))
+    return en.events(s, d).select("id", an.heartbeat(m).alias("heartbeat"), an.volume_status(n).alias("volume"), an.waiting_reason(n).alias("waiting"))
+
+
+@query("p5_stance_buckets", "select id, case when stance <= -0.35 then 'critical' when stance >= 0.35 then 'supportive' when stance is not null then 'neutral' end as bucket from articles", "articles")
+def _(s, d):
+    return en.articles(s, d).select("id", ru.stance_bucket(F.col("stance")).alias("bucket"))
+
+
+@query("p6_tri_bias", f", {AB}, c as (select event_id, count(*) filter (bias = 'left') as l, count(*) filter (bias = 'leans_left') as ll, count(*) filter (bias = 'far_left') as fl from ab group by 1) select event_id, coalesce(nullif(l, 0), nullif(ll, 0), fl) as first_left, l + ll + fl as all_left from c", "articles newspapers")
+def _(s, d):
+    p = an.pivot_counts(_outlet_articles(s, d), "event_id", "bias", ["left", "leans_left", "far_left"])
+    zero = F.lit(0).cast("long")
+    return p.select("event_id", F.coalesce(F.nullif("left", zero), F.nullif("leans_left", zero), "far_left").alias("first_left"), (F.col("left") + F.col("leans_left") + F.col("far_left")).alias("all_left"))
+
+
+@query("j1_articles_per_bias_a1", "select bias, count(*) as n from articles join newspapers on newspaper = name group by 1", "articles newspapers")
+def _(s, d):
+    return an.count_by(_outlet_articles(s, d), "bias")
+
+
+@query("j2_source_health_j3_a16_p2", f", h as (select name, max(published_date) as last_seen, count(*) filter (published_date >= {T} - interval 24 hour) as recent from newspapers left join articles on newspaper = name group by 1) select name, last_seen, recent, coalesce(floor((epoch({T}) - epoch(last_seen)) / 3600.0 * 60), 999999)::bigint as minutes, case when last_seen is null then 'DEAD' when (epoch({T}) - epoch(last_seen)) / 3600.0 > 24 then 'SILENT' when (epoch({T}) - epoch(last_seen)) / 3600.0 > 3 then 'WARNING' else 'OK' end as status from h", "articles newspapers")
+def _(s, d):
+    return an.source_health(en.newspapers(s, d), en.articles(s, d), en.as_of())
+
+
+@query("j4_full_join_ranks", "select coalesce(a.id, b.id) as id, a.ra, b.rb from (select id, row_number() over (order by hot_score desc, id) as ra from evs qualify ra <= 50) a full join (select id, row_number() over (order by created_at desc, id) as rb from evs qualify rb <= 50) b on a.id = b.id", "events")
+def _(s, d):
+    e = en.events(s, d)
+    a = e.orderBy(F.desc("hot_score"), "id").limit(50).select("id", F.row_number().over(W.orderBy(F.desc("hot_score"), "id")).cast("long").alias("ra"))
+    b = e.orderBy(F.desc("created_at"), "id").limit(50).select("id", F.row_number().over(W.orderBy(F.desc("created_at"), "id")).cast("long").alias("rb"))
+    return a.join(b, "id", "full")
+
+
+@query("j6_not_exists_or", "select id from evs where not exists (select 1 from pr where pr.status = 'PENDING' and (pr.source_id = evs.id or pr.target_id = evs.id))", "events proposals")
+def _(s, d):
+    busy = en.proposals(s, d).filter("status = 'PENDING'").select(F.explode(F.array("source_id", "target_id")).alias("id"))
+    return en.events(s, d).select("id").join(busy, "id", "left_anti")
+
+
+@query("j8_semi_join", "select id, title from articles where event_id in (select label from evs where status = 'PUBLISHED' and hot_score > 95)", "articles events")
+def _(s, d):
+    hot = en.events(s, d).filter("status = 'PUBLISHED' and hot_score > 95").select(F.col("label").alias("event_id"))
+    return en.articles(s, d).join(hot, "event_id", "left_semi").select("id", "title")
+
+
+@query("j9_review_pick_r13_w3", ", busy as (select source_id as k from pr where status = 'PROCESSING' union select target_id from pr where status = 'PROCESSING'), f as (select *, dense_rank() over (order by source_id) as group_no from pr where status = 'PENDING' and source_id not in (select k from busy) and target_id not in (select k from busy)) select source_id, target_id, group_no from f where group_no <= 10", "proposals")
+def _(s, d):
+    return de.review_pick(en.proposals(s, d)).select("source_id", "target_id", F.col("group_no").cast("long").alias("group_no"))
+
+
+@query("j10_latest_ticket_w4_q10", "select id, article_id, row_number() over (partition by article_id order by created_at desc, id desc) > 1 as superseded from aq where status = 'PENDING'", "queue")
+def _(s, d):
+    return qu.latest_ticket(en.articles_queue(s, d), "article_id").select("id", "article_id", "superseded")
+
+
+@query("j12_lateral_json", "select cast(props->>'k' as bigint) as k, count(*) as n from events group by 1")
+def _(s, d):
+    return en.table(s, d, "events").select(F.explode(F.from_json("props", "map<string,bigint>")).alias("key", "k")).groupBy("k").agg(F.count("*").alias("n"))
+
+
+@query("j13_nearest_neighbour_r2", "select a.id, arg_min(b.id, (round(list_cosine_distance(a.centroid, b.centroid), 9), b.id)) as nearest, round(min(list_cosine_distance(a.centroid, b.centroid)), 5) as distance from evs a join evs b on a.label = b.label and a.id <> b.id where a.id % 20 = 0 group by 1", "events")
+def _(s, d):
+    e = en.events(s, d).select("id", "label", "centroid")
+    q = e.filter("id % 20 = 0").select(F.col("id").alias("qid"), "label", F.col("centroid").alias("q"))
+    dist = F.round(cosine_distance(F.col("q"), F.col("centroid")), 9)
+    p = q.join(e, "label").filter("qid <> id").withColumn("dist", dist)
+    return p.groupBy(F.col("qid").alias("id")).agg(F.min_by("id", F.struct("dist", "id")).alias("nearest"), F.round(F.min("dist"), 5).alias("distance"))
+
+
+@query("j14_time_window_join", "select a.id as article_id, e.id as event_id from articles a join evs e on e.created_at between a.published_date - interval 5 day and a.published_date and e.label = a.event_id where a.id % 10 = 0", "articles events")
+def _(s, d):
+    q = en.articles(s, d).filter("id % 10 = 0").select(F.col("id").alias("article_id"), F.col("event_id").alias("label"), F.col("published_date").alias("target"))
+    pairs = se.candidates_by_day(q.withColumnRenamed("label", "want"), en.events(s, d).select(F.col("id").alias("event_id"), "label", "created_at"), 5)
+    return pairs.filter("want = label").select("article_id", "event_id")
+
+
+@query("j15_survivors", "select vec_id as id, vec_id - vec_id % 4 as survivor from embeddings")
+def _(s, d):
+    e = en.table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.when(F.col("vec_id") % 4 != 0, F.col("vec_id") - 1).alias("merged_into_id"))
+    return de.resolve_survivors(e)
+
+
+@query("j17_entity_overlap", "select source_id, target_id, (source_id % 3 = target_id % 3 or source_id % 5 = target_id % 5) as overlap from pr", "proposals")
+def _(s, d):
+    names = lambda c: F.array(F.concat(F.lit("a"), (F.col(c) % 3).cast("string")), F.concat(F.lit("b"), (F.col(c) % 5).cast("string")))
+    return en.proposals(s, d).select("source_id", "target_id", F.arrays_overlap(names("source_id"), names("target_id")).alias("overlap"))
+
+
+@query("a2_top_sources", "select newspaper, count(*) as n from articles group by 1 order by n desc, newspaper limit 5", "articles")
+def _(s, d):
+    return an.top_by(en.articles(s, d), ["newspaper"], 5)
+
+
+@query("a3_totals", "select count(*) as total, count(*) filter (is_active) as part, round(count(*) filter (is_active) * 100.0 / count(*), 2) as percent from evs", "events")
+def _(s, d):
+    return an.totals(en.events(s, d), F.col("is_active"))
+
+
+@query("a4_latest_ingestion", f"select max(created_at) as latest, ((epoch({T}) - epoch(max(created_at))) / 60)::bigint as minutes_ago from evs", "events")
+def _(s, d):
+    g = en.events(s, d).agg(F.max("created_at").alias("latest"))
+    return g.select("latest", ((F.unix_seconds(en.as_of().cast("timestamp")) - F.unix_seconds(F.col("latest").cast("timestamp"))) / 60).cast("long").alias("minutes_ago"))
+
+
+@query("a6_top_topics_g4", "select topic, count(*) as n from (select lang as topic from articles union all select newspaper from articles) group by 1 order by n desc, topic limit 10", "articles")
+def _(s, d):
+    return ru.topic_counts(en.articles(s, d)).groupBy("topic").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "topic").limit(10)
+
+
+@query("a7_daily_by_source", "select published_date::date as day, newspaper, count(*) as n from articles group by 1, 2", "articles")
+def _(s, d):
+    return en.articles(s, d).groupBy(F.to_date("published_date").alias("day"), "newspaper").agg(F.count("*").alias("n"))
+
+
+@query("a8_six_hour_grid_x6", "select time_bucket(interval '6 hours', published_date, timestamp '1970-01-01') as slot, newspaper, count(*) as n, strftime(time_bucket(interval '6 hours', published_date, timestamp '1970-01-01'), '%d %H:%M') as label from articles group by 1, 2", "articles")
+def _(s, d):
+    return an.time_grid(en.articles(s, d), "published_date", 21600, "newspaper")
+
+
+@query("a9_daily_volumes_u1", "select 'articles' as kind, published_date::date as day, count(*) as n from articles group by 2 union all select 'events', created_at::date, count(*) from evs group by 2", "articles events")
+def _(s, d):
+    return an.union_counts([("articles", en.articles(s, d), "published_date"), ("events", en.events(s, d), "created_at")])
+
+
+@query("a10_stance_histogram", "select b as bucket_no, count(*) as n, round(-1 + (b - 0.5) * 0.2, 4)::double as centre from (select case when stance < -1 then 0 when stance >= 1 then 11 else floor((stance + 1) / 2.0::double * 10)::bigint + 1 end as b from articles where stance is not null) group by 1", "articles")
+def _(s, d):
+    return an.histogram(en.articles(s, d), "stance", -1.0, 1.0, 10)
+
+
+@query("a11_clickbait_histogram", "select b as bucket_no, count(*) as n, round((b - 0.5) * 12.5, 4)::double as centre from (select case when c >= 100 then 9 else floor(c / 100.0::double * 8)::bigint + 1 end as b from (select id % 101 as c from articles)) group by 1", "articles")
+def _(s, d):
+    return an.histogram(en.articles(s, d).withColumn("c", (F.col("id") % 101).cast("double")), "c", 0.0, 100.0, 8)
+
+
+@query("a12_queue_history", "select hour, status, count(*) as n from (select date_trunc('hour', updated_at) as hour, status from aq where status in ('COMPLETED', 'FAILED') union all select date_trunc('hour', created_at), 'CREATED' from aq) group by 1, 2", "queue")
+def _(s, d):
+    return an.queue_history(en.articles_queue(s, d))
+
+
+@query("a13_queue_overview", "select queue_name, status, count(*) as n from aq group by 1, 2", "queue")
+def _(s, d):
+    return an.count_by(en.articles_queue(s, d), "queue_name", "status")
+
+
+@query("a14_queue_pivot", "select queue_name, count(*) filter (status = 'PENDING') as pending, count(*) filter (status = 'PROCESSING') as processing, count(*) filter (status = 'FAILED') as failed from aq group by 1", "queue")
+def _(s, d):
+    return an.pivot_counts(en.articles_queue(s, d), "queue_name", "status", ["PENDING", "PROCESSING", "FAILED"])
+
+
+@query("a15_row_counts", "select 'articles' as name, count(*) as n from documents union all select 'events', count(*) from embeddings union all select 'queue', count(*) from events union all select 'pages', count(*) from pages")
+def _(s, d):
+    parts = [en.table(s, d, t).agg(F.count("*").alias("n")).select(F.lit(k).alias("name"), "n") for k, t in (("articles", "documents"), ("events", "embeddings"), ("queue", "events"), ("pages", "pages"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+@query("a18_eight_hour_slots", "select time_bucket(interval '8 hours', updated_at, timestamp '1970-01-01') as slot, count(*) as n from aq where status = 'COMPLETED' group by 1 order by 1 desc limit 20", "queue")
+def _(s, d):
+    return an.time_grid(en.articles_queue(s, d).filter("status = 'COMPLETED'"), "updated_at", 28800).drop("label").orderBy(F.desc("slot")).limit(20)
+
+
+@query("a19_errors_a20", "select newspaper, msg, count(*) as n from aq join articles on aq.article_id = articles.id where status = 'FAILED' group by 1, 2 order by n desc, newspaper, msg limit 50", "queue articles")
+def _(s, d):
+    q = en.articles_queue(s, d).filter("status = 'FAILED'").select("article_id", "msg").join(en.articles(s, d).select(F.col("id").alias("article_id"), "newspaper"), "article_id")
+    return an.top_by(q, ["newspaper", "msg"], 50)
+
+
+@query("a21_integrity", ", c as (select event_id, count(*) as n from articles group by 1) select count(*) filter (article_count > coalesce(n, 0)) as miscounted, count(*) filter (hot_score = 0 and article_count > 0) as unscored from evs left join c on evs.id = c.event_id", "articles events")
+def _(s, d):
+    return an.integrity(en.events(s, d), ru.articles_by_bias(_outlet_articles(s, d)))
+
+
+@query("a22_overview_a5_a23", "select count(*) filter (is_active) as active, count(*) filter (status = 'PUBLISHED') as published, count(*) filter (status = 'DRAFT') as draft, count(*) filter (status = 'ARCHIVED') as archived from evs", "events")
+def _(s, d):
+    c = lambda k: F.count_if(F.col("status") == k)
+    return en.events(s, d).agg(F.count_if("is_active").alias("active"), c("PUBLISHED").alias("published"), c("DRAFT").alias("draft"), c("ARCHIVED").alias("archived"))
+
+
+@query("a24_largest_event", "select id, published_date from articles where event_id = (select id from evs order by article_count desc, id limit 1) order by published_date desc, id limit 100", "articles events")
+def _(s, d):
+    return an.largest_with_latest(en.events(s, d), en.articles(s, d)).select("id", "published_date")
+
+
+@query("a25_links_per_outlet", "select name, count(id) as n from newspapers left join articles on newspaper = name and id % 2 = 0 group by 1", "newspapers articles")
+def _(s, d):
+    a = en.articles(s, d).filter("id % 2 = 0").select(F.col("newspaper").alias("name"), "id")
+    return en.newspapers(s, d).join(a, "name", "left").groupBy("name").agg(F.count("id").alias("n"))
+
+
+@query("a26_rate_utilisation_j5", "select o_orderpriority as model, round(sum(o_totalprice) * 100.0 / 1e9, 2) as percent from orders group by 1")
+def _(s, d):
+    o = en.table(s, d, "orders")
+    usage = o.groupBy(F.upper("o_orderpriority").alias("model")).agg(F.sum("o_totalprice").alias("used")).withColumns({"metric": F.lit("TOKENS"), "started_at": en.as_of()})
+    config = o.select(F.col("o_orderpriority").alias("model")).distinct().withColumns({"metric": F.lit("TOKENS"), "limit": F.lit(1e9), "window_seconds": F.lit(60)})
+    return an.rate_utilisation(config, usage).select("model", "percent")
+
+
+@query("g1_basics", "select event_id, count(*) as article_count, min(published_date) as first_article_date, max(published_date) as last_article_date, min(source_rank) as best_source_rank, round(sum(10.0::double / source_rank), 6) as editorial_score from articles group by 1", "articles")
+def _(s, d):
+    return ru.basics(en.articles(s, d)).withColumn("editorial_score", F.round("editorial_score", 6))
+
+
+@query("g2_centroid", "select label::bigint as event_id, pos - 1 as pos, round(avg(x), 5) as x from (select label, unnest(embedding::double[]) as x, generate_subscripts(embedding, 1) as pos from embeddings where vec_id < 500) group by 1, 2")
+def _(s, d):
+    v = en.events(s, d).filter("id < 500").select(F.col("label").alias("event_id"), "id", F.col("created_at").alias("published_date"), F.col("centroid").alias("embedding"))
+    return ru.centroid(v).select("event_id", F.posexplode("embedding").alias("pos", "x")).select("event_id", F.col("pos").cast("long").alias("pos"), F.round("x", 5).alias("x"))
+
+
+@query("g3_interest_counts", "select event_id, 'place' as category, lang as entity, count(*) as n from articles group by 1, 3 union all select event_id, 'org', newspaper, count(*) from articles group by 1, 3", "articles")
+def _(s, d):
+    a = en.articles(s, d).withColumn("interests", F.create_map(F.lit("place"), F.array("lang"), F.lit("org"), F.array("newspaper")))
+    return ru.interest_counts(a)
+
+
+@query("g5_bias_sets_g8", f", {AB} select event_id, bias, string_agg(distinct newspaper_id::varchar, ',' order by newspaper_id::varchar) as ids, count(*) as n from ab group by 1, 2", "articles newspapers")
+def _(s, d):
+    a = _outlet_articles(s, d)
+    ids = ru.bias_sets(a).select("event_id", "bias", F.array_join(F.array_sort(F.transform("newspaper_ids", lambda x: x.cast("string"))), ",").alias("ids"))
+    return ids.join(ru.articles_by_bias(a), ["event_id", "bias"])
+
+
+@query("g5_ownership", f", {AB} select event_id, ownership_type, count(*) as n from ab group by 1, 2", "articles newspapers")
+def _(s, d):
+    return ru.ownership_counts(_outlet_articles(s, d))
+
+
+@query("g6_stance_by_bias", f", {AB} select event_id, bias, count(*) filter (stance <= -0.35) as critical, count(*) filter (stance >= 0.35) as supportive, count(*) filter (stance > -0.35 and stance < 0.35) as neutral, round(avg(stance), 6) as total from ab where stance is not null group by 1, 2", "articles newspapers")
+def _(s, d):
+    return ru.stance_by_bias(_outlet_articles(s, d)).withColumn("total", F.round("total", 6))
+
+
+@query("g6_global_stance", f", {AB} select event_id, round(avg(m), 6) as stance from (select event_id, bias, avg(stance) as m from ab where stance is not null group by 1, 2) group by 1", "articles newspapers")
+def _(s, d):
+    return ru.global_stance(ru.stance_by_bias(_outlet_articles(s, d))).withColumn("stance", F.round("stance", 6))
+
+
+@query("g7_clickbait", f", {AB} select event_id, bias, round(avg(clickbait_score), 6) as clickbait from ab group by 1, 2", "articles newspapers")
+def _(s, d):
+    return ru.clickbait_by_bias(_outlet_articles(s, d)).withColumn("clickbait", F.round("clickbait", 6))
+
+
+@query("g9_sources_snapshot", f", {AB} select event_id, newspaper, max(newspaper_id) as newspaper_id, max(bias) as bias from ab group by 1, 2", "articles newspapers")
+def _(s, d):
+    return ru.sources_snapshot(_outlet_articles(s, d))
+
+
+@query("g10_merge", "select least(event_id, event_id - event_id % 2) as event_id, count(*) as article_count, min(published_date) as first_article_date, max(published_date) as last_article_date, min(source_rank) as best_source_rank, round(sum(10.0::double / source_rank), 6) as editorial_score from articles group by 1", "articles")
+def _(s, d):
+    b = ru.basics(en.articles(s, d))
+    a = b.filter("event_id % 2 = 0").select(F.col("event_id").alias("k"), F.struct(*b.columns).alias("survivor"))
+    v = b.filter("event_id % 2 = 1").select((F.col("event_id") - 1).alias("k"), F.struct(*b.columns).alias("victim"))
+    return ru.merge_events(a.join(v, "k")).withColumn("editorial_score", F.round("editorial_score", 6))
+
+
+@query("g12_recalculation_g11", "select e.label as event_id, count(a.id) as article_count, count(a.id) > 0 as is_active, round(avg(a.stance), 6) as plain_stance from (select distinct label from evs) e left join articles a on a.event_id = e.label group by 1", "articles events")
+def _(s, d):
+    e = en.events(s, d).select(F.col("label").alias("id")).distinct().withColumn("is_active", F.lit(True))
+    return ru.full_recalculation(e, en.articles(s, d)).select("event_id", "article_count", "is_active", F.round("plain_stance", 6).alias("plain_stance"))
+
+
+@query("g13_search_text", "select id, array_to_string(list_reverse(list_transform(list_filter(list_zip(list_reverse(w), range(1, len(w) + 1)), lambda p: not list_contains(list_reverse(w)[1:p[2] - 1], p[1])), lambda p: p[1])[1:100]), ' ') as search_text from (select id, string_split(title, ' ') as w from articles)", "articles")
+def _(s, d):
+    return en.articles(s, d).select("id", F.array_join(tx.last_unique_words(F.split("title", " ", -1)), " ").alias("search_text"))
+
+
+@query("g14_search_query", "select id, title || ' ' || lang || ' ' || newspaper || ' ' || lang as q from articles", "articles")
+def _(s, d):
+    return en.articles(s, d).select("id", tx.search_query(F.col("title"), F.col("main_topics"), F.array("lang")).alias("q"))
+
+
+@query("w5_first_per_event", "select id, event_id, rn > 1 as retired from (select id, event_id, row_number() over (partition by event_id order by published_date desc, id) as rn from articles)", "articles")
+def _(s, d):
+    w = W.partitionBy("event_id").orderBy(F.desc("published_date"), "id")
+    return en.articles(s, d).select("id", "event_id", (F.row_number().over(w) > 1).alias("retired"))
+
+
+@query("t1_nulls_first", "select id, source_rank from articles order by source_rank asc nulls first, id limit 40", "articles")
+def _(s, d):
+    return en.articles(s, d).select("id", "source_rank").orderBy(F.asc_nulls_first("source_rank"), "id").limit(40)
+
+
+@query("t4_context_articles", "select event_id, string_agg(id::varchar, ',' order by rn) as ids from (select event_id, id, row_number() over (partition by event_id order by published_date desc, id) as rn from articles) where rn <= 3 group by 1", "articles")
+def _(s, d):
+    w = W.partitionBy("event_id").orderBy(F.desc("published_date"), "id")
+    top = en.articles(s, d).select("event_id", "id", F.row_number().over(w).alias("rn")).filter("rn <= 3")
+    return top.groupBy("event_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", "id"))), lambda x: x["id"].cast("string")), ",").alias("ids"))
+
+
+@query("u3_set_difference", "select id from evs where id not in (select event_id from articles)", "events articles")
+def _(s, d):
+    return en.events(s, d).select("id").join(en.articles(s, d).select(F.col("event_id").alias("id")), "id", "left_anti")
+
+
+_Q1 = ", q as (select embedding::double[] as v from embeddings where vec_id = 7), live as (select evs.*, regexp_extract_all(lower(array_to_string(string_split(d.text, ' ')[1:100], ' ')), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as toks from evs left join documents d on d.doc_id = evs.id where is_active and created_at <= timestamp '2024-01-20' and created_at >= timestamp '2024-01-15'), n as (select id, list_cosine_distance(centroid, v) as dist, row_number() over (order by round(list_cosine_distance(centroid, v), 12), id) as r from live, q qualify r <= 50), k as (select id, row_number() over (order by len(list_filter(toks, lambda t: t in ('and', 'the'))) / greatest(len(toks), 1) desc, id) as r from live where list_contains(toks, 'the') and list_contains(toks, 'and') qualify r <= 50) select id, round((coalesce(1.0::double / (60 + n.r), 0) + coalesce(1.0::double / (60 + k.r), 0)) / (1 + 0.05::double * abs(epoch(timestamp '2024-01-20') - epoch(last_updated_at)) / 3600), 6) as rrf_score, round(dist, 4) as distance from n full join k using (id) join live using (id) order by (coalesce(1.0::double / (60 + n.r), 0) + coalesce(1.0::double / (60 + k.r), 0)) / (1 + 0.05::double * abs(epoch(timestamp '2024-01-20') - epoch(last_updated_at)) / 3600) desc, id limit 10"
+
+
+@query("r1_hybrid_search_w1_w2", _Q1, "events")
+def hybrid(s, d):
+    docs = en.table(s, d, "documents").select(F.col("doc_id").alias("id"), F.array_join(F.slice(F.split("text", " ", -1), 1, 100), " ").alias("search_text"))
+    e = en.events(s, d).join(docs, "id", "left").withColumn("toks", se.tokens(F.col("search_text")))
+    vector = en.events(s, d).filter("id = 7").select("centroid").first()[0]
+    found = se.hybrid_search(e, se.TextQuery.parse("the and"), vector, F.expr("timestamp_ntz'2024-01-20 00:00:00'"))
+    return found.select("id", F.round("rrf_score", 6).alias("rrf_score"), F.round("distance", 4).alias("distance"))
+
+
+@query("r3_text_query", "select doc_id as id from (select doc_id, regexp_extract_all(lower(text), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as t from documents) where (list_contains(t, 'idiot') and not list_contains(t, 'les')) or list_contains(t, 'clown')")
+def _(s, d):
+    x = en.table(s, d, "documents").select(F.col("doc_id").alias("id"), se.tokens(F.col("text")).alias("toks"))
+    return se.text_search(x, se.TextQuery.parse("idiot -les or clown")).select("id")
+
+
+@query("r4_cover_density_r5")
+def _(s, d):
+    x = en.table(s, d, "documents").select(F.col("doc_id").alias("id"), se.tokens(F.col("text")).alias("toks"))
+    q = se.TextQuery.parse('idiot "of the"')
+    return x.filter(q.matches(F.col("toks"))).select("id", se.cover_density(q.words)("toks").alias("text_rank"))
+
+
+@query("r6_cluster_decision")
+def _(s, d):
+    a = en.articles(s, d).select(F.col("id").alias("article_id"), "published_date", F.lit(True).alias("has_vector"), F.col("event_id").alias("label"))
+    c = a.select("article_id", "label").join(en.events(s, d).filter("id < 100"), "label").select("article_id", F.col("id").alias("event_id"), (((F.col("id") * 13 + F.col("article_id")) % 40) / F.lit(100.0)).alias("distance"), (F.lit(1.0) / (60 + F.col("id"))).alias("rrf"), "last_updated_at", "article_count")
+    return de.cluster_decision(a.drop("label"), c, F.expr("timestamp_ntz'2024-01-20 00:00:00'")).select("article_id", "decision", F.array_join(F.transform("targets", lambda t: t.cast("string")), ",").alias("targets"))
+
+
+@query("r7_merge_decision", ", p as (select source_id as event_id, target_id as other_id, distance, 1.0::double / (60 + target_id - source_id) as rrf, ['PUBLISHED','DRAFT','ENHANCED','ARCHIVED'][source_id % 4 + 1] as status, ['PUBLISHED','DRAFT','ENHANCED','ARCHIVED'][target_id % 4 + 1] as other_status from pr), x as (select *, case when distance < 0.05 then case when status = 'PUBLISHED' and other_status = 'PUBLISHED' then 'PROPOSE' else 'MERGE' end when distance < 0.13 or (distance < 0.21 and rrf > 0.02) then 'PROPOSE' end as action from p where distance <= 0.08), r as (select *, row_number() over (partition by event_id order by rrf desc, other_id) as rn from x where action is not null) select event_id, other_id, action, case when action = 'MERGE' then case when other_status = 'PUBLISHED' then other_id else event_id end end as survivor from r where rn = 1", "proposals")
+def _(s, d):
+    st_ = lambda c: en.pick(("PUBLISHED", "DRAFT", "ENHANCED", "ARCHIVED"), F.col(c))
+    none = F.array().cast("array<string>")
+    p = en.proposals(s, d).select(F.col("source_id").alias("event_id"), F.col("target_id").alias("other_id"), "distance", (F.lit(1.0) / (60 + F.col("target_id") - F.col("source_id"))).alias("rrf"), st_("source_id").alias("status"), st_("target_id").alias("other_status"), none.alias("names"), none.alias("other_names"), F.lit(False).alias("blocked"))
+    return de.merge_decision(p)
+
+
+@query("r9_collision", ", p as (select source_id as event_id, target_id as other_id, distance, (target_id - source_id) * 9 as hours from pr where distance <= 0.15), n as (select event_id, arg_min(struct_pack(o := other_id, d := distance, h := hours), (distance, other_id)) as n from p group by 1) select event_id, n.o as other_id, case when n.d <= 0.05 and n.h <= 72 then 'AUTO' when n.h <= 24 then 'PROPOSE' end as action from n", "proposals")
+def _(s, d):
+    p = en.proposals(s, d).select(F.col("source_id").alias("event_id"), F.col("target_id").alias("other_id"), "distance", ((F.col("target_id") - F.col("source_id")) * 9).alias("hours"), F.lit(False).alias("known"))
+    return de.collision_decision(p)
+
+
+@query("r12_review", ", v as (select *, (source_id + target_id) % 3 = 0 as ok from pr), f as (select source_id, arg_min(target_id, (distance, target_id)) as accepted from v where ok group by 1) select v.source_id, target_id, accepted, case when accepted is null then 'NEW_EVENT' when target_id = accepted then 'APPROVED' else 'REJECTED' end as outcome from v left join f on v.source_id = f.source_id", "proposals")
+def _(s, d):
+    v = en.proposals(s, d).withColumn("same_event", (F.col("source_id") + F.col("target_id")) % 3 == 0).withColumn("confidence", F.lit(0.9))
+    return de.review_decision(v).select("source_id", "target_id", "accepted", "outcome")
+
+
+@query("r10_spectrum_score_r11_p8")
+def _(s, d):
+    a = _outlet_articles(s, d)
+    g = ru.basics(a).join(a.groupBy("event_id").agg(F.countDistinct("newspaper").alias("n_sources"), F.collect_set("bias").alias("biases"), F.avg("clickbait_score").alias("clickbait"), F.count_if(F.col("stance") >= 0.35).alias("supportive"), F.count_if(F.col("stance") <= -0.35).alias("critical"), F.countDistinct(F.when(F.col("ownership_type") == "independent", F.col("newspaper"))).alias("independent")), "event_id")
+    g = g.withColumns({"created_at": F.col("first_article_date"), "topics": F.array(F.lit("politics")), "ai_impact": (F.col("event_id") * 10).cast("int"), "is_international": F.col("event_id") % 2 == 0, "is_active": F.lit(True), "collision": F.lit(False)})
+    return sc.publish_gate(sc.spectrum_score(g, en.as_of()), en.as_of()).select("event_id", "hot_score", F.array_join("insights", ",").alias("insights"), "blind_side", "decision", "reason")
+
+
+@query("r16_merge_relink", "select id, case when event_id % 2 = 1 then event_id - 1 else event_id end as event_id from articles", "articles")
+def _(s, d):
+    m = en.articles(s, d).filter("event_id % 2 = 1").select(F.col("event_id").alias("victim_id"), (F.col("event_id") - 1).alias("survivor_id")).distinct()
+    return qu.merge_relink(en.articles(s, d).select("id", "event_id"), m).select("id", "event_id")
+
+
+@query("r18_pair_keys", "select least(source_id, target_id) as lo, greatest(source_id, target_id) as hi, count(*) as n from (select source_id, target_id from pr union all select target_id, source_id from pr) group by 1, 2", "proposals")
+def _(s, d):
+    p = en.proposals(s, d)
+    both = p.select("source_id", "target_id").union(p.select("target_id", "source_id"))
+    return both.groupBy(de.pair_key(F.col("source_id"), F.col("target_id")).alias("k")).agg(F.count("*").alias("n")).select("k.lo", "k.hi", "n")
+
+
+@query("r19_archive", f"select id, case when status = 'PUBLISHED' and is_active and ((created_at < {T} - interval 7 day and hot_score < 50) or created_at < {T} - interval 14 day) then 'ARCHIVED' else status end as status, is_active from evs", "events")
+def _(s, d):
+    return qu.archive(en.events(s, d), en.as_of()).select("id", "status", "is_active")
+
+
+@query("r20_decay", "select id, hot_score * 0.9::double as hot_score from evs where status = 'PUBLISHED' and is_active and abs(hot_score * 0.9::double - hot_score) > 0.01", "events")
+def _(s, d):
+    e = en.events(s, d)
+    return qu.decay(e, e.withColumn("hot_score", F.col("hot_score") * 0.9))
+
+
+@query("r21_stale_summaries_j7", "select id from evs where is_active and article_count > id % 9 and created_at < timestamp '2024-01-30 23:30:00' and id not in (select article_id from aq where id % 2 = 0 and status in ('PENDING', 'PROCESSING') and (id // 2) % 2 = 0) order by created_at, id limit 50", "events queue")
+def _(s, d):
+    e = en.events(s, d).withColumns({"articles_at_last_summary": F.col("id") % 9, "summarized_at": F.col("created_at")})
+    return qu.stale_summaries(e, en.events_queue(s, d), en.as_of()).select("id")
+
+
+@query("r22_top_published_f19", "select id, hot_score from evs where status = 'PUBLISHED' and is_active and hot_score >= 30 order by hot_score desc, id limit 20", "events")
+def _(s, d):
+    return fi.page(fi.apply_filters(en.events(s, d), {"status": "PUBLISHED", "is_active": True, "hot_score__gte": 30.0}), ["-hot_score"], 1, 20).select("id", "hot_score")
+
+
+@query("r26_merge_by_link", "select l_partkey as link, min(l_linenumber) as rank, arg_min(l_returnflag, (l_orderkey, l_linenumber)) filter (l_returnflag <> 'N') as content from lineitem group by 1")
+def _(s, d):
+    x = en.table(s, d, "lineitem").select(F.col("l_partkey").alias("link"), F.col("l_linenumber").alias("rank"), F.struct("l_orderkey", "l_linenumber").alias("seq"), F.lit("x").alias("published"), F.when(F.col("l_returnflag") == "N", "Unknown").otherwise(F.col("l_returnflag")).alias("content"))
+    return ha.merge_by_link(x).drop("published")
+
+
+@query("q1_rescue_stuck", f"select id, case when status = 'PROCESSING' and updated_at < {T} - interval 30 minute then 'PENDING' else status end as status from aq", "queue")
+def _(s, d):
+    return qu.rescue_stuck(en.articles_queue(s, d), en.as_of()).select("id", "status")
+
+
+@query("q2_retry_failed_q3", "select id, case when status = 'FAILED' and queue_name = 'filter' then 'PENDING' when status = 'PROCESSING' then 'PENDING' else status end as status from aq", "queue")
+def _(s, d):
+    return qu.reset_processing(qu.retry_failed(en.articles_queue(s, d), en.as_of(), "filter"), en.as_of()).select("id", "status")
+
+
+@query("q4_purge_done_k6", "select id, status from aq where status <> 'COMPLETED'", "queue")
+def _(s, d):
+    return qu.purge_done(en.articles_queue(s, d)).select("id", "status")
+
+
+@query("q5_expire_pending_q9_k5", f"select id, case when status = 'PENDING' and created_at < {T} - interval 7 day then 'COMPLETED' else status end as status, case when status = 'PENDING' and created_at < {T} - interval 7 day then 'expired' else msg end as msg from aq", "queue")
+def _(s, d):
+    return qu.expire_pending(en.articles_queue(s, d), en.as_of()).select("id", "status", "msg")
+
+
+@query("q8_janitor", f"select id, case when status = 'PROCESSING' and updated_at < {T} - interval 6 hour then 'PENDING' else status end as status from aq where not (status = 'COMPLETED' and updated_at < {T} - interval 7 day)", "queue")
+def _(s, d):
+    return qu.janitor(en.articles_queue(s, d), en.as_of()).select("id", "status")
+
+
+@query("q14_claim_x1", "select id, article_id from aq where status = 'PENDING' and queue_name = 'filter' order by created_at, id limit 50", "queue")
+def _(s, d):
+    return qu.claim(en.articles_queue(s, d), "filter", 50, [F.col("created_at").asc_nulls_last()]).select("id", "article_id")
+
+
+@query("fn_url_date_and_cut", "select doc_id, case when strlen(text) > 0 and length(text) > 1000 then left(text, 700) || chr(10) || '...' || chr(10) || right(text, 300) else text end as cut, make_date(2024, (doc_id % 12 + 1)::int, (doc_id % 28 + 1)::int) as d from documents")
+def _(s, d):
+    x = en.table(s, d, "documents")
+    url = F.concat(F.lit("https://a.test/2024/"), (F.col("doc_id") % 12 + 1).cast("string"), F.lit("/"), (F.col("doc_id") % 28 + 1).cast("string"), F.lit("/x"))
+    return x.select("doc_id", tx.head_and_tail(F.col("text"), 1000).alias("cut"), tx.url_date(url).alias("d"))
+
+
+@query("x9_leaky_bucket")
+def _(s, d):
+    r = en.table(s, d, "events").select(F.col("user_id").alias("key"), F.unix_seconds(F.col("ts").cast("timestamp")).cast("double").alias("ts"), F.lit(20.0).alias("cost"))
+    return st.rate_limited_batch(r, 60.0, 86400.0)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+    """Hybrid search."""
+    return hybrid(spark, sf_dir)
+
+
