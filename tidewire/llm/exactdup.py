@@ -71,7 +71,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     # Rows that are equal in everything are one row with a count until the end.
     narrow = materialize(narrow.groupBy("doc_id", "len", "prefix", "survives", "full").agg(F.count("*").alias("n")), "digests")
     groups = narrow.filter("survives").groupBy("len", "prefix", "full").agg(F.min("doc_id").alias("keep_id"), F.sum("n").alias("group_size"))
-    multiple = groups.filter("group_size > 1")
+    # Written first, so that the join deals its own sides and large groups of copies can be split.
+    multiple = materialize(groups.filter("group_size > 1"), "groups")
     g = multiple.select(F.col("len").alias("l"), F.col("prefix").alias("p"), F.col("full").alias("f"), "keep_id", "group_size")
     found = narrow.join(g, (F.col("len") == F.col("l")) & (F.col("prefix") == F.col("p")) & (F.col("full") == F.col("f")), "left")
     each = found.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
