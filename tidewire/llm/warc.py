@@ -39,7 +39,9 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), when.alias("captured_at"), payload.alias("payload"))
     rows = rows.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", F.sha2("payload", 256))
     groups = rows.filter(f"payload_bytes >= {REVISIT_FROM}").groupBy("payload_digest").agg(F.min("page_id").alias("keeper"), F.count("*").alias("n")).filter("n > 1")
-    joined = rows.join(groups.select("payload_digest", "keeper"), "payload_digest", "left")
+    # Written first, so that the join deals its own sides and a payload of very many pages can be split.
+    groups = materialize(groups.select("payload_digest", "keeper"), "payloads")
+    joined = rows.join(groups, "payload_digest", "left")
     return joined.withColumn("refers_to", F.when(F.col("page_id") != F.col("keeper"), F.col("keeper"))).drop("keeper")
 
 
