@@ -62,6 +62,8 @@ def repeated_units(docs: DataFrame, unit: str = "line", min_words: int = 8, id_c
     units = text_units(docs, unit, min_words, id_col, text_col)
     rank = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"), F.col("unit_no").alias("u"))
     kept = units.groupBy("digest").agg(F.min(rank).alias("kept"), F.count("*").alias("copies")).filter("copies > 1")
+    # Written first, so that the join deals its own sides and a very common unit can be split.
+    kept = materialize(kept, "kept")
     found = units.join(kept, "digest").filter(rank != F.col("kept"))
     keep_id: Column = F.when(F.col("kept.d") != (1 << 63) - 1, F.col("kept.d"))
     return found.select("doc_id", "unit_no", "start", "end", keep_id.alias("keep_doc_id"), F.col("kept.u").alias("keep_unit_no"), "copies").distinct()
