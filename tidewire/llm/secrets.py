@@ -119,7 +119,8 @@ def scan_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Null and empty texts have no spans. Other columns are ignored; an empty table gives no rows.
     """
     paths, findings, _ = scan_versions(docs, rules=rules, path_col=id_col, text_col=text_col)
-    found = findings_by_blob(findings, rules)
+    # Written first, so that the join deals its own sides and a blob of very many paths can be split.
+    found = materialize(findings_by_blob(findings, rules), "found")
     out = paths.join(found, "blob", "left")
     counts = [F.coalesce(f"n_{r.kind}", F.lit(0)).cast("long").alias(f"n_{r.kind}") for r in rules if r.base]
     return out.select(F.col("path").alias("doc_id"), *counts, F.sha2(F.coalesce("base", F.lit("")), 256).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"))
