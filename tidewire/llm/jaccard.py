@@ -266,6 +266,8 @@ def near_duplicate_components(docs: DataFrame, k: int = 5, percent: int = 80, id
     classes = rows.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"))
     if comps is not None:
         classes = classes.join(comps, classes["rep"] == comps["node"], "left").select("digest", F.coalesce("component", "rep").alias("rep"))
+    # Written first, so that the join deals its own sides and a large class can be split.
+    classes = materialize(classes, "classes")
     # Texts without k-grams are told apart by doc_id so that they don't meet in one task.
     key = F.coalesce("digest", F.col("doc_id").cast("string").cast("binary"))
     out = rows.withColumn("key", key).join(classes.withColumnRenamed("digest", "key"), "key", "left")
