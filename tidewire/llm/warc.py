@@ -182,7 +182,10 @@ def merge_index(captures: DataFrame, range_rows: int = 50_000, sample_rows: int
     total = captures.count()
     n_ranges = min(sample_rows, -(-total // range_rows)) or 1
     key = lambda r: (r["url_key"], r["captured_at"], r["page_id"] is None, r["page_id"] or 0)
-    sample = captures.select("url_key", "captured_at", "page_id").orderBy(F.xxhash64("url_key", "captured_at", "page_id")).limit(sample_rows).collect() if n_ranges > 1 else []
+    h = F.xxhash64("url_key", "captured_at", "page_id")
+    # About twice the sample is let through by hash, so that tasks send few rows; then its size is fixed.
+    few = F.pmod(h, F.lit(1 << 30)) <= min(1 << 30, 2 * sample_rows * (1 << 30) // max(1, total))
+    sample = captures.select("url_key", "captured_at", "page_id").filter(few).orderBy(h).limit(sample_rows).collect() if n_ranges > 1 else []
     keys = sorted(map(key, sample))
     borders = [keys[i * len(keys) // n_ranges] for i in range(1, n_ranges)] if keys else []
 
