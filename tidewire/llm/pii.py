@@ -40,9 +40,11 @@ _WORD = "|".join(DIGIT_WORDS)
 SPELLED = re.compile(rf"(?<![A-Za-z])(?:plus[ ,-]+)?(?:{_WORD})(?:[ ,-]{{1,3}}(?:{_WORD})){{6,}}(?![A-Za-z])", re.I | re.A)
 SPELLED_PART = re.compile(rf"plus|{_WORD}", re.I | re.A)
 _OPEN, _SHUT = r"[\[({<]", r"[\])}>]"
+#: Top-level domains after which a bare "at ... dot ..." counts as an address.
+_TOP = "com|org|net|edu|gov|info|biz|io|co|ai|app|dev|me|eu|uk|us|ca|de|fr|es|it|nl|ch|at|be|pt|br|in|jp|test|example"
 #: Bracketed "at" and "dot", or the bare words in the shape "name at host dot tld".
 BRACKETED = re.compile(rf"\s{{0,3}}{_OPEN}\s{{0,2}}(at|dot|@|\.)\s{{0,2}}{_SHUT}\s{{0,3}}", re.I | re.A)
-BARE = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}(\s+at\s+)[A-Za-z0-9-]{1,63}((?:(?:\s+dot\s+|\.)[A-Za-z0-9-]{1,63}){0,4}\s+dot\s+[A-Za-z0-9-]{2,24})(?![A-Za-z0-9-])", re.I | re.A)
+BARE = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}(\s+at\s+)[A-Za-z0-9-]{1,63}((?:(?:\s+dot\s+|\.)[A-Za-z0-9-]{1,63}){0,4}\s+dot\s+(?:" + _TOP + r"))(?![A-Za-z0-9-])", re.I | re.A)
 BARE_DOT = re.compile(r"\s+dot\s+", re.I | re.A)
 
 
