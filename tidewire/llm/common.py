@@ -45,14 +45,65 @@ def text_or_empty(text_col: str) -> Column:
     return F.coalesce(F.col(text_col).cast("string"), F.lit(""))
 
 
-def drop_keyed(docs: DataFrame, dropped: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of ``docs`` whose key is not in ``dropped``; null keys are equal to each other."""
-    marks = dropped.select(*[F.col(k).alias(f"__{k}") for k in keys]).distinct()
-    cond = None
+class Scratch:
+    """A folder in the shared one for tables that an operator needs only while it runs.
+
+    Clear it once all that was made from its tables is written itself: then no lineage leads back to it, and a lost
+    executor still costs a re-read only.
+    """
+
+    def __init__(self, spark: SparkSession, tag: str, parent: Scratch | None = None):
+        self.spark = spark
+        self.path = f"{parent.path}/{tag}-{uuid.uuid4().hex}" if parent else shared_path(spark, tag)
+
+    def write(self, df: DataFrame, tag: str) -> DataFrame:
+        path = f"{self.path}/{tag}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        """Delete the folder, whatever store it is in, and let Spark free the shuffles that nothing refers to any more."""
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        jvm.System.gc()
+
+
+_WORD_BITS = 32768  # positions in one bitmap of bitmap_construct_agg
+
+
+def slot_of(bits: int, *keys: Column) -> Column:
+    """One of ``2**bits`` slots, by the keys' hash."""
+    return F.shiftrightunsigned(F.xxhash64(*keys), 64 - bits)
+
+
+def slot_bitmap(keys: DataFrame, slot: Column) -> DataFrame:
+    """(__base, __bitmap) of the keys' slots; at most 2**bits / 32768 rows of 4 KB, so that it can be broadcast."""
+    s = keys.select(slot.alias("s"))
+    return s.groupBy(F.floor(F.col("s") / _WORD_BITS).alias("__base")).agg(F.bitmap_construct_agg(F.col("s") % _WORD_BITS).alias("__bitmap"))
+
+
+def with_slot(rows: DataFrame, bitmap: DataFrame, slot: Column) -> DataFrame:
+    """``rows`` with a column __hit: whether the slot's bit is set. The bitmap's fixed size allows the broadcast."""
+    joined = rows.join(F.broadcast(bitmap), F.floor(slot / _WORD_BITS) == F.col("__base"), "left")
+    at = slot % _WORD_BITS
+    byte = F.conv(F.hex(F.substring("__bitmap", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return joined.withColumn("__hit", F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))).drop("__base", "__bitmap")
+
+
+def drop_keyed(docs: DataFrame, dropped: DataFrame, keys: list[str], filter_bits: int = 24) -> DataFrame:
+    """Rows of ``docs`` whose key is not in ``dropped``; null keys are equal to each other.
+
+    A bitmap of fixed size tells most rows that stay, which are not shuffled; only the others meet the dropped keys.
+    """
+    marks = materialize(dropped.select(*[F.col(k).alias(f"__{k}") for k in keys]).distinct(), "dropped")
+    slot = slot_of(filter_bits, *[F.col(k) for k in keys])
+    rows = with_slot(docs, slot_bitmap(marks, slot_of(filter_bits, *[F.col(f"__{k}") for k in keys])), slot)
+    maybe = rows.filter("__hit").drop("__hit")
+    cond = F.lit(True)
     for k in keys:
-        one = docs[k].eqNullSafe(marks[f"__{k}"])
-        cond = one if cond is None else cond & one
-    return docs.join(marks, cond, "left_anti")
+        cond = cond & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return rows.filter("not __hit").drop("__hit").unionByName(maybe.join(marks, cond, "left_anti"))
 
 
 def hash_bitmap(values: DataFrame, col: str, bits: int):

@@ -13,9 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import materialize, text_or_empty
-
-_WORD_BITS = 32768  # positions in one bitmap of bitmap_construct_agg
+from tidewire.llm.common import materialize, slot_bitmap, slot_of, text_or_empty, with_slot
 
 
 def normalised(text_col: str) -> Column:
@@ -23,24 +21,6 @@ def normalised(text_col: str) -> Column:
     return F.regexp_replace(text_or_empty(text_col), r"[\x20\x09-\x0D]+", " ")
 
 
-def _slot(length: Column, prefix: Column, bits: int) -> Column:
-    return F.shiftrightunsigned(F.xxhash64(length, prefix), 64 - bits)
-
-
-def _bitmap(keys: DataFrame, bits: int) -> DataFrame:
-    """(base, bitmap) of the keys' slots; at most 2**bits / 32768 rows of 4 KB."""
-    slot = _slot(F.col("len"), F.col("prefix"), bits)
-    s = keys.select(slot.alias("s"))
-    return s.groupBy(F.floor(F.col("s") / _WORD_BITS).alias("base")).agg(F.bitmap_construct_agg(F.col("s") % _WORD_BITS).alias("bitmap"))
-
-
-def _bit(slot: Column, bitmap: Column) -> Column:
-    """Whether the slot's bit is set; null bitmaps have none."""
-    at = slot % _WORD_BITS
-    byte = F.conv(F.hex(F.substring(bitmap, (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    return F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
-
-
 def duplicate_keys(docs: DataFrame, text_col: str = "text", prefix_chars: int = 256) -> DataFrame:
     """(len, prefix) that more than one row has, found in two steps: by length, then with the prefix hash."""
     norm = docs.select(normalised(text_col).alias("t"))
@@ -59,15 +39,14 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     before their full text was hashed, unless digest_all asks for it. Other columns are ignored; an empty table gives
     no rows.
     """
-    bitmap = _bitmap(duplicate_keys(docs, text_col, prefix_chars), filter_bits)
+    slot = slot_of(filter_bits, F.col("len"), F.col("prefix"))
+    bitmap = slot_bitmap(duplicate_keys(docs, text_col, prefix_chars), slot)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), normalised(text_col).alias("t"))
     rows = rows.withColumn("len", F.octet_length("t")).withColumn("prefix", F.xxhash64(F.substring("t", 1, prefix_chars)))
-    rows = rows.withColumn("slot", _slot(F.col("len"), F.col("prefix"), filter_bits))
-    # The bitmap has a fixed size (2**filter_bits bits), so it is broadcast.
-    rows = rows.join(F.broadcast(bitmap), F.floor(F.col("slot") / _WORD_BITS) == F.col("base"), "left")
-    survives = _bit(F.col("slot"), F.col("bitmap"))
+    rows = with_slot(rows, bitmap, slot)
+    survives = F.col("__hit")
     full = F.sha2("t", 256) if digest_all else F.when(survives, F.sha2("t", 256))
-    narrow = rows.select("doc_id", "len", "prefix", F.when(survives, True).otherwise(False).alias("survives"), F.unhex(full).alias("full"))
+    narrow = rows.select("doc_id", "len", "prefix", survives.alias("survives"), F.unhex(full).alias("full"))
     # Rows that are equal in everything are one row with a count until the end.
     narrow = materialize(narrow.groupBy("doc_id", "len", "prefix", "survives", "full").agg(F.count("*").alias("n")), "digests")
     groups = narrow.filter("survives").groupBy("len", "prefix", "full").agg(F.min("doc_id").alias("keep_id"), F.sum("n").alias("group_size"))
