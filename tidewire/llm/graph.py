@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import materialize
+from tidewire.llm.common import Scratch
 
 
 def _star(edges: DataFrame, small: bool) -> DataFrame:
@@ -21,14 +21,16 @@ def _star(edges: DataFrame, small: bool) -> DataFrame:
     return out.filter(F.col("hi") > F.col("lo")).distinct()
 
 
-def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(links: DataFrame, scratch: Scratch | None = None, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of ``links`` (a, b); the component is its smallest node.
 
-    Each round is written to the shared folder, so the plan stays short and a lost executor costs a re-read.
-    Ends when a round changes nothing; the number of rounds grows with the logarithm of a component's size.
+    Each round is written to the shared folder (to ``scratch``, where given), so the plan stays short and a lost
+    executor costs a re-read. Ends when a round changes nothing; the number of rounds grows with the logarithm of a
+    component's size.
     """
+    at = Scratch(links.sparkSession, "components", scratch)
     edges = links.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).filter("hi > lo").distinct()
-    edges = materialize(edges, "edges")
+    edges = at.write(edges, "edges")
     before = None
     for _ in range(max_rounds):
         # Sums of hashes tell whether two rounds hold the same edges.
@@ -36,7 +38,7 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         if (row.n, row.h) == before:
             break
         before = (row.n, row.h)
-        edges = materialize(_star(_star(edges, small=False), small=True), "edges")
+        edges = at.write(_star(_star(edges, small=False), small=True), "edges")
     else:
         raise RuntimeError("components did not settle")
     own = edges.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct()

@@ -6,10 +6,10 @@
    the input's size (any fixed order gives the same result; rarity only decides how few pairs meet).
 3. Sets that are similar enough share a k-gram among their first ``n - ceil(t*n) + 1``; those are the postings.
 4. Pairs in one posting list pass the length, positional and suffix filters, and are verified once on whole sets.
-5. Links make components. A posting list of many near copies is not paired out: as long as the pairs between
-   *different* components outnumber the postings, one hub per list meets all others and the components are drawn
-   again; what still lies in different components after that is paired completely. No cap: every pair that could
-   join two components is verified.
+5. Links make components. A posting list of many near copies is not paired out: at every size, one hub per list first
+   meets all others and the components are drawn; this is repeated as long as the pairs between *different* components
+   outnumber the postings and it halves them; what still lies in different components after that is paired
+   completely. No cap: every pair that could join two components is verified.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.llm import arrowtext as at
-from tidewire.llm.common import hash_bitmap, materialize
+from tidewire.llm.common import Scratch, hash_bitmap, materialize
 from tidewire.llm.graph import connected_components
 
 #: Hash ranges whose counts the suffix filter compares.
@@ -84,7 +84,7 @@ def rarity_table(sets: DataFrame, rarity_bits: int) -> np.ndarray:
     return table
 
 
-def _prefixes(docs: DataFrame, reps: DataFrame, rarity, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+def _prefixes(docs: DataFrame, reps: DataFrame, rarity, k: int, percent: int, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
     """(doc, n, prefix, bins) of each class's document: its rarest k-grams in the common order, and suffix-filter counts."""
     least = _least_n(percent)
 
@@ -116,7 +116,7 @@ def _prefixes(docs: DataFrame, reps: DataFrame, rarity, k: int, percent: int, id
 
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     out = picked.mapInArrow(run, "doc long, n long, prefix array<long>, bins array<smallint>")
-    return materialize(out.join(reps.select(F.col("rep").alias("doc")), "doc", "left_semi"), "prefixes")
+    return scratch.write(out.join(reps.select(F.col("rep").alias("doc")), "doc", "left_semi"), "prefixes")
 
 
 def _least_n(percent: int) -> int:
@@ -124,7 +124,7 @@ def _least_n(percent: int) -> int:
     return -(-percent // (100 - percent))
 
 
-def _token_sets(docs: DataFrame, wanted: DataFrame, k: int, percent: int, id_col: str, text_col: str, filter_bits: int) -> DataFrame:
+def _token_sets(docs: DataFrame, wanted: DataFrame, k: int, percent: int, id_col: str, text_col: str, filter_bits: int, scratch: Scratch) -> DataFrame:
     """(doc, toks) of the documents in ``wanted``, read again from their texts; others leave the scan at once."""
     bitmap = docs.sparkSession.sparkContext.broadcast(hash_bitmap(wanted.select(F.xxhash64("doc").alias("h")), "h", filter_bits))
     least = _least_n(percent)
@@ -147,18 +147,18 @@ def _token_sets(docs: DataFrame, wanted: DataFrame, k: int, percent: int, id_col
 
     slot = F.shiftrightunsigned(F.xxhash64(F.col(id_col).cast("long")), 64 - filter_bits)
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), slot.alias("slot")).filter("doc_id is not null")
-    return materialize(picked.mapInArrow(run, "doc long, toks array<long>").join(wanted, "doc", "left_semi"), "tokens")
+    return scratch.write(picked.mapInArrow(run, "doc long, toks array<long>").join(wanted, "doc", "left_semi"), "tokens")
 
 
 def _token_batch(ids: list, flat: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), at.list_column(np.concatenate(flat) if flat else np.zeros(0, np.int64), [len(x) for x in flat], pa.int64())], names=["doc", "toks"])
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int, id_col: str, text_col: str, filter_bits: int) -> DataFrame:
+def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int, id_col: str, text_col: str, filter_bits: int, scratch: Scratch) -> DataFrame:
     """Those of the pairs (a, b) that reach the threshold on their whole sets."""
-    pairs = materialize(pairs, "pairs")
+    pairs = scratch.write(pairs, "pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
-    tokens = _token_sets(docs, wanted, k, percent, id_col, text_col, filter_bits)
+    tokens = _token_sets(docs, wanted, k, percent, id_col, text_col, filter_bits, scratch)
     ta, tb = (tokens.select(F.col("doc").alias(s), F.col("toks").alias(f"toks_{s}")) for s in "ab")
     both = F.size(F.array_intersect("toks_a", "toks_b")).cast("long")
     union = F.size("toks_a") + F.size("toks_b") - both
@@ -212,43 +212,51 @@ def _hubs(work: DataFrame, step: int) -> DataFrame:
     return work.groupBy("tok").agg(F.min_by("doc", by_place if step == 0 else F.struct(F.xxhash64("doc", F.lit(step)))).alias("doc"))
 
 
-def near_links(docs: DataFrame, sets: DataFrame, k: int, percent: int, rarity_bits: int, id_col: str = "doc_id", text_col: str = "text", filter_bits: int = 24) -> DataFrame | None:
-    """(node, component) over classes with partners, or None where no k-gram is shared."""
+def _open_lists(work: DataFrame, comps: DataFrame, scratch: Scratch) -> tuple[DataFrame, float]:
+    """(postings of the lists that still hold several components, how many pairs of different components they hold).
+
+    Components only grow, so a list that has settled never opens again: each round reads what the last one left.
+    """
+    placed = work.drop("comp").join(comps, work["doc"] == comps["node"], "left").withColumn("comp", F.coalesce("component", "doc")).select("tok", "doc", "n", "pos", "size", "comp")
+    groups = placed.groupBy("tok", "comp").agg(F.count("*").cast("double").alias("c"))
+    mixed = groups.groupBy("tok").agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("pairs"))
+    mixed = scratch.write(mixed.filter("pairs > 0"), "mixed")
+    return scratch.write(placed.join(mixed.select("tok"), "tok", "left_semi"), "work"), mixed.agg(F.sum("pairs")).first()[0] or 0
+
+
+def near_links(docs: DataFrame, sets: DataFrame, k: int, percent: int, rarity_bits: int, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", filter_bits: int = 24) -> DataFrame | None:
+    """(node, component) over classes with partners, or None where no k-gram is shared. Its tables are in ``scratch``."""
     spark = docs.sparkSession
     reps = sets.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n")).filter(f"rep is not null and n >= {_least_n(percent)}")
     rarity = spark.sparkContext.broadcast(rarity_table(sets, rarity_bits))
-    meta = _prefixes(docs, reps, rarity, k, percent, id_col, text_col)
+    meta = _prefixes(docs, reps, rarity, k, percent, id_col, text_col, scratch)
     postings = meta.select("doc", "n", F.posexplode("prefix").alias("pos", "tok")).select("tok", "doc", "n", F.col("pos").cast("long").alias("pos"))
     shared = postings.groupBy("tok").agg(F.count("*").alias("size")).filter("size > 1")
-    live = materialize(postings.join(shared, "tok"), "postings")
-    n_live = live.count()
+    last = Scratch(spark, "round", scratch)
+    work = last.write(postings.join(shared, "tok").withColumn("comp", F.col("doc")), "postings")
+    n_live = work.count()
     if not n_live:
         return None
 
-    comps = links = None
-    before, step = float("inf"), 0
+    links = None
+    open_pairs, before, step = float("inf"), float("inf"), 0
     while True:
-        if comps is None:
-            work = live.withColumn("comp", F.col("doc"))
-            open_pairs = live.agg(F.sum((F.col("size") - 1) / 2)).first()[0]
-        else:
-            at_work = live.join(comps, live["doc"] == comps["node"], "left").withColumn("comp", F.coalesce("component", "doc")).select("tok", "doc", "n", "pos", "size", "comp")
-            groups = at_work.groupBy("tok", "comp").agg(F.count("*").cast("double").alias("c"))
-            mixed = groups.groupBy("tok").agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("pairs")).filter("pairs > 0")
-            open_pairs = mixed.agg(F.sum("pairs")).first()[0] or 0
-            if not open_pairs:
-                return comps
-            work = materialize(at_work.join(mixed.select("tok"), "tok", "left_semi"), "work")
         # Few pairs, or hubs no longer draw components together: what is left is paired completely.
-        complete = open_pairs <= 4 * n_live or open_pairs > before / 2
+        complete = step > 0 and (open_pairs <= 4 * n_live or open_pairs > before / 2)
         other = work if complete else work.join(_hubs(work, step), ["tok", "doc"], "left_semi")
         pairs = _filtered_pairs(work, other, meta, percent, ordered=complete)
-        found = materialize(_verified(docs, pairs, k, percent, id_col, text_col, filter_bits), "links")
+        now = Scratch(spark, "round", scratch)
+        found = scratch.write(_verified(docs, pairs, k, percent, id_col, text_col, filter_bits, now), "links")
         links = found if links is None else links.unionByName(found)
-        comps = connected_components(links)
+        comps = connected_components(links, now)
         if complete:
             return comps
         before, step = open_pairs, step + 1
+        work, open_pairs = _open_lists(work, comps, now)
+        last.clear()
+        last = now
+        if not open_pairs:
+            return comps
 
 
 def near_duplicate_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", rarity_bits: int = 20) -> DataFrame:
@@ -262,12 +270,14 @@ def near_duplicate_components(docs: DataFrame, k: int = 5, percent: int = 80, id
     """
     sets = shingle_sets(docs, k, rarity_bits, id_col, text_col)
     rows = sets.filter(F.col("counters").isNull()).select("doc_id", "n", "digest")
-    comps = near_links(docs, sets, k, percent, rarity_bits, id_col, text_col)
+    scratch = Scratch(docs.sparkSession, "near")
+    comps = near_links(docs, sets, k, percent, rarity_bits, scratch, id_col, text_col)
     classes = rows.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"))
     if comps is not None:
         classes = classes.join(comps, classes["rep"] == comps["node"], "left").select("digest", F.coalesce("component", "rep").alias("rep"))
     # Written first, so that the join deals its own sides and a large class can be split.
     classes = materialize(classes, "classes")
+    scratch.clear()
     # Texts without k-grams are told apart by doc_id so that they don't meet in one task.
     key = F.coalesce("digest", F.col("doc_id").cast("string").cast("binary"))
     out = rows.withColumn("key", key).join(classes.withColumnRenamed("digest", "key"), "key", "left")
