@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 
 from tidewire.functions import text as tx
 from tidewire.operators import decisions as de
+from tidewire.operators import desk as dk
 from tidewire.operators import queues as qu
 from tidewire.operators import rollup as ru
 from tidewire.operators import score as sc
 from tidewire.operators import search as se
 from tidewire.operators.analytics import histogram
-from tidewire.operators.split import split_labels
+from tidewire.operators.split import apply_split, split_labels
 from tidewire.sources import harvest as ha
 from tidewire.streaming import streams as st
 
@@ -148,3 +149,30 @@ def test_feeds(spark):
     assert [r.link for r in ha.sitemap_urls(maps).collect()] == ["https://a/9"]
     api = spark.createDataFrame([('{"items":[{"config":{"order":{"data":{"title":"T","linkExterno":"","url":"/u","createdAt":"2024"}}}}]}',)], "json string")
     assert ha.api_items(api, "https://s").first().link == "https://s/u"
+
+
+def test_dissolve_requeues_articles_and_clears_the_rest(spark):
+    events = spark.createDataFrame([(1, "a"), (2, "b")], "id long, title string")
+    articles = spark.createDataFrame([(10, 1, "x", 0.5), (11, 2, "y", 0.1), (12, 1, "z", None)], "id long, event_id long, title string, stance double")
+    queue = spark.createDataFrame([(10, "FAILED", "filter", NOW - dt.timedelta(days=9), NOW, 3, "old"), (11, "COMPLETED", "cluster", NOW, NOW, 1, "ok")], "article_id long, status string, queue_name string, created_at timestamp_ntz, updated_at timestamp_ntz, attempts int, msg string")
+    jobs = spark.createDataFrame([(1, "PENDING"), (2, "PENDING")], "event_id long, status string")
+    proposals = spark.createDataFrame([(1, 2), (3, 1), (2, 4), (None, 2)], "source_id long, target_id long")
+    out = dk.dissolve(events, articles, queue, jobs, proposals, spark.createDataFrame([(1,), (1,)], "id long"), now())
+    assert [r.id for r in out.events.collect()] == [2]
+    assert sorted((r.id, r.event_id, r.title, r.stance) for r in out.articles.collect() if r.id != 11) == [(10, None, "Unknown", None), (12, None, "Unknown", None)]
+    rows = {r.article_id: (r.status, r.queue_name, r.created_at, r.attempts, r.msg) for r in out.articles_queue.collect()}
+    again = "Dissolved from Event 1"
+    assert rows == {10: ("PENDING", "enricher", NOW - dt.timedelta(days=9), 3, again), 11: ("COMPLETED", "cluster", NOW, 1, "ok"), 12: ("PENDING", "enricher", NOW, 0, again)}
+    assert [r.event_id for r in out.events_queue.collect()] == [2]
+    assert sorted((r.source_id or 0, r.target_id) for r in out.proposals.collect()) == [(0, 2), (2, 4)]
+
+
+def test_split_leaves_busy_and_whole_events(spark):
+    rows = [(1, i, None if i == 2 else 5, NOW) for i in (1, 2, 3)] + [(2, 4, 1, NOW), (2, 5, 1, NOW), (3, 6, 1, NOW)]
+    a = spark.createDataFrame(rows, "event_id long, id long, source_rank long, published_date timestamp_ntz")
+    groups = a.select("event_id", "id", F.when(F.col("id").isin(2, 5), 1).otherwise(0).alias("group_no"))
+    busy = spark.createDataFrame([(2, "enhancer", "PROCESSING")], "event_id long, queue_name string, status string")
+    out = apply_split(a, groups, busy, F.col("event_id") * 100 + F.col("seed_id"))
+    assert {r.id: r.event_id for r in out.articles.collect()} == {1: 1, 2: 102, 3: 1, 4: 2, 5: 2, 6: 3}
+    assert [(r.id, r.parent_id, r.article_count) for r in out.events.collect()] == [(102, 1, 1)]
+    assert sorted(r.event_id for r in out.jobs.collect()) == [1, 102]

@@ -119,6 +119,32 @@ def summary_due(events: DataFrame, as_of: Column, minutes: int = 15, backlog: in
     return events.filter(F.coalesce("forced", F.lit(False)) | (F.col("backlog") > backlog) | F.col("summarized_at").isNull() | (F.col("summarized_at") <= ago(as_of, minutes=minutes)))
 
 
+def delta_articles(articles: DataFrame, proposals: DataFrame, size: int = 5) -> DataFrame:
+    """An event's articles that are done and in no open proposal, oldest first, with ``batch_no`` from 0.
+
+    ``articles``: event_id, id, published_date, summary_status and whatever the batches need.
+    """
+    busy = proposals.filter(F.col("status").isin("PENDING", "PROCESSING")).select(F.col("source_id").alias("id"))
+    oldest = W.partitionBy("event_id").orderBy("published_date", "id")
+    delta = articles.filter("summary_status = 'COMPLETED'").join(busy, "id", "left_anti").withColumn("rn", F.row_number().over(oldest).cast("long"))
+    return delta.withColumn("batch_no", F.floor((F.col("rn") - 1) / size))
+
+
+def batch_inputs(delta: DataFrame) -> DataFrame:
+    """(event_id, batch_no, inputs): bias, key points and source of each article that has key points, in order."""
+    one = F.struct("rn", "bias", "key_points", F.col("newspaper").alias("source"))
+    per = delta.filter(F.size("key_points") > 0).groupBy("event_id", "batch_no").agg(F.array_sort(F.collect_list(one)).alias("i"))
+    return per.select("event_id", "batch_no", F.transform("i", lambda x: F.struct(x["bias"].alias("bias"), x["key_points"].alias("key_points"), x["source"].alias("source"))).alias("inputs"))
+
+
+def enhance_action(events: DataFrame, as_of: Column, minutes: int = 15, backlog: int = 10) -> DataFrame:
+    """``action`` of events with summarized_at, forced, backlog (articles) and merged (newly merged events)."""
+    n, forced = F.coalesce("backlog", F.lit(0)), F.coalesce("forced", F.lit(False))
+    soon = F.coalesce(F.col("summarized_at") > ago(as_of, minutes=minutes), F.lit(False))
+    none = (n == 0) & (F.coalesce("merged", F.lit(0)) == 0)
+    return events.withColumn("action", F.when(soon & ~forced & (n <= backlog), "DEBOUNCED").when(none & ~forced, "SKIPPED_EMPTY").otherwise("ENHANCE"))
+
+
 def merge_relink(articles: DataFrame, mapping: DataFrame) -> DataFrame:
     """Articles of victims move to their survivors (victim_id, survivor_id)."""
     m = mapping.select(F.col("victim_id").alias("event_id"), "survivor_id")

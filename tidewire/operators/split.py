@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 from tidewire.config import DEFAULTS, Settings
 
@@ -58,3 +62,38 @@ def split_events(articles: DataFrame, s: Settings = DEFAULTS, dimension: int = 7
         return pd.DataFrame({"event_id": [], "id": [], "group_no": []})
 
     return articles.select("event_id", "id", "published_date", "embedding").groupBy("event_id").applyInPandas(one, "event_id long, id long, group_no long")
+
+
+@dataclass(frozen=True)
+class Split:
+    """articles: all, those that left with their new event_id; events, proposals and jobs: rows to add."""
+
+    articles: DataFrame
+    events: DataFrame
+    proposals: DataFrame
+    jobs: DataFrame
+
+
+def apply_split(articles: DataFrame, groups: DataFrame, queue: DataFrame | None = None, new_id: Column | None = None) -> Split:
+    """Of an event's groups (event_id, id, group_no) the largest stays, each other becomes an event of its own.
+
+    Of equally large groups the one with the smallest number stays. A new event is seeded by the article of the best
+    source rank (null counts as 999; then the oldest); ``new_id`` is an expression over event_id and seed_id. Children
+    get a rejected proposal with their parent, so that they aren't merged back, and all are summarised again. Events
+    whose enhancer job is being processed in ``queue`` stay whole.
+    """
+    if queue is not None:
+        busy = queue.filter("queue_name = 'enhancer' and status = 'PROCESSING'").select("event_id")
+        groups = groups.join(busy, "event_id", "left_anti")
+    rank = F.struct(F.coalesce("source_rank", F.lit(999)).alias("r"), "published_date", "id")
+    placed = articles.select("event_id", "id", "source_rank", "published_date").join(groups.select("event_id", "id", "group_no"), ["event_id", "id"])
+    sizes = placed.groupBy("event_id", "group_no").agg(F.count("*").alias("article_count"), F.min_by("id", rank).alias("seed_id"))
+    by_size = W.partitionBy("event_id").orderBy(F.desc("article_count"), "group_no")
+    leaving = sizes.withColumn("_rn", F.row_number().over(by_size)).filter("_rn > 1").drop("_rn")
+    leaving = leaving.withColumn("new_id", F.xxhash64("event_id", "seed_id") if new_id is None else new_id)
+    moved = groups.join(leaving.select("event_id", "group_no", "new_id"), ["event_id", "group_no"]).select("event_id", "id", "new_id")
+    after = articles.join(moved, ["event_id", "id"], "left").withColumn("event_id", F.coalesce("new_id", "event_id")).select(*articles.columns)
+    events = leaving.select(F.col("new_id").alias("id"), F.col("event_id").alias("parent_id"), "seed_id", "article_count")
+    proposals = events.select(F.col("id").alias("source_id"), F.col("parent_id").alias("target_id"), F.lit(0.0).alias("distance"), F.lit("REJECTED").alias("status"), F.lit("Split Origin Immunity").alias("reason"))
+    jobs = events.select(F.explode(F.array("id", "parent_id")).alias("event_id")).distinct()
+    return Split(after, events, proposals, jobs.withColumns({"queue_name": F.lit("enhancer"), "status": F.lit("PENDING"), "msg": F.lit("FORCE")}))

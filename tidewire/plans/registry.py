@@ -12,11 +12,13 @@ from tidewire.functions import text as tx
 from tidewire.functions.vectors import cosine_distance
 from tidewire.operators import analytics as an
 from tidewire.operators import decisions as de
+from tidewire.operators import desk as dk
 from tidewire.operators import filters as fi
 from tidewire.operators import queues as qu
 from tidewire.operators import rollup as ru
 from tidewire.operators import score as sc
 from tidewire.operators import search as se
+from tidewire.operators import split as sp
 from tidewire.plans.oracle_views import with_views
 from tidewire.sources import entities as en
 from tidewire.sources import harvest as ha
@@ -516,6 +518,29 @@ def _(s, d):
     return sc.publish_gate(sc.spectrum_score(g, en.as_of()), en.as_of()).select("event_id", "hot_score", F.array_join("insights", ",").alias("insights"), "blind_side", "decision", "reason")
 
 
+_SPLIT = ", c as (select event_id, id % 3 as group_no, count(*) as n, arg_min(id, (coalesce(source_rank, 999), published_date, id)) as seed from articles group by 1, 2), k as (select *, row_number() over (partition by event_id order by n desc, group_no) as rn from c)"
+
+
+def _split(s, d):
+    a = en.articles(s, d).select("id", "event_id", "source_rank", "published_date")
+    return sp.apply_split(a, a.select("event_id", "id", (F.col("id") % 3).alias("group_no")), new_id=F.col("event_id") * 1000000 + F.col("seed_id"))
+
+
+@query("r15_apply_split", _SPLIT + " select a.id, case when rn > 1 then a.event_id * 1000000 + seed else a.event_id end as event_id from articles a join k on a.event_id = k.event_id and a.id % 3 = group_no", "articles")
+def _(s, d):
+    return _split(s, d).articles.select("id", "event_id")
+
+
+@query("r15_split_immunity", _SPLIT + " select event_id * 1000000 + seed as source_id, event_id as target_id, 0::double as distance, 'REJECTED' as status from k where rn > 1", "articles")
+def _(s, d):
+    return _split(s, d).proposals.drop("reason")
+
+
+@query("r15_split_jobs", _SPLIT + " select event_id * 1000000 + seed as event_id, 'FORCE' as msg from k where rn > 1 union select event_id, 'FORCE' from k where rn > 1", "articles")
+def _(s, d):
+    return _split(s, d).jobs.select("event_id", "msg")
+
+
 @query("r16_merge_relink", "select id, case when event_id % 2 = 1 then event_id - 1 else event_id end as event_id from articles", "articles")
 def _(s, d):
     m = en.articles(s, d).filter("event_id % 2 = 1").select(F.col("event_id").alias("victim_id"), (F.col("event_id") - 1).alias("survivor_id")).distinct()
@@ -551,6 +576,67 @@ def _(s, d):
     return fi.page(fi.apply_filters(en.events(s, d), {"status": "PUBLISHED", "is_active": True, "hot_score__gte": 30.0}), ["-hot_score"], 1, 20).select("id", "hot_score")
 
 
+@query("r23_event_detail", ", al as (select event_id, string_agg(id::varchar || ':' || coalesce(bias, 'Unknown'), ',' order by published_date desc, id desc) as articles from articles left join newspapers on newspaper = name group by 1), qt as (select article_id as event_id, arg_min(['enhancer','publisher'][(id // 2) % 2 + 1] || ' (' || status || ')', id) as queue_tag from aq where id % 2 = 0 and status in ('PENDING', 'PROCESSING', 'WAITING') group by 1), pt as (select source_id as pid from pr where status = 'PENDING' union select target_id from pr where status = 'PENDING') select id, status, hot_score, articles, queue_tag, case when pid is not null then 'Merge Proposed' end as proposal_tag from evs left join al on al.event_id = id left join qt on qt.event_id = id left join pt on pid = id", "articles newspapers events queue proposals")
+def _(s, d):
+    a = en.articles(s, d).join(en.newspapers(s, d), F.col("newspaper") == F.col("name"), "left")
+    x = dk.event_detail(en.events(s, d), a, en.events_queue(s, d), en.proposals(s, d))
+    shown = F.array_join(F.transform("articles", lambda r: F.concat(r["id"].cast("string"), F.lit(":"), r["bias"])), ",")
+    return x.select("id", "status", "hot_score", shown.alias("articles"), "queue_tag", "proposal_tag")
+
+
+@query("r24_waiting_events", "select evs.id, article_count, case when article_count > 5 then 'Topic/Niche' else 'Low Volume' end as reason from evs join aq on evs.id = aq.article_id where aq.id % 2 = 0 and aq.status = 'WAITING'", "events queue")
+def _(s, d):
+    return dk.waiting_events(en.events(s, d), en.events_queue(s, d)).select("id", "article_count", "reason")
+
+
+@query("r24_next_proposal", "select source_id, target_id, distance from pr where status = 'PENDING' order by distance, source_id, target_id limit 1", "proposals")
+def _(s, d):
+    return dk.next_proposal(en.proposals(s, d)).select("source_id", "target_id", "distance")
+
+
+@query("r25_delta_batches", ", x as (select id, event_id, bias, newspaper, row_number() over (partition by event_id order by published_date, id) as rn from articles join newspapers on newspaper = name where id % 4 <> 1 and id not in (select source_id from pr where status in ('PENDING', 'PROCESSING'))) select event_id, (rn - 1) // 5 as batch_no, count(*) as n, string_agg(bias || '/' || newspaper, ',' order by rn) as inputs from x where id % 5 <> 0 group by 1, 2", "articles newspapers proposals")
+def _(s, d):
+    a = _outlet_articles(s, d).withColumns({"summary_status": F.when(F.col("id") % 4 == 1, "PENDING").otherwise("COMPLETED"), "key_points": F.when(F.col("id") % 5 != 0, F.array("title"))})
+    x = qu.batch_inputs(qu.delta_articles(a, en.proposals(s, d)))
+    shown = F.array_join(F.transform("inputs", lambda i: F.concat(i["bias"], F.lit("/"), i["source"])), ",")
+    return x.select("event_id", "batch_no", F.size("inputs").cast("long").alias("n"), shown.alias("inputs"))
+
+
+@query("r25_enhance_action_x8", f"select id, case when last_updated_at > {T} - interval 15 minute and id % 13 <> 0 and article_count <= 10 then 'DEBOUNCED' when article_count = 0 and id % 3 = 0 and id % 13 <> 0 then 'SKIPPED_EMPTY' else 'ENHANCE' end as action from evs", "events")
+def _(s, d):
+    e = en.events(s, d).withColumns({"summarized_at": F.col("last_updated_at"), "forced": F.col("id") % 13 == 0, "backlog": F.col("article_count"), "merged": F.col("id") % 3})
+    return qu.enhance_action(e, en.as_of()).select("id", "action")
+
+
+@query("r27_archive_approve", f"select id, case when id % 4 = 0 then 'ARCHIVED' when id % 6 = 1 then 'PUBLISHED' else status end as status, is_active and id % 4 <> 0 as is_active, case when id % 6 = 1 then {T} end as published_at from evs", "events")
+def _(s, d):
+    e = en.events(s, d).withColumn("published_at", F.lit(None).cast("timestamp_ntz"))
+    e = dk.archive_by_hand(e, e.filter("id % 4 = 0"), en.as_of())
+    e, _ = dk.approve(e, en.events_queue(s, d), e.filter("id % 6 = 1"), en.as_of())
+    return e.select("id", "status", "is_active", "published_at")
+
+
+@query("r27_approved_jobs", "select id, case when status = 'WAITING' and article_id % 6 = 1 then 'COMPLETED' else status end as status, case when status = 'WAITING' and article_id % 6 = 1 then 'Approved by hand' else msg end as msg from aq where id % 2 = 0", "queue")
+def _(s, d):
+    q = en.events_queue(s, d)
+    e = en.events(s, d).withColumn("published_at", F.lit(None).cast("timestamp_ntz"))
+    return dk.approve(e, q, q.filter("event_id % 6 = 1").select(F.col("event_id").alias("id")), en.as_of())[1].select("id", "status", "msg")
+
+
+@query("r27_edit_boost", "select id, case when id % 2 = 0 then 'EDITED' else status end as status, case when id % 3 = 0 then hot_score + 10 else hot_score end as editorial_score from evs", "events")
+def _(s, d):
+    e = en.events(s, d).withColumnRenamed("hot_score", "editorial_score")
+    edited = dk.edit_events(e, e.select("id", F.when(F.col("id") % 2 == 0, "EDITED").alias("status")))
+    return dk.boost(edited, e.filter("id % 3 = 0").select("id", F.lit(10).alias("amount"))).select("id", "status", "editorial_score")
+
+
+@query("r27_dissolve", "select id, case when event_id % 5 <> 0 then event_id end as event_id, case when event_id % 5 = 0 then 'Unknown' else title end as title, case when event_id % 5 <> 0 then stance end as stance from articles", "articles")
+def _(s, d):
+    a, q = en.articles(s, d), en.articles_queue(s, d)
+    ids = a.filter("event_id % 5 = 0").select(F.col("event_id").alias("id")).distinct()
+    return dk.dissolve(en.events(s, d), a, q, en.events_queue(s, d), en.proposals(s, d), ids, en.as_of()).articles.select("id", "event_id", "title", "stance")
+
+
 @query("r26_merge_by_link", "select l_partkey as link, min(l_linenumber) as rank, arg_min(l_returnflag, (l_orderkey, l_linenumber)) filter (l_returnflag <> 'N') as content from lineitem group by 1")
 def _(s, d):
     x = en.table(s, d, "lineitem").select(F.col("l_partkey").alias("link"), F.col("l_linenumber").alias("rank"), F.struct("l_orderkey", "l_linenumber").alias("seq"), F.lit("x").alias("published"), F.when(F.col("l_returnflag") == "N", "Unknown").otherwise(F.col("l_returnflag")).alias("content"))
