@@ -241,6 +241,33 @@ def test_edges_of_all_operators(spark, edge, empty):
         assert f(empty).count() == 0
 
 
+def test_repeated_passages_brute_force(spark, sf, empty):
+    """Passages that begin inside a line, in texts that repeat an id or have none, against all windows."""
+    shared = " ".join(f"Wört{i}" for i in range(60))
+    texts = [(9, f"früh am tag {shared} end"), (5, f"a b c\nd e {shared.lower().replace('wört', 'WörT')}\nmore"), (None, f"x {shared} y"), (None, "quite alone " * 9), (7, "no copy here"), (7, f"other text {shared.replace(' ', '  ', 3)}"), (8, "same " * 120), (3, None)]
+    small = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").limit(300)
+    for docs in (documents(spark, texts).repartition(3), small):
+        places = {}
+        for i, t in {(r.doc_id, r.text or "") for r in docs.collect()}:
+            th = int.from_bytes(hashlib.blake2b(t.encode(), digest_size=8).digest(), "big", signed=True)
+            w = list(re.finditer(r"[^ \t\n\v\f\r]+", t))
+            for p in range(len(w) - 49):
+                places.setdefault(tuple(m.group().translate(LOW) for m in w[p : p + 50]), []).append((i is None, i or 0, th, w[p].start(), w[p + 49].end()))
+        cut = {}
+        for found in places.values():
+            for no_id, i, th, a, b in sorted(found)[1:]:
+                cut.setdefault((None if no_id else i, th), set()).update(range(a, b))
+        got = {}
+        for r in substring.repeated_passages(docs).collect():
+            chars = got.setdefault((r.doc_id, r.text_hash), set())
+            assert not chars & set(range(r.start, r.end))
+            chars.update(range(r.start, r.end))
+        assert cut and got == cut
+    assert substring.repeated_passages(empty).count() == 0
+    lines = substring.repeated_text(documents(spark, [(1, "a b\nc"), (2, "z\nA  b")])).collect()
+    assert [tuple(r) for r in lines] == [(2, "line", 2, 6)]
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline
 

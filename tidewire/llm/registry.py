@@ -24,6 +24,10 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.repeated_units(_table(spark, sf_dir, "documents"))
 
 
+def op2_repeated_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeated_text(_table(spark, sf_dir, "documents"))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(_table(spark, sf_dir, "documents"))
 
@@ -59,7 +63,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicate_components(_table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_warc, op2_substring_dedup, op3_license_scan, op4_secret_scan, op5_decontamination, op6_personal_data, op7_quality, op8_mixing, op9_exact_dedup, op10_jaccard_join)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_warc, op2_substring_dedup, op2_repeated_text, op3_license_scan, op4_secret_scan, op5_decontamination, op6_personal_data, op7_quality, op8_mixing, op9_exact_dedup, op10_jaccard_join)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

@@ -1,7 +1,11 @@
-"""Substring deduplication by line or paragraph hashing.
+"""Substring deduplication by line or paragraph hashing, and by windows of words that may begin anywhere.
 
 Units are normalised (white space runs to one space, trimmed, lower case) and hashed to 128 bits; digests are grouped
 over the whole corpus; the occurrence that ranks first stays, the others are removed, by their original offsets.
+
+Passages do not depend on where a line begins: every window of ``PASSAGE`` words is a unit. The fingerprint of a window
+is the minimum of the hashes of its k-grams, so windows that repeat have fingerprints that repeat; only windows with
+such a fingerprint are hashed to 128 bits and grouped.
 """
 
 from __future__ import annotations
@@ -10,15 +14,21 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import materialize
+from tidewire.llm import arrowtext as at
+from tidewire.llm.common import Scratch, hash_bitmap, materialize
 
 #: What ends a unit; its own characters belong to no unit.
 BREAKS = {"line": re.compile(r"\n"), "paragraph": re.compile(r"\n[ \t\r]*\n\s*")}
 
+#: Words of a passage, and of the k-grams that its fingerprint is taken from.
+PASSAGE, K = 50, 44
+
 
 def text_units(docs: DataFrame, unit: str = "line", min_words: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, unit_no, start, end, digest) of every unit of at least min_words words; offsets count characters."""
@@ -69,6 +79,103 @@ def repeated_units(docs: DataFrame, unit: str = "line", min_words: int = 8, id_c
     return found.select("doc_id", "unit_no", "start", "end", keep_id.alias("keep_doc_id"), F.col("kept.u").alias("keep_unit_no"), "copies").distinct()
 
 
+def _least(words: at.Words, size: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(k-gram hashes, least of them in each window of ``size`` words, which windows lie in one document)."""
+    m = len(words.hash) - size + 1
+    if m <= 0:
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool)
+    grams = at.roll(words.hash, k)
+    least = grams[:m].copy()
+    for j in range(1, size - k + 1):
+        np.minimum(least, grams[j : j + m], out=least)
+    return grams, least, words.doc[:m] == words.doc[size - 1 :]
+
+
+def repeated_fingerprints(docs: DataFrame, size: int, k: int, text_col: str, scratch: Scratch) -> DataFrame:
+    """(fp): fingerprints of windows that stand at more than one place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, data, offsets in at.slices(batch.column(0)):
+                grams, least, inside = _least(at.Words(data, offsets, at.SPACED), size, k)
+                if not inside.any():
+                    continue
+                # A k-gram is taken where it is the least of a window that holds it: each place counts once.
+                most, m = np.zeros(len(grams), np.uint64), len(least)
+                least = np.where(inside, least, np.uint64(0))
+                for j in range(size - k + 1):
+                    np.maximum(most[j : j + m], least, out=most[j : j + m])
+                yield pa.RecordBatch.from_arrays([pa.array(at.signed(grams[most == grams]))], names=["fp"])
+
+    found = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "fp long")
+    return scratch.write(found.groupBy("fp").agg(F.count("*").alias("n")).filter("n > 1").select("fp"), "fingerprints")
+
+
+def _passage_windows(docs: DataFrame, size: int, k: int, id_col: str, text_col: str, filter_bits: int, scratch: Scratch) -> DataFrame:
+    """(h1, h2, doc_id, text_hash, start, end) of the windows whose fingerprint may repeat; few others are let through."""
+    own = Scratch(docs.sparkSession, "fingerprints", scratch)
+    bitmap = docs.sparkSession.sparkContext.broadcast(hash_bitmap(repeated_fingerprints(docs, size, k, text_col, own), "fp", filter_bits))
+    own.clear()
+    shift = np.uint64(64 - filter_bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = bitmap.value
+        for batch in batches:
+            for row, data, offsets in at.slices(batch.column(1)):
+                words = at.Words(data, offsets, at.SPACED, second=True)
+                _, least, inside = _least(words, size, k)
+                slot = (least >> shift).astype(np.int64)
+                w = np.flatnonzero(inside & ((bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1))
+                if not len(w):
+                    continue
+                doc = words.doc[w]
+                chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+                raw, hashes = data.tobytes(), np.zeros(words.n_docs, np.int64)
+                for d in np.unique(doc):
+                    hashes[d] = int.from_bytes(hashlib.blake2b(raw[offsets[d] : offsets[d + 1]], digest_size=8).digest(), "big", signed=True)
+                begins = chars[offsets[doc]]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(at.signed(at.roll(words.hash, size)[w])), pa.array(at.signed(at.roll(words.hash2, size)[w])), batch.column(0).take(pa.array(row + doc)),
+                        pa.array(hashes[doc]), pa.array(chars[words.start[w]] - begins), pa.array(chars[words.end[w + size - 1]] - begins),
+                    ],
+                    names=["h1", "h2", "doc_id", "text_hash", "start", "end"],
+                )
+
+    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return scratch.write(picked.mapInArrow(run, "h1 long, h2 long, doc_id long, text_hash long, start long, end long"), "windows")
+
+
+def repeated_passages(docs: DataFrame, size: int = PASSAGE, k: int = K, id_col: str = "doc_id", text_col: str = "text", filter_bits: int = 27) -> DataFrame:
+    """What is removed: doc_id, text_hash, start, end of every passage of ``size`` words or more that stands elsewhere.
+
+    Words end at white space; A-Z count as a-z. Of equal windows the one with the smallest (doc_id, text_hash, start)
+    stays, null doc_ids last; the others are united to passages, characters start to end (exclusive) of the original.
+    text_hash tells rows that repeat a doc_id, or have none, apart; rows that repeat both are one document.
+    """
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "passages")
+    windows = _passage_windows(docs, size, k, id_col, text_col, filter_bits, scratch)
+    rank = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"), F.col("text_hash").alias("t"), F.col("start").alias("s"))
+    kept = windows.groupBy("h1", "h2").agg(F.min(rank).alias("kept"), F.count("*").alias("copies")).filter("copies > 1").drop("copies")
+    # Written first, so that the join deals its own sides and a very common passage can be split.
+    kept = scratch.write(kept, "kept")
+    spark.sparkContext._jvm.System.gc()  # frees the shuffle behind ``kept``
+    cut = materialize(windows.join(kept, ["h1", "h2"]).filter(rank != F.col("kept")).select("doc_id", "text_hash", "start", "end"), "cut")
+    scratch.clear()
+    order = W.partitionBy("doc_id", "text_hash").orderBy("start", "end")
+    before = F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1))
+    opens = cut.withColumn("opens", (before.isNull() | (F.col("start") > before)).cast("long"))
+    runs = opens.withColumn("run", F.sum("opens").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    return runs.groupBy("doc_id", "text_hash", "run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("run")
+
+
+def repeated_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, kind, start, end: repeated lines of any length ('line') and passages wherever they begin ('passage')."""
+    lines = repeated_units(docs, min_words=1, id_col=id_col, text_col=text_col).select("doc_id", F.lit("line").alias("kind"), "start", "end")
+    return lines.unionByName(repeated_passages(docs, id_col=id_col, text_col=text_col).select("doc_id", F.lit("passage").alias("kind"), "start", "end"))
+
+
 def remove_units(docs: DataFrame, removed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the removed units cut from their texts (other columns as they are).
 
