@@ -90,6 +90,26 @@ def test_pii_disguises(text, kind, hidden):
     assert pii.deobfuscated("we met at the dot of noon, one two three", []) == []
 
 
+@pytest.mark.parametrize(
+    ("kind", "hidden"),
+    [
+        ("email", "jane@example[.]com"),
+        ("ip", "192[.]168[.]1[.]10"),
+        ("email", "jane ( at ) example.com"),
+        ("email", "jane [ at ] example.com"),
+        ("email", "jane { @ } example.com"),
+        ("email", "john(dot)doe@example.com"),
+        ("ip", "one nine two dot one six eight dot one dot one oh"),
+        ("ip", "192.168.one.one"),
+        ("ip", "192 dot 168 dot 1 dot 10"),
+    ],
+)
+def test_pii_disguises_without_other_triggers(kind, hidden):
+    text = f"see {hidden} ok"
+    assert [(pii.KINDS[k], text[a:b]) for k, a, b in pii.deobfuscated(text, pii.detect(text))] == [(kind, hidden)]
+    assert pii.deobfuscated("import one.two.three.four, v1.2.3.4 and one. Two. Three. Four", []) == []
+
+
 def test_secrets_brute_force(spark, sf):
     keys = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in k) for k in ("password", "passwd", "secret", "token", "api")[:4]) + "|[aA][pP][iI]_?[kK][eE][yY]"
 

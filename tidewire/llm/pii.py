@@ -44,6 +44,12 @@ _OPEN, _SHUT = r"[\[({<]", r"[\])}>]"
 _TOP = "com|org|net|edu|gov|info|biz|io|co|ai|app|dev|me|eu|uk|us|ca|de|fr|es|it|nl|ch|at|be|pt|br|in|jp|test|example"
 #: Bracketed "at" and "dot", or the bare words in the shape "name at host dot tld".
 BRACKETED = re.compile(rf"\s{{0,3}}{_OPEN}\s{{0,2}}(at|dot|@|\.)\s{{0,2}}{_SHUT}\s{{0,3}}", re.I | re.A)
+BRACKETS = re.compile(rf"{_OPEN}\s{{0,2}}(?:at|dot|@|\.)\s{{0,2}}{_SHUT}", re.I | re.A)
+#: Four or more octets in digits or digit words, between dots in any form.
+_OCTET = rf"(?:[0-9]{{1,3}}|(?:{_WORD})(?:[ ,-]{{1,3}}(?:{_WORD})){{0,2}})"
+_DOT = rf"(?:\s{{1,3}}dot\s{{1,3}}|\s{{0,3}}{_OPEN}\s{{0,2}}(?:dot|\.)\s{{0,2}}{_SHUT}\s{{0,3}}|\.)"
+OCTETS = re.compile(rf"(?<![A-Za-z0-9]){_OCTET}(?:{_DOT}{_OCTET}){{3,}}(?![A-Za-z0-9])", re.I | re.A)
+OCTET_PART = re.compile(rf"{_DOT}|{_WORD}|[0-9]+", re.I | re.A)
 BARE = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}(\s+at\s+)[A-Za-z0-9-]{1,63}((?:(?:\s+dot\s+|\.)[A-Za-z0-9-]{1,63}){0,4}\s+dot\s+(?:" + _TOP + r"))(?![A-Za-z0-9-])", re.I | re.A)
 BARE_DOT = re.compile(r"\s+dot\s+", re.I | re.A)
 
@@ -155,6 +161,25 @@ def _letters(tape: Tape) -> None:
     tape.edit(edits)
 
 
+def _octets(tape: Tape) -> None:
+    """Spelled octets and dots to digits and dots. Words between plain dots alone are names, not addresses."""
+    edits = []
+    for run in OCTETS.finditer(tape.text):
+        parts = list(OCTET_PART.finditer(tape.text, *run.span()))
+        if not any(c.isdigit() for c in run.group()) and all(m.group() == "." for m in parts if m.group().lower() not in DIGIT_WORDS):
+            continue
+        at = run.start()
+        for m in parts:
+            if m.start() > at:
+                edits.append((at, m.start(), ""))
+            part = m.group().lower()
+            new = part if part.isdigit() else DIGIT_WORDS.get(part, ".")
+            if new != part:
+                edits.append((*m.span(), new))
+            at = m.end()
+    tape.edit(edits)
+
+
 def _spelled(tape: Tape) -> None:
     """Runs of at least seven digit words to digits; each digit stands for its word."""
     edits = []
@@ -180,7 +205,7 @@ def _addresses(tape: Tape) -> None:
 
 
 def _disguised(t: str) -> bool:
-    """Whether any transducer could change the text: quick tests without backtracking."""
+    """Whether any transducer could change the text: the patterns themselves, behind tests that each match must pass."""
     if not t.isascii():
         try:
             t.encode("latin-1")
@@ -188,18 +213,23 @@ def _disguised(t: str) -> bool:
             return True
         if "­" in t:
             return True
+    if BRACKETS.search(t):
+        return True
     low = t.lower()
-    if "dot" in low or "at)" in low or "at]" in low or "at}" in low or "at>" in low or any(x in t for x in ("(@", "[@", "{@", "<@", "( @", "[ @")):
+    dots = low.count("dot")
+    if dots and BARE.search(t):
         return True
-    return sum(low.count(w) for w in DIGIT_WORDS) >= 7
+    words = sum(low.count(w) for w in DIGIT_WORDS)
+    return words >= 7 and SPELLED.search(t) is not None or (words or dots) and dots + t.count(".") >= 3 and OCTETS.search(t) is not None
 
 
 def deobfuscated(t: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Spans in source characters found only after the disguises are undone; none overlaps a base span of its kind."""
+    """Spans in source characters found only after the disguises are undone; none lies inside a base span of its kind."""
     if not _disguised(t):
         return []
     tape = Tape(t)
     _letters(tape)
+    _octets(tape)
     _spelled(tape)
     _addresses(tape)
     if tape.text == t:
@@ -207,7 +237,7 @@ def deobfuscated(t: str, base: list[tuple[int, int, int]]) -> list[tuple[int, in
     out = []
     for kind, a, b in detect(tape.text):
         a, b = tape.source(a, b)
-        if not any(k == kind and x < b and a < y for k, x, y in base):
+        if not any(k == kind and x <= a and b <= y for k, x, y in base):
             out.append((kind, a, b))
     return out
 
