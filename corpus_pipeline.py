@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.llm import decontam, exactdup, jaccard, mixing, quality
-from tidewire.llm.common import drop_keyed, shared_path
+from tidewire.llm.common import drop_keyed, materialize, shared_path
 
 #: Near duplicates: five words and a similarity of 0.8.
 NEAR_K, NEAR_PERCENT = 5, 80
@@ -22,25 +22,49 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_quality(docs, quality.fit_quality(docs, labels))
 
 
+#: Rows are told apart by doc_id and text: ids may be null or repeated.
+KEY = "__row_key"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.withColumn(KEY, F.xxhash64("doc_id", "text"))
+
+
+def _all_but_first(keyed: DataFrame, found: DataFrame, group: str) -> DataFrame:
+    """(key) of the members of each group but the one with the smallest (doc_id, key), null doc_ids last.
+
+    ``found`` has key and ``group``, which is the key of a member, for each row.
+    """
+    others = materialize(found.filter(F.col(KEY) != F.col(group)).select(KEY, F.col(group).alias("g")).distinct(), "others")
+    members = others.unionByName(others.select(F.col("g").alias(KEY), "g").distinct())
+    # Written first, so that the join deals its own sides and large groups can be split.
+    named = materialize(members.join(keyed.select(KEY, "doc_id"), KEY).distinct(), "members")
+    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("d"), F.col(KEY).alias("k"))
+    first = materialize(named.groupBy("g").agg(F.min(rank).alias("first")), "first")
+    return named.join(first, "g").filter(F.col(KEY) != F.col("first.k")).select(KEY)
+
+
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of equal texts; rows that repeat a doc_id and its text are one."""
-    found = exactdup.exact_duplicates(docs)
-    dropped = found.filter(~F.col("doc_id").eqNullSafe(F.col("keep_id")))
-    kept = drop_keyed(docs, dropped, ["doc_id"])
-    again = found.filter("not kept").filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).limit(1).count()
+    """Keeps the smallest doc_id of equal texts, null ids last; rows that repeat a doc_id and its text are one."""
+    keyed = _keyed(docs)
+    found = materialize(exactdup.exact_duplicates(keyed, id_col=KEY).withColumnRenamed("doc_id", KEY).select(KEY, "keep_id", "kept"), "copies")
+    kept = drop_keyed(keyed, _all_but_first(keyed, found, "keep_id"), [KEY]).drop(KEY)
+    again = found.filter(~F.col("kept") & (F.col(KEY) == F.col("keep_id"))).limit(1).count()
     return kept.dropDuplicates(["doc_id", "text"]) if again else kept
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, that with the smallest doc_id."""
-    found = jaccard.near_duplicate_components(docs, NEAR_K, NEAR_PERCENT)
-    return drop_keyed(docs, found.filter("doc_id <> component_id"), ["doc_id"])
+    """One document of each group of near duplicates stays, that with the smallest doc_id, null ids last."""
+    keyed = _keyed(docs)
+    found = jaccard.near_duplicate_components(keyed, NEAR_K, NEAR_PERCENT, id_col=KEY).withColumnRenamed("doc_id", KEY)
+    return drop_keyed(keyed, _all_but_first(keyed, found, "component_id"), [KEY]).drop(KEY)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a window of the benchmark."""
-    found = decontam.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return drop_keyed(docs, found.filter("contaminated"), ["doc_id"])
+    keyed = _keyed(docs)
+    found = decontam.contamination(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=KEY)
+    return drop_keyed(keyed, found.filter("contaminated").select(F.col("doc_id").alias(KEY)), [KEY]).drop(KEY)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +80,7 @@ STAGES = [
     ("mixing to target weights", mixing_stage),
 ]
 
-#: The classifier cannot be expressed in SQL; tests hold run() against brute force.
+#: The classifier cannot be expressed in SQL; tests hold the stages that drop rows against brute force.
 ORACLE_SQL = None
 
 

@@ -302,3 +302,47 @@ def test_pipeline(spark, sf):
     out = corpus_pipeline.run(spark, sf)
     ids = {r.doc_id for r in out.collect()}
     assert ids and ids <= {r.doc_id for r in docs.collect()}
+
+
+def test_pipeline_stages_brute_force_null_and_repeated_ids(spark, tmp_path):
+    import corpus_pipeline
+
+    def text(tag, n=60):
+        return " ".join(f"{tag}{j}" for j in range(n))
+
+    near = text("n").replace("n59", "other")
+    leak = " ".join(f"q{j}" for j in range(12))
+    texts = [(1, text("a")), (None, text("a")), (None, text("u")), (2, text("a")), (2, text("v")), (None, text("w")), (None, text("w").replace(" ", "  ", 1)), (6, text("n")), (6, text("m"))]
+    texts += [(None, near), (3, near + " x"), (None, text("o")), (None, text("o").replace("o59", "p")), (8, f"x {leak} y"), (8, text("z")), (None, f"z {leak}"), (9, "same"), (9, "same"), (4, None)]
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = documents(spark, texts)
+
+    def grams(t):
+        w = (t or "").split()
+        return {tuple(w[p : p + 5]) for p in range(max(1, len(w) - 4))} if w else set()
+
+    def order(r):
+        return r[0] is None, r[0] or 0, corpus_order[r]
+
+    corpus_order = {(r.doc_id, r.text): r.k for r in rows.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("k")).collect()}
+    exact = {}
+    for r in sorted(set(texts), key=order):
+        exact.setdefault(" ".join((r[1] or "").split()), r)
+    left = list(exact.values())
+    links = {r: {r} for r in left}
+    for a in left:
+        for b in left:
+            x, y = grams(a[1]), grams(b[1])
+            if x and y and 100 * len(x & y) >= 80 * len(x | y) and links[a] is not links[b]:
+                both = links[a] | links[b]
+                for r in both:
+                    links[r] = both
+    unlike = [r for r in left if min(links[r], key=order) == r]
+    clean = [r for r in unlike if leak not in (r[1] or "")]
+    docs = rows
+    for stage, want in ((corpus_pipeline.exact_stage, left), (corpus_pipeline.near_stage, unlike), (corpus_pipeline.benchmark_stage, clean)):
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == rows.columns
+        docs = docs.localCheckpoint()
+        assert sorted(map(repr, ((r.doc_id, r.text) for r in docs.collect()))) == sorted(map(repr, want)), stage.__name__
+    assert (8, text("z")) in clean and (2, text("v")) in clean and (None, text("u")) in clean and len(unlike) < len(left) < len(texts)
