@@ -140,6 +140,13 @@ def test_secret_ledger_scans_only_what_is_new(spark):
     assert ledger2.count() == 3 * len(secrets.RULES) and paths.count() == 2
 
 
+def test_secrets_of_any_length(spark):
+    long = "Ab1_" * 600
+    tokens = [f"eyJ{long}.eyJ{long}.{long}", f"eyJ{'a' * 9}.eyJ{long}.{'b' * 9}", "ghp_" + "Z" * 900, "xoxb-" + "Z9" * 450]
+    got = {r.doc_id: r.spans for r in secrets.scan_documents(documents(spark, [(i, f"see {t} ok") for i, t in enumerate(tokens)])).collect()}
+    assert got == {i: f"{kind}:4:{4 + len(tokens[i])}" for i, kind in enumerate(("jwt", "jwt", "github", "slack"))}
+
+
 def test_licenses(spark, sf):
     words = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     notice = licenses.NOTICES[0][0].split()

@@ -37,9 +37,9 @@ BASE_RULES = (
 #: Well-known token shapes that the method adds.
 MORE_RULES = (
     Rule("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
-    Rule("github", r"gh[opsur]_[A-Za-z0-9]{36,255}"),
-    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,255}"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,1000}\.eyJ[A-Za-z0-9_-]{8,1000}\.[A-Za-z0-9_-]{8,1000}"),
+    Rule("github", r"gh[opsur]_[A-Za-z0-9]{36,}+", version=2),
+    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}+", version=2),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+", version=2),
 )
 RULES = BASE_RULES + MORE_RULES
 
