@@ -200,6 +200,16 @@ def test_jaccard_groups_of_near_copies(spark):
         assert {r.doc_id: r.component_id for r in jaccard.near_duplicate_components(docs, k, pct).collect()} == {i: find(i) for i in sets}
 
 
+def test_jaccard_suffix_filter_of_very_long_texts(spark):
+    import numpy as np
+
+    bins = [int(b) for b in jaccard._bins(np.arange(40_000, dtype=np.uint64))]
+    assert min(bins) == 0 and len(bins) == jaccard.BINS
+    rows = spark.createDataFrame([(bins, bins), ([3, 5], [4, 2])], "x array<smallint>, y array<smallint>")
+    most = [r[0] for r in rows.select(jaccard._shared_at_most(F.col("x"), F.col("y"))).collect()]
+    assert most[0] >= 40_000 and most[1] == 5
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100)], "a long, b long")
     got = {r.node: r.component for r in connected_components(links).collect()}

@@ -28,6 +28,8 @@ from tidewire.llm.graph import connected_components
 
 #: Hash ranges whose counts the suffix filter compares.
 BINS = 256
+#: The largest count that a bin of 16 bits holds.
+FULL = 32767
 #: Posting lists of more members carry the suffix filter's counts into their join.
 LONG_LIST = 64
 
@@ -103,7 +105,7 @@ def _prefixes(docs: DataFrame, reps: DataFrame, rarity, k: int, percent: int, id
                 keep.append(i)
                 sizes.append(n)
                 flat.append(at.signed(s[order]))
-                bins.append(np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=BINS).astype(np.int16))
+                bins.append(_bins(s))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([ids[i] for i in keep], pa.int64()),
@@ -119,6 +121,11 @@ def _prefixes(docs: DataFrame, reps: DataFrame, rarity, k: int, percent: int, id
     return scratch.write(out.join(reps.select(F.col("rep").alias("doc")), "doc", "left_semi"), "prefixes")
 
 
+def _bins(s: np.ndarray) -> np.ndarray:
+    """How many k-grams each hash range holds; FULL stands for any number from there on."""
+    return np.minimum(np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=BINS), FULL).astype(np.int16)
+
+
 def _least_n(percent: int) -> int:
     """Sets smaller than this only reach the threshold with equal sets: n/(n+1) stays below it."""
     return -(-percent // (100 - percent))
@@ -166,8 +173,8 @@ def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int, id_col: s
 
 
 def _shared_at_most(x: Column, y: Column) -> Column:
-    """The suffix filter's bound: sets share at most the smaller count of each hash range."""
-    return F.aggregate(F.zip_with(x, y, lambda p, q: F.least(p, q).cast("long")), F.lit(0).cast("long"), lambda acc, z: acc + z)
+    """The suffix filter's bound: sets share at most the smaller count of each hash range; no bound where both are full."""
+    return F.aggregate(F.zip_with(x, y, lambda p, q: F.least(p, q).cast("long")), F.lit(0).cast("long"), lambda acc, z: acc + F.when(z == FULL, F.lit(1 << 40)).otherwise(z))
 
 
 def _list_pairs(left: DataFrame, right: DataFrame, percent: int, ordered: bool, bins: bool) -> DataFrame:
