@@ -273,36 +273,55 @@ def test_edges_of_all_operators(spark, edge, empty):
     units = substring.repeated_units(edge, min_words=2)
     assert sorted((r.doc_id or 99, r.start, r.end, r.keep_doc_id) for r in units.collect()) == [(6, 0, 7, 4), (99, 0, 7, 4)]
     cleaned = {r.doc_id: r.text for r in substring.remove_units(edge, units).collect()}
-    assert cleaned[6] == "" and cleaned[4] == "one two" and cleaned[1] is None
-    for f in (exactdup.exact_duplicates, jaccard.near_duplicate_components, mixing.mix_sources, pii.scan_personal_data, secrets.scan_documents, licenses.scan_licenses, substring.repeated_units, lambda d: quality.score_quality(d, model)):
+    assert cleaned[6] == "" and cleaned[4] == "one two" and cleaned[1] is None and cleaned[None] == ""
+    for f in (exactdup.exact_duplicates, jaccard.near_duplicate_components, mixing.mix_sources, pii.scan_personal_data, secrets.scan_documents, licenses.scan_licenses, substring.repeated_units, substring.repeated_passages, substring.deduplicate_text, lambda d: quality.score_quality(d, model)):
         assert f(empty).count() == 0
 
 
-def test_repeated_passages_brute_force(spark, sf, empty):
-    """Passages that begin inside a line, in texts that repeat an id or have none, against all windows."""
+def test_substrings_brute_force(spark, sf):
+    """Lines and passages that begin inside a line, in texts that repeat an id or have none, against all windows."""
     shared = " ".join(f"Wört{i}" for i in range(60))
-    texts = [(9, f"früh am tag {shared} end"), (5, f"a b c\nd e {shared.lower().replace('wört', 'WörT')}\nmore"), (None, f"x {shared} y"), (None, "quite alone " * 9), (7, "no copy here"), (7, f"other text {shared.replace(' ', '  ', 3)}"), (8, "same " * 120), (3, None)]
+    edited = shared.replace("Wört30 ", "other ")
+    texts = [(9, f"früh am tag {shared} end"), (5, f"a b c\nd e {shared.lower().replace('wört', 'WörT')}\nmore"), (None, f"x {shared} y"), (None, "quite alone " * 9), (7, "no copy here"), (7, f"other text {shared.replace(' ', '  ', 3)}"), (8, "same " * 120), (3, None), (11, f"more\n \n\tA b  C \n{shared}\n{edited} {shared}")]
+    texts += [(20 + i, f"{'pre ' * i}{' '.join(f'w{j}' for j in range(i, 150))} post{i}") for i in range(12)] + [(40, texts[0][1]), (40, texts[0][1]), (41, "  "), (42, "word " * 30_000)]
     small = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").limit(300)
     for docs in (documents(spark, texts).repartition(3), small):
-        places = {}
-        for i, t in {(r.doc_id, r.text or "") for r in docs.collect()}:
-            th = int.from_bytes(hashlib.blake2b(t.encode(), digest_size=8).digest(), "big", signed=True)
+        places, lines, rows = {}, {}, {}
+        for r in docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect():
+            rows[r.doc_id, r.h] = r.text or ""
+        for (i, h), t in rows.items():
             w = list(re.finditer(r"[^ \t\n\v\f\r]+", t))
             for p in range(len(w) - 49):
-                places.setdefault(tuple(m.group().translate(LOW) for m in w[p : p + 50]), []).append((i is None, i or 0, th, w[p].start(), w[p + 49].end()))
-        cut = {}
+                places.setdefault(hash(tuple(m.group().translate(LOW) for m in w[p : p + 50])), []).append((i is None, i or 0, h, w[p].start(), w[p + 49].end()))
+            for m in re.finditer(r"[^\n]+", t):
+                own = list(re.finditer(r"[^ \t\v\f\r]+", m.group()))
+                if own:
+                    lines.setdefault(" ".join(x.group().translate(LOW) for x in own), []).append((i is None, i or 0, h, m.start() + own[0].start(), m.start() + own[-1].end()))
+        cut, gone = {k: set() for k in rows}, {k: set() for k in rows}
         for found in places.values():
-            for no_id, i, th, a, b in sorted(found)[1:]:
-                cut.setdefault((None if no_id else i, th), set()).update(range(a, b))
-        got = {}
-        for r in substring.repeated_passages(docs).collect():
-            chars = got.setdefault((r.doc_id, r.text_hash), set())
-            assert not chars & set(range(r.start, r.end))
-            chars.update(range(r.start, r.end))
-        assert cut and got == cut
-    assert substring.repeated_passages(empty).count() == 0
-    lines = substring.repeated_text(documents(spark, [(1, "a b\nc"), (2, "z\nA  b")])).collect()
-    assert [tuple(r) for r in lines] == [(2, "line", 2, 6)]
+            for no_id, i, h, a, b in sorted(found)[1:]:
+                cut[None if no_id else i, h].update(range(a, b))
+        for found in lines.values():
+            for no_id, i, h, a, b in sorted(found)[1:]:
+                gone[None if no_id else i, h].add((a, b))
+        assert any(cut.values()) and any(gone.values())
+        for r in substring.deduplicate_text(docs).collect():
+            key = r.doc_id, r.text_hash
+            assert sum(s.end - s.start for s in r.passages) == len(cut[key]) and {c for s in r.passages for c in range(s.start, s.end)} == cut[key]
+            assert {(s.start, s.end) for s in r.lines} == gone[key] and len(r.lines) == len(gone[key])
+            assert r.removed_chars == len(cut[key] | {c for a, b in gone[key] for c in range(a, b)}) and r.n_words == len(rows[key].split())
+        removed = substring.repeated_passages(docs)
+        cleaned = {(r.doc_id, r.text) for r in substring.remove_units(docs, removed).collect()}
+        assert cleaned == {(i, "".join(c for k, c in enumerate(t) if k not in cut[i, h]) if t or i != 3 else None) for (i, h), t in rows.items()} or docs is small
+    assert substring.repeated_units(documents(spark, [(1, "a b\nc d"), (2, "x\n\nA  b\nC d\n \ny")]), "paragraph").select("doc_id", "start", "end").collect() == [(2, 3, 11)]
+
+
+def test_remove_units_of_rows_that_repeat_an_id(spark):
+    shared, other = "one two three four five six seven eight", "precious words here that nobody else has got"
+    rows = spark.createDataFrame([(1, shared, 1, 2), (2, f"{shared}\nother tail", 3, 4), (2, other, 5, 6), (None, f"{shared}\nz", 7, 8), (None, None, 9, 10)], "doc_id long, text string, __row int, __cuts int")
+    out = substring.remove_units(rows, substring.repeated_units(rows))
+    assert out.columns == rows.columns
+    assert sorted(map(repr, ((r.doc_id, r.text) for r in out.collect()))) == sorted(map(repr, [(1, shared), (2, "\nother tail"), (2, other), (None, "\nz"), (None, None)]))
 
 
 def test_pipeline(spark, sf):

@@ -129,6 +129,25 @@ class Words:
         return at, roll(h, k)[at]
 
 
+def runs(h: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Hashes of the runs first to last (exclusive) of word hashes, from prefix sums: the runs' lengths don't matter."""
+    up, down = _Powers.get(len(h) + 1)
+    total = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(h * up[: len(h)], out=total[1:])
+    return mix((total[last] - total[first]) * down[first] + (last - first).astype(np.uint64) * _U(0xA24BAED4963EE407))
+
+
+def leftmost_least(x: np.ndarray, width: int) -> np.ndarray:
+    """For every window of ``width`` values the index of its least one, the leftmost of equal ones."""
+    at, size = np.arange(len(x)), 1
+    while size < width:
+        step = min(size, width - size)
+        a, b = at[: len(at) - step], at[step:]
+        at = np.where(x[b] < x[a], b, a)
+        size += step
+    return at
+
+
 def roll(h: np.ndarray, k: int) -> np.ndarray:
     """Hashes of all runs of k consecutive word hashes."""
     m = len(h) - k + 1

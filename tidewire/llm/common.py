@@ -83,27 +83,42 @@ def slot_bitmap(keys: DataFrame, slot: Column) -> DataFrame:
     return s.groupBy(F.floor(F.col("s") / _WORD_BITS).alias("__base")).agg(F.bitmap_construct_agg(F.col("s") % _WORD_BITS).alias("__bitmap"))
 
 
-def with_slot(rows: DataFrame, bitmap: DataFrame, slot: Column) -> DataFrame:
-    """``rows`` with a column __hit: whether the slot's bit is set. The bitmap's fixed size allows the broadcast."""
-    joined = rows.join(F.broadcast(bitmap), F.floor(slot / _WORD_BITS) == F.col("__base"), "left")
+def unused(columns: list[str], name: str) -> str:
+    """A name close to ``name`` that none of the columns has, in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken or not name.startswith("__"):
+        name = f"_{name}"
+    return name
+
+
+def with_slot(rows: DataFrame, bitmap: DataFrame, slot: Column, hit: str = "__hit") -> DataFrame:
+    """``rows`` with a column ``hit``: whether the slot's bit is set. The bitmap's fixed size allows the broadcast."""
+    base, bits = unused([*rows.columns, hit], "base"), unused([*rows.columns, hit], "bitmap")
+    small = F.broadcast(bitmap.select(F.col("__base").alias(base), F.col("__bitmap").alias(bits)))
+    joined = rows.join(small, F.floor(slot / _WORD_BITS) == F.col(base), "left")
     at = slot % _WORD_BITS
-    byte = F.conv(F.hex(F.substring("__bitmap", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    return joined.withColumn("__hit", F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))).drop("__base", "__bitmap")
+    byte = F.conv(F.hex(F.substring(bits, (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return joined.withColumn(hit, F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))).drop(base, bits)
+
+
+def split_keyed(rows: DataFrame, marks: DataFrame, key: str, mark: str, filter_bits: int = 24) -> tuple[DataFrame, DataFrame]:
+    """(rows whose ``key`` is surely no ``mark``, all others), told by a bitmap of fixed size; nothing is shuffled."""
+    hit = unused(rows.columns, "hit")
+    told = with_slot(rows, slot_bitmap(marks, slot_of(filter_bits, F.col(mark))), slot_of(filter_bits, F.col(key)), hit)
+    return told.filter(f"not {hit}").drop(hit), told.filter(hit).drop(hit)
 
 
 def drop_keyed(docs: DataFrame, dropped: DataFrame, keys: list[str], filter_bits: int = 24) -> DataFrame:
     """Rows of ``docs`` whose key is not in ``dropped``; null keys are equal to each other.
 
     A bitmap of fixed size tells most rows that stay, which are not shuffled; only the others meet the dropped keys.
+    All columns and repeated rows stay as they are; an empty ``dropped`` drops nothing, empty ``docs`` give no rows.
     """
-    marks = materialize(dropped.select(*[F.col(k).alias(f"__{k}") for k in keys]).distinct(), "dropped")
-    slot = slot_of(filter_bits, *[F.col(k) for k in keys])
-    rows = with_slot(docs, slot_bitmap(marks, slot_of(filter_bits, *[F.col(f"__{k}") for k in keys])), slot)
-    maybe = rows.filter("__hit").drop("__hit")
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & F.col(k).eqNullSafe(F.col(f"__{k}"))
-    return rows.filter("not __hit").drop("__hit").unionByName(maybe.join(marks, cond, "left_anti"))
+    key, mark = unused(docs.columns, "key"), unused(docs.columns, "mark")
+    one = lambda: F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)])
+    marks = materialize(dropped.select(one().alias(mark)).distinct(), "dropped")
+    clear, maybe = split_keyed(docs.withColumn(key, one()), marks, key, mark, filter_bits)
+    return clear.drop(key).unionByName(maybe.join(marks, F.col(key).eqNullSafe(F.col(mark)), "left_anti").drop(key))
 
 
 def hash_bitmap(values: DataFrame, col: str, bits: int):

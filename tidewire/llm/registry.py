@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidewire.llm import decontam, exactdup, jaccard, licenses, mixing, pii, quality, secrets, substring, warc
 
@@ -21,11 +22,10 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring.repeated_units(_table(spark, sf_dir, "documents"))
-
-
-def op2_repeated_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring.repeated_text(_table(spark, sf_dir, "documents"))
+    found = substring.deduplicate_text(_table(spark, sf_dir, "documents"))
+    shown = lambda c, kind: F.transform(c, lambda s: F.concat_ws(":", F.lit(kind), s["start"].cast("string"), s["end"].cast("string")))
+    spans = F.array_join(F.concat(shown("lines", "line"), shown("passages", "passage")), ",")
+    return found.select("doc_id", F.col("n_words"), F.size("lines").cast("long").alias("n_lines"), F.size("passages").cast("long").alias("n_passages"), "removed_chars", spans.alias("spans"))
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,9 +63,10 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicate_components(_table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_warc, op2_substring_dedup, op2_repeated_text, op3_license_scan, op4_secret_scan, op5_decontamination, op6_personal_data, op7_quality, op8_mixing, op9_exact_dedup, op10_jaccard_join)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_warc, op2_substring_dedup, op3_license_scan, op4_secret_scan, op5_decontamination, op6_personal_data, op7_quality, op8_mixing, op9_exact_dedup, op10_jaccard_join)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_BLANKS, _BLANK_WORDS = "chr(32) || chr(9) || chr(11) || chr(12) || chr(13)", r"'[^\x20\x09-\x0D]+'"
 _WORDS = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 ORACLE_SQL: dict[str, str] = {
@@ -77,14 +78,28 @@ select page_id, payload_bytes, payload_digest,
   case when page_id <> keeper then 'revisit' else 'response' end as record_type,
   case when page_id <> keeper then keeper end as refers_to
 from d left join g on payload_digest = gd""",
-    "op2_substring_dedup": r"""
-with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as unit_no from documents where text is not null),
-o as (select *, sum(length(line) + 1) over (partition by doc_id order by unit_no) - length(line) - 1 as s from l),
-n as (select doc_id, unit_no, s::bigint as s, (s + length(line))::bigint as e, regexp_extract_all(line, '[^\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+') as w from o),
-u as (select doc_id, unit_no, s, e, lower(array_to_string(w, ' ')) as t from n where len(w) >= 8),
-r as (select *, row_number() over (partition by t order by doc_id, unit_no) as rn, first_value(doc_id) over (partition by t order by doc_id, unit_no) as keep_doc_id,
-  first_value(unit_no) over (partition by t order by doc_id, unit_no) as keep_unit_no, count(*) over (partition by t) as copies from u)
-select doc_id, unit_no, s as "start", e as "end", keep_doc_id, keep_unit_no, copies from r where rn > 1""",
+    "op2_substring_dedup": rf"""
+with d as (select row_number() over () as r, doc_id, coalesce(text, '') as t from documents),
+l as (select r, doc_id, unnest(string_split(t, chr(10))) as line, generate_subscripts(string_split(t, chr(10)), 1) as no from d),
+o as (select *, sum(length(line) + 1) over (partition by r order by no) - length(line) - 1 as s from l),
+u as (select r, doc_id, (s + length(line) - length(ltrim(line, {_BLANKS})))::bigint as s, (s + length(rtrim(line, {_BLANKS})))::bigint as e,
+  array_to_string(regexp_extract_all({_LOWER.format("line")}, {_BLANK_WORDS}), ' ') as t from o where regexp_matches(line, {_BLANK_WORDS})),
+x as (select r, 'line' as kind, s, e from u qualify rank() over (partition by t order by doc_id) > 1 or row_number() over (partition by t, doc_id order by s) > 1),
+g as (select r, doc_id, t, regexp_extract_all({_LOWER.format("t")}, {_BLANK_WORDS}) as w, regexp_extract_all(t, {_BLANK_WORDS}) as raw, regexp_split_to_array(t, {_BLANK_WORDS}) as gaps from d),
+n as (select r, sum(length(gap)) over q + coalesce(sum(length(word)) over (partition by r order by p rows between unbounded preceding and 1 preceding), 0) as s, length(word) as size, p
+  from (select r, unnest(gaps[1:len(raw)]) as gap, unnest(raw) as word, generate_subscripts(raw, 1) as p from g) window q as (partition by r order by p)),
+v as (select r, doc_id, p, array_to_string(w[p:p + 49], ' ') as t from (select r, doc_id, w, unnest(range(1, len(w) - 48)) as p from g where len(w) >= 50)),
+z as (select r, p from v qualify rank() over (partition by t order by doc_id) > 1 or row_number() over (partition by t, doc_id order by p) > 1),
+b as (select z.r, z.p, a.s::bigint as s, (c.s + c.size)::bigint as e from z join n a on a.r = z.r and a.p = z.p join n c on c.r = z.r and c.p = z.p + 49),
+i as (select *, s > coalesce(max(e) over (partition by r order by s rows between unbounded preceding and 1 preceding), -1) as opens from b),
+k as (select *, sum(opens::int) over (partition by r order by s) as no from i),
+y as (select r, 'passage' as kind, min(s) as s, max(e) as e from k group by r, no),
+a as (select * from x union all select * from y),
+m as (select r, kind, s, e, greatest(0, e - greatest(s, coalesce(max(e) over (partition by r order by s, e rows between unbounded preceding and 1 preceding), 0))) as fresh from a),
+f as (select r, count(*) filter (kind = 'line') as n_lines, count(*) filter (kind = 'passage') as n_passages, sum(fresh)::bigint as removed_chars,
+  string_agg(kind || ':' || s || ':' || e, ',' order by kind, s) as spans from m group by r)
+select doc_id, len(g.w)::bigint as n_words, coalesce(n_lines, 0) as n_lines, coalesce(n_passages, 0) as n_passages, coalesce(removed_chars, 0) as removed_chars, coalesce(spans, '') as spans
+from g left join f using (r)""",
     "op5_decontamination": f"""
 with i as (select item_id::varchar as item, {_WORDS.format(_LOWER.format("coalesce(text, '')"))} as w from benchmark where item_id is not null),
 iw as (select distinct item, least(len(w), 10) as size, array_to_string(w[p:p + least(len(w), 10) - 1], ' ') as t
