@@ -123,7 +123,10 @@ def _placed(docs: DataFrame, s: MixSettings, id_col: str, text_col: str, source_
 
 
 def mix_sources(docs: DataFrame, s: MixSettings = MixSettings(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per row of ``docs``: doc_id, size, source_size, target (its source's), taken (words the mix takes), source.
+    """One row per row of ``docs``: doc_id, size, source_size, target (its source's), taken (words the mix takes), source, first_slot.
+
+    first_slot is the first slot of the schedule in which words of the document stand, null where none are taken: in
+    this order the mix is near its weights from its first slots on.
 
     Size counts runs of characters other than ASCII white space; null and empty texts have size 0 and take 0. A null
     source is a source of its own, the last. Repeated rows each count. A source's taken words are its target rounded
@@ -133,16 +136,16 @@ def mix_sources(docs: DataFrame, s: MixSettings = MixSettings(), id_col: str = "
     placed = materialize(_placed(docs, s, id_col, text_col, source_col), "placed")
     sizes = placed.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = materialize(_plan(source_targets(sizes, s), s), "targets")
-    used = slot_schedule(plan, s).groupBy("source", "block_no", "words").agg(F.count("*").alias("times"))
+    used = slot_schedule(plan, s).groupBy("source", "block_no", "words").agg(F.count("*").alias("times"), F.min("slot").alias("slot"))
     p = plan.select(F.col("source").alias("ps"), "source_size", "target", "block")
     d = placed.join(p, placed["source"].eqNullSafe(p["ps"])).drop("ps")
     first, last = F.expr("offset div block"), F.expr("(offset + size - 1) div block")
     pieces = d.filter("size > 0").withColumn("no", F.explode(F.sequence(first, last)))
-    u = used.select(F.col("source").alias("us"), F.col("block_no").alias("un"), "words", "times")
+    u = used.select(F.col("source").alias("us"), F.col("block_no").alias("un"), "words", "times", "slot")
     pieces = pieces.join(u, pieces["source"].eqNullSafe(u["us"]) & (pieces["no"] == u["un"]))
     start = F.col("no") * F.col("block")
     overlap: Column = F.greatest(F.lit(0).cast("long"), F.least(F.col("offset") + F.col("size"), start + F.col("words")) - F.greatest(F.col("offset"), start))
-    taken = pieces.groupBy("source", "bucket", "rn").agg(F.sum(overlap * F.col("times")).alias("taken"))
-    t = taken.select(F.col("source").alias("ts"), F.col("bucket").alias("tb"), F.col("rn").alias("tr"), "taken")
+    taken = pieces.groupBy("source", "bucket", "rn").agg(F.sum(overlap * F.col("times")).alias("taken"), F.min(F.when(overlap > 0, F.col("slot"))).alias("first_slot"))
+    t = taken.select(F.col("source").alias("ts"), F.col("bucket").alias("tb"), F.col("rn").alias("tr"), "taken", "first_slot")
     out = d.join(t, d["source"].eqNullSafe(t["ts"]) & (d["bucket"] == t["tb"]) & (d["rn"] == t["tr"]), "left")
-    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source")
+    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source", "first_slot")

@@ -18,7 +18,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = warc.archive_and_index(_table(spark, sf_dir, "pages"))
-    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured_at", "range_no", "position")
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +51,7 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "first_slot")
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,9 +124,22 @@ f as (select *, cap <= level * weight as stops, max(case when cap <= level * wei
 t as (select source, source_size, case when stops then cap else final * weight end as target from f),
 o as (select doc_id, d.source, size, source_size, target, floor(target)::bigint as quota,
   (sum(size) over (partition by d.source order by ord, doc_id, size rows between unbounded preceding and current row) - size)::bigint as a
-  from d join t on d.source is not distinct from t.source)
-select doc_id, size, source_size, target,
-  (case when source_size = 0 then 0 else size * (quota // source_size) + greatest(0, least(a + size, quota % source_size) - a) end)::bigint as taken from o""",
+  from d join t on d.source is not distinct from t.source),
+p as (select source, source_size, quota, block, ceil(source_size / block)::bigint as n_blocks from (select *, floor(target)::bigint as quota, greatest(1, ceil(sum(target) over () / 262144.0::double))::bigint as block from t) where source_size > 0),
+c as (select *, (quota // source_size) * n_blocks + ceil((quota % source_size) / block)::bigint as n_slots from p),
+h as (select *, sum(n_slots) over (order by source nulls last) / (sum(n_slots) over ())::double as hi from c where n_slots > 0),
+k as (select *, hi - n_slots / (sum(n_slots) over ())::double as lo, sum(n_slots) over () as n from h),
+j as (select i as slot, (i * 0.6180339887498949::double) % 1.0::double as u from range((select coalesce(max(n), 0)::bigint from k)) q(i)),
+r as (select k.*, slot, row_number() over (partition by source order by slot) - 1 as rank from j join k on u >= lo and (u < hi or hi > 1 - 1e-12)),
+v as (select source, rank, slot from r where rank < n_slots union all
+  select source, unnest(range(served, n_slots)) as rank, n + unnest(range(served, n_slots)) as slot from (select k.source, k.n_slots::bigint as n_slots, k.n::bigint as n, count(rank)::bigint as served from k left join r on k.source is not distinct from r.source group by 1, 2, 3)),
+y as (select v.source, slot, rank % n_blocks as no, least(block, source_size - rank % n_blocks * block, quota - (rank // n_blocks * source_size + rank % n_blocks * block)) as words, block
+  from v join c on v.source is not distinct from c.source),
+x as (select o.doc_id, o.source, a, min(slot)::bigint as first_slot from (select o.*, block, unnest(range(a // block, (a + size - 1) // block + 1)) as no from o join c on o.source is not distinct from c.source where size > 0) o
+  join y on o.source is not distinct from y.source and o.no = y.no and least(a + size, o.no * o.block + words) > greatest(a, o.no * o.block) group by 1, 2, 3)
+select o.doc_id, size, source_size, target,
+  (case when source_size = 0 then 0 else size * (quota // source_size) + greatest(0, least(o.a + size, quota % source_size) - o.a) end)::bigint as taken, first_slot
+from o left join x on o.doc_id is not distinct from x.doc_id and o.source is not distinct from x.source and o.a = x.a and size > 0""",
     "op9_exact_dedup": r"""
 with d as (select doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) as text_sha256 from documents)
 select doc_id, min(doc_id) over g as keep_id, count(*) over g as group_size,

@@ -2,7 +2,8 @@
 
 Native: DataFrame functions only. Every version of every path is addressed by the SHA-256 of its content; only
 (blob, rule, rule version) triples that the ledger lacks are scanned, each once, and findings are joined back to all
-paths that hold the blob.
+paths that hold the blob. Which row of a blob is scanned is settled on narrow rows; texts stay where they are, but for
+those of rows that repeat both path and blob and of blobs that some rules have seen and others have not.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import materialize, text_or_empty
+from tidewire.llm.common import drop_keyed, materialize, split_keyed, text_or_empty
 
 
 @dataclass(frozen=True)
@@ -50,15 +51,30 @@ def address(versions: DataFrame, path_col: str, text_col: str) -> DataFrame:
     return versions.select(F.col(path_col).alias("path"), F.unhex(F.sha2(text, 256)).alias("blob"), text.alias("text"))
 
 
-def unseen_blobs(blobs: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...]) -> DataFrame:
-    """(blob, text, seen): each distinct blob once, with the 'kind/version' marks the ledger has of it, if any is missing."""
-    once = blobs.select("blob", "text").dropDuplicates(["blob"])
+def unseen_blobs(blobs: DataFrame, paths: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...]) -> DataFrame:
+    """(blob, text, seen): each distinct blob once, with the 'kind/version' marks the ledger has of it, if any is missing.
+
+    ``paths`` are the (path, blob) of ``blobs``, written: of each blob the row of the smallest path is taken.
+    """
+    rank = F.struct(F.col("path").isNull().alias("no_path"), F.col("path").alias("path"))
+    rows = materialize(paths.groupBy("blob", "path").agg(F.count("*").alias("n")), "rows")
+    # Written first, so that the join deals its own sides and a blob of very many paths can be split.
+    several = materialize(rows.groupBy("blob").agg(F.min(rank).alias("first"), F.count("*").alias("m")).filter("m > 1").select("blob", "first"), "several")
+    others = rows.join(several, "blob").filter(rank != F.col("first")).select("path", "blob")
+    once = drop_keyed(blobs, others, ["path", "blob"])
+    repeated = materialize(rows.filter("n > 1").select(F.struct("path", "blob").alias("mark")), "repeated")
+    clear, maybe = split_keyed(once.withColumn("key", F.struct("path", "blob")), repeated, "key", "mark")
+    once = clear.unionByName(maybe.dropDuplicates(["key"])).drop("key", "path")
+    none = F.array().cast("array<string>")
     if ledger is None:
-        return once.withColumn("seen", F.array().cast("array<string>"))
-    marks = ledger.groupBy("blob").agg(F.collect_set(F.concat_ws("/", "kind", "version")).alias("seen"))
+        return once.withColumn("seen", none)
+    marks = materialize(ledger.groupBy("blob").agg(F.collect_set(F.concat_ws("/", "kind", "version")).alias("seen")), "marks")
     now = F.array(*[F.lit(f"{r.kind}/{r.version}") for r in rules])
-    joined = once.join(marks, "blob", "left").withColumn("seen", F.coalesce("seen", F.array().cast("array<string>")))
-    return joined.filter(F.size(F.array_except(now, "seen")) > 0)
+    missing = F.size(F.array_except(now, "seen"))
+    some = marks.filter((missing > 0) & (missing < len(rules))).withColumnsRenamed({"blob": "mark"})
+    clear, maybe = split_keyed(drop_keyed(once, marks.filter(missing == 0).select("blob"), ["blob"]), some, "blob", "mark")
+    told = maybe.join(some, F.col("blob") == F.col("mark"), "left").withColumn("seen", F.coalesce("seen", none))
+    return clear.withColumn("seen", none).unionByName(told.drop("mark"))
 
 
 def scan_blobs(unseen: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -89,9 +105,9 @@ def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, findings
     has a new version are replaced. Every row of ``versions`` is a version: repeated rows and paths stay.
     """
     blobs = address(versions, path_col, text_col)
-    unseen = unseen_blobs(blobs, ledger, rules)
+    paths = materialize(blobs.select("path", "blob"), "paths")
+    unseen = unseen_blobs(blobs, paths, ledger, rules)
     fresh = materialize(scan_blobs(unseen, rules), "findings")
-    paths = blobs.select("path", "blob")
     marks = F.explode(F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in rules])).alias("m")
     now = paths.select("blob").distinct().select("blob", marks).select("blob", "m.*")
     if ledger is None:
@@ -113,14 +129,36 @@ def findings_by_blob(findings: DataFrame, rules: tuple[Rule, ...] = RULES) -> Da
     return findings.groupBy("blob").agg(*counts, joined(F.when(base, span)).alias("base"), joined(span).alias("spans"))
 
 
-def scan_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_<kind> of the base kinds, base_sha256, spans; see scan_versions.
+def scan_increments(increments: list[DataFrame], rules: tuple[Rule, ...] = RULES, path_col: str = "path", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(paths, findings, ledger) of scan_versions over increments in order, each against what those before it left.
 
-    Null and empty texts have no spans. Other columns are ignored; an empty table gives no rows.
+    paths has (path, blob, known): whether the blob was in the ledger when its row came.
+    """
+    paths, findings, ledger = None, None, None
+    for versions in increments:
+        before = ledger
+        own, findings, ledger = scan_versions(versions, ledger, findings, rules, path_col, text_col)
+        ledger = materialize(ledger, "ledger")
+        if before is None:
+            own = own.withColumn("known", F.lit(False))
+        else:
+            known = materialize(before.select("blob").distinct().withColumn("known", F.lit(True)), "known")
+            own = own.join(known, "blob", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+        paths = own if paths is None else paths.unionByName(own)
+    return paths, findings, ledger
+
+
+def scan_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, increments: int = 2) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_<kind> of the base kinds, base_sha256, spans, known; see scan_versions.
+
+    The rows come in as many increments, dealt by doc_id (null first); a blob that an earlier one brought is not
+    scanned again (known). Null and empty texts have no spans. Other columns are ignored; an empty table gives no rows.
     """
-    paths, findings, _ = scan_versions(docs, rules=rules, path_col=id_col, text_col=text_col)
+    part = F.pmod(F.coalesce(F.xxhash64(F.col(id_col)), F.lit(0)), F.lit(increments)) if increments > 1 else F.lit(0)
+    parts = [docs.select(id_col, text_col).filter(part == i) for i in range(increments)] if increments > 1 else [docs]
+    paths, findings, _ = scan_increments(parts, rules, id_col, text_col)
     # Written first, so that the join deals its own sides and a blob of very many paths can be split.
     found = materialize(findings_by_blob(findings, rules), "found")
     out = paths.join(found, "blob", "left")
     counts = [F.coalesce(f"n_{r.kind}", F.lit(0)).cast("long").alias(f"n_{r.kind}") for r in rules if r.base]
-    return out.select(F.col("path").alias("doc_id"), *counts, F.sha2(F.coalesce("base", F.lit("")), 256).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"))
+    return out.select(F.col("path").alias("doc_id"), *counts, F.sha2(F.coalesce("base", F.lit("")), 256).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"), "known")
