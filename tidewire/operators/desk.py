@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.operators.analytics import waiting_reason
-from tidewire.operators.queues import delete_where, update_where
+from tidewire.operators.queues import delete_where, marked, update_where
 
 ACTIVE = ("PENDING", "PROCESSING", "WAITING")
 
@@ -52,21 +52,15 @@ def boost(events: DataFrame, amounts: DataFrame) -> DataFrame:
     return joined.withColumn("editorial_score", F.when(F.col("amount").isNotNull(), new).otherwise(F.col("editorial_score"))).select(*events.columns)
 
 
-def _marked(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """``rows`` with a column _hit: whether ``key`` is one of ``ids``."""
-    chosen = ids.select(F.col("id").alias(key)).distinct().withColumn("_hit", F.lit(True))
-    return rows.join(chosen, key, "left").withColumn("_hit", F.coalesce("_hit", F.lit(False)))
-
-
 def archive_by_hand(events: DataFrame, ids: DataFrame, as_of: Column) -> DataFrame:
     """The events go to the archive and are no longer active."""
-    return update_where(_marked(events, ids, "id"), F.col("_hit"), as_of, status="ARCHIVED", is_active=False).select(*events.columns)
+    return update_where(marked(events, ids, "id"), F.col("_hit"), as_of, status="ARCHIVED", is_active=False).select(*events.columns)
 
 
 def approve(events: DataFrame, queue: DataFrame, ids: DataFrame, as_of: Column, note: str = "Approved by hand") -> tuple[DataFrame, DataFrame]:
     """(events, queue): the events are published as of now and their waiting jobs are done."""
-    e = update_where(_marked(events, ids, "id"), F.col("_hit"), as_of, status="PUBLISHED", published_at=as_of)
-    q = update_where(_marked(queue, ids, "event_id"), F.col("_hit") & (F.col("status") == "WAITING"), as_of, status="COMPLETED", msg=note)
+    e = update_where(marked(events, ids, "id"), F.col("_hit"), as_of, status="PUBLISHED", published_at=as_of)
+    q = update_where(marked(queue, ids, "event_id"), F.col("_hit") & (F.col("status") == "WAITING"), as_of, status="COMPLETED", msg=note)
     return e.select(*events.columns), q.select(*queue.columns)
 
 
@@ -88,7 +82,7 @@ def dissolve(events: DataFrame, articles: DataFrame, articles_queue: DataFrame,
 
     ``articles_queue`` has one row per article_id; one that exists keeps its created_at and attempts.
     """
-    a = _marked(articles, ids, "event_id")
+    a = marked(articles, ids, "event_id")
     freed = a.filter("_hit").select(F.col("id").alias("article_id"), F.concat(F.lit("Dissolved from Event "), F.col("event_id").cast("string")).alias("_msg"))
     empty = {c: F.lit(None).cast(articles.schema[c].dataType) for c in ENRICHED if c in articles.columns} | {"title": F.lit("Unknown")}
     empty |= {"summary_status": F.lit("PENDING")} if "summary_status" in articles.columns else {}
@@ -101,5 +95,5 @@ def dissolve(events: DataFrame, articles: DataFrame, articles_queue: DataFrame,
     p = proposals
     for side in ("source_id", "target_id"):
         p = p.join(gone, F.col(side) == F.col("_id"), "left_anti")
-    left = delete_where(_marked(events_queue, ids, "event_id"), F.col("_hit")).select(*events_queue.columns)
-    return Dissolved(delete_where(_marked(events, ids, "id"), F.col("_hit")).select(*events.columns), a, q, left, p)
+    left = delete_where(marked(events_queue, ids, "event_id"), F.col("_hit")).select(*events_queue.columns)
+    return Dissolved(delete_where(marked(events, ids, "id"), F.col("_hit")).select(*events.columns), a, q, left, p)

@@ -24,6 +24,12 @@ def delete_where(state: DataFrame, predicate: Column) -> DataFrame:
     return state.filter(~F.coalesce(predicate, F.lit(False)))
 
 
+def marked(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """``rows`` with a column _hit: whether ``key`` is one of the ``id`` of ``ids``."""
+    chosen = ids.select(F.col("id").alias(key)).distinct().withColumn("_hit", F.lit(True))
+    return rows.join(chosen, key, "left").withColumn("_hit", F.coalesce("_hit", F.lit(False)))
+
+
 def insert_new(state: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     """K1, K2: state plus the rows whose key is new, each key once (the smallest row by all columns)."""
     once = rows.groupBy(*keys).agg(F.min(F.struct(*rows.columns)).alias("r")).select("r.*")
@@ -60,7 +66,7 @@ def purge_done(queue: DataFrame, states: tuple[str, ...] = ("COMPLETED",)) -> Da
 
 
 def expire_pending(queue: DataFrame, as_of: Column, days: int = 7) -> DataFrame:
-    """Q5, Q9."""
+    """Q5."""
     return update_where(queue, (F.col("status") == "PENDING") & (F.col("created_at") < ago(as_of, days=days)), as_of, status="COMPLETED", msg="expired")
 
 

@@ -18,6 +18,7 @@ VIEWS = {
     "queue": """aq as (select event_id as id, user_id as article_id, case event_type when 'click' then 'PENDING' when 'view' then 'PROCESSING' when 'purchase' then 'COMPLETED' when 'error' then 'FAILED' when 'signup' then 'WAITING' end as status,
   ['filter','enricher','analyzer','cluster'][event_id % 4 + 1] as queue_name, ts as updated_at, ts - to_hours(cast(event_id % 72 as int)) as created_at, event_id % 4 as attempts,
   case when event_type = 'error' and event_id % 2 = 0 then 'HTTP 403 Forbidden' else 'ok' end as msg, props, value from events)""",
+    "equeue": """eq as (select id, article_id as event_id, status, case (id // 2) % 2 when 0 then 'enhancer' else 'publisher' end as queue_name, updated_at, created_at, attempts, msg from aq where id % 2 = 0)""",
     "proposals": """pr as (select a.vec_id as source_id, b.vec_id as target_id, ['PENDING','PROCESSING','APPROVED','REJECTED','FAILED'][(a.vec_id + b.vec_id) % 5 + 1] as status, ((a.vec_id + b.vec_id) % 100) / 100.0::double as distance
   from embeddings a join embeddings b on a.label = b.label and a.vec_id < b.vec_id and b.vec_id - a.vec_id <= 10)""",
 }

@@ -1,9 +1,7 @@
-"""Queries of the news-event operators over the test tables, each beside its DuckDB SQL."""
+"""Queries of the news-event operators over the test tables, each beside its DuckDB SQL; ``QUERIES`` has those of all modules."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -19,36 +17,11 @@ from tidewire.operators import rollup as ru
 from tidewire.operators import score as sc
 from tidewire.operators import search as se
 from tidewire.operators import split as sp
-from tidewire.plans.oracle_views import with_views
+from tidewire.plans.base import AB, ORACLE_SQL, QUERIES, T, outlet_articles, query
 from tidewire.sources import entities as en
 from tidewire.sources import harvest as ha
 from tidewire.streaming import streams as st
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-T = "timestamp '2024-01-31'"
-
-
-def query(name: str, sql: str | None = None, views: str = ""):
-    """Register a query by its inventory ids; sql repeats it in DuckDB, after the named views."""
-
-    def put(f: Query) -> Query:
-        QUERIES[name] = f
-        if sql:
-            ORACLE_SQL[name] = with_views(views, sql) if views else sql
-        return f
-
-    return put
-
-
-def _outlet_articles(s: SparkSession, d: str) -> DataFrame:
-    return en.articles(s, d).join(en.newspapers(s, d), F.col("newspaper") == F.col("name")).drop("name")
-
-
-AB = "ab as (select * from articles join newspapers on newspaper = name)"
-
-
 @query("s1_scan_s2_pruned", "select doc_id, lang, n_chars from documents")
 def _(s, d):
     return en.table(s, d, "documents").select("doc_id", "lang", "n_chars")
@@ -74,7 +47,7 @@ def _(s, d):
 
 @query("s12_source_catalogue_a27", "select name, count(*) as articles, max(published_date) as newest from articles join newspapers on newspaper = name group by 1", "newspapers articles")
 def _(s, d):
-    return _outlet_articles(s, d).groupBy(F.col("newspaper").alias("name")).agg(F.count("*").alias("articles"), F.max("published_date").alias("newest"))
+    return outlet_articles(s, d).groupBy(F.col("newspaper").alias("name")).agg(F.count("*").alias("articles"), F.max("published_date").alias("newest"))
 
 
 @query("s14_seed_upsert_k3", "select o_custkey as key, max(o_orderkey) as version, arg_max(o_orderpriority, o_orderkey) as value from orders group by 1")
@@ -176,14 +149,14 @@ def _(s, d):
 
 @query("p6_tri_bias", f", {AB}, c as (select event_id, count(*) filter (bias = 'left') as l, count(*) filter (bias = 'leans_left') as ll, count(*) filter (bias = 'far_left') as fl from ab group by 1) select event_id, coalesce(nullif(l, 0), nullif(ll, 0), fl) as first_left, l + ll + fl as all_left from c", "articles newspapers")
 def _(s, d):
-    p = an.pivot_counts(_outlet_articles(s, d), "event_id", "bias", ["left", "leans_left", "far_left"])
+    p = an.pivot_counts(outlet_articles(s, d), "event_id", "bias", ["left", "leans_left", "far_left"])
     zero = F.lit(0).cast("long")
     return p.select("event_id", F.coalesce(F.nullif("left", zero), F.nullif("leans_left", zero), "far_left").alias("first_left"), (F.col("left") + F.col("leans_left") + F.col("far_left")).alias("all_left"))
 
 
 @query("j1_articles_per_bias_a1", "select bias, count(*) as n from articles join newspapers on newspaper = name group by 1", "articles newspapers")
 def _(s, d):
-    return an.count_by(_outlet_articles(s, d), "bias")
+    return an.count_by(outlet_articles(s, d), "bias")
 
 
 @query("j2_source_health_j3_a16_p2", f", h as (select name, max(published_date) as last_seen, count(*) filter (published_date >= {T} - interval 24 hour) as recent from newspapers left join articles on newspaper = name group by 1) select name, last_seen, recent, coalesce(floor((epoch({T}) - epoch(last_seen)) / 3600.0 * 60), 999999)::bigint as minutes, case when last_seen is null then 'DEAD' when (epoch({T}) - epoch(last_seen)) / 3600.0 > 24 then 'SILENT' when (epoch({T}) - epoch(last_seen)) / 3600.0 > 3 then 'WARNING' else 'OK' end as status from h", "articles newspapers")
@@ -334,7 +307,7 @@ def _(s, d):
 
 @query("a21_integrity", ", c as (select event_id, count(*) as n from articles group by 1) select count(*) filter (article_count > coalesce(n, 0)) as miscounted, count(*) filter (hot_score = 0 and article_count > 0) as unscored from evs left join c on evs.id = c.event_id", "articles events")
 def _(s, d):
-    return an.integrity(en.events(s, d), ru.articles_by_bias(_outlet_articles(s, d)))
+    return an.integrity(en.events(s, d), ru.articles_by_bias(outlet_articles(s, d)))
 
 
 @query("a22_overview_a5_a23", "select count(*) filter (is_active) as active, count(*) filter (status = 'PUBLISHED') as published, count(*) filter (status = 'DRAFT') as draft, count(*) filter (status = 'ARCHIVED') as archived from evs", "events")
@@ -381,34 +354,34 @@ def _(s, d):
 
 @query("g5_bias_sets_g8", f", {AB} select event_id, bias, string_agg(distinct newspaper_id::varchar, ',' order by newspaper_id::varchar) as ids, count(*) as n from ab group by 1, 2", "articles newspapers")
 def _(s, d):
-    a = _outlet_articles(s, d)
+    a = outlet_articles(s, d)
     ids = ru.bias_sets(a).select("event_id", "bias", F.array_join(F.array_sort(F.transform("newspaper_ids", lambda x: x.cast("string"))), ",").alias("ids"))
     return ids.join(ru.articles_by_bias(a), ["event_id", "bias"])
 
 
 @query("g5_ownership", f", {AB} select event_id, ownership_type, count(*) as n from ab group by 1, 2", "articles newspapers")
 def _(s, d):
-    return ru.ownership_counts(_outlet_articles(s, d))
+    return ru.ownership_counts(outlet_articles(s, d))
 
 
 @query("g6_stance_by_bias", f", {AB} select event_id, bias, count(*) filter (stance <= -0.35) as critical, count(*) filter (stance >= 0.35) as supportive, count(*) filter (stance > -0.35 and stance < 0.35) as neutral, round(avg(stance), 6) as total from ab where stance is not null group by 1, 2", "articles newspapers")
 def _(s, d):
-    return ru.stance_by_bias(_outlet_articles(s, d)).withColumn("total", F.round("total", 6))
+    return ru.stance_by_bias(outlet_articles(s, d)).withColumn("total", F.round("total", 6))
 
 
 @query("g6_global_stance", f", {AB} select event_id, round(avg(m), 6) as stance from (select event_id, bias, avg(stance) as m from ab where stance is not null group by 1, 2) group by 1", "articles newspapers")
 def _(s, d):
-    return ru.global_stance(ru.stance_by_bias(_outlet_articles(s, d))).withColumn("stance", F.round("stance", 6))
+    return ru.global_stance(ru.stance_by_bias(outlet_articles(s, d))).withColumn("stance", F.round("stance", 6))
 
 
 @query("g7_clickbait", f", {AB} select event_id, bias, round(avg(clickbait_score), 6) as clickbait from ab group by 1, 2", "articles newspapers")
 def _(s, d):
-    return ru.clickbait_by_bias(_outlet_articles(s, d)).withColumn("clickbait", F.round("clickbait", 6))
+    return ru.clickbait_by_bias(outlet_articles(s, d)).withColumn("clickbait", F.round("clickbait", 6))
 
 
 @query("g9_sources_snapshot", f", {AB} select event_id, newspaper, max(newspaper_id) as newspaper_id, max(bias) as bias from ab group by 1, 2", "articles newspapers")
 def _(s, d):
-    return ru.sources_snapshot(_outlet_articles(s, d))
+    return ru.sources_snapshot(outlet_articles(s, d))
 
 
 @query("g10_merge", "select least(event_id, event_id - event_id % 2) as event_id, count(*) as article_count, min(published_date) as first_article_date, max(published_date) as last_article_date, min(source_rank) as best_source_rank, round(sum(10.0::double / source_rank), 6) as editorial_score from articles group by 1", "articles")
@@ -512,7 +485,7 @@ def _(s, d):
 
 @query("r10_spectrum_score_r11_p8")
 def _(s, d):
-    a = _outlet_articles(s, d)
+    a = outlet_articles(s, d)
     g = ru.basics(a).join(a.groupBy("event_id").agg(F.countDistinct("newspaper").alias("n_sources"), F.collect_set("bias").alias("biases"), F.avg("clickbait_score").alias("clickbait"), F.count_if(F.col("stance") >= 0.35).alias("supportive"), F.count_if(F.col("stance") <= -0.35).alias("critical"), F.countDistinct(F.when(F.col("ownership_type") == "independent", F.col("newspaper"))).alias("independent")), "event_id")
     g = g.withColumns({"created_at": F.col("first_article_date"), "topics": F.array(F.lit("politics")), "ai_impact": (F.col("event_id") * 10).cast("int"), "is_international": F.col("event_id") % 2 == 0, "is_active": F.lit(True), "collision": F.lit(False)})
     return sc.publish_gate(sc.spectrum_score(g, en.as_of()), en.as_of()).select("event_id", "hot_score", F.array_join("insights", ",").alias("insights"), "blind_side", "decision", "reason")
@@ -596,7 +569,7 @@ def _(s, d):
 
 @query("r25_delta_batches", ", x as (select id, event_id, bias, newspaper, row_number() over (partition by event_id order by published_date, id) as rn from articles join newspapers on newspaper = name where id % 4 <> 1 and id not in (select source_id from pr where status in ('PENDING', 'PROCESSING'))) select event_id, (rn - 1) // 5 as batch_no, count(*) as n, string_agg(bias || '/' || newspaper, ',' order by rn) as inputs from x where id % 5 <> 0 group by 1, 2", "articles newspapers proposals")
 def _(s, d):
-    a = _outlet_articles(s, d).withColumns({"summary_status": F.when(F.col("id") % 4 == 1, "PENDING").otherwise("COMPLETED"), "key_points": F.when(F.col("id") % 5 != 0, F.array("title"))})
+    a = outlet_articles(s, d).withColumns({"summary_status": F.when(F.col("id") % 4 == 1, "PENDING").otherwise("COMPLETED"), "key_points": F.when(F.col("id") % 5 != 0, F.array("title"))})
     x = qu.batch_inputs(qu.delta_articles(a, en.proposals(s, d)))
     shown = F.array_join(F.transform("inputs", lambda i: F.concat(i["bias"], F.lit("/"), i["source"])), ",")
     return x.select("event_id", "batch_no", F.size("inputs").cast("long").alias("n"), shown.alias("inputs"))
@@ -691,3 +664,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hybrid(spark, sf_dir)
 
 
+# These add their queries to the registers.
+from tidewire.plans import flow_queries, report_queries  # noqa: E402, F401
+
+__all__ = ["ORACLE_SQL", "QUERIES", "flagship"]
