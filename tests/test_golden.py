@@ -14,7 +14,9 @@ from tidewire.operators import rollup as ru
 from tidewire.operators import score as sc
 from tidewire.operators import search as se
 from tidewire.operators.analytics import histogram
-from tidewire.operators.split import apply_split, split_labels
+from tidewire.operators.components import components
+from tidewire.operators.split import apply_split, split_events
+from tidewire.sources import backup as ba
 from tidewire.sources import harvest as ha
 from tidewire.streaming import streams as st
 
@@ -85,14 +87,48 @@ def test_cluster_decision_edges(spark):
     assert got == {1: "MERGE", 2: "MERGE", 3: "PROPOSE", 4: "IGNORED", 5: "ERROR", 6: "NEW", 7: "PROPOSE_MULTI"}
 
 
-def test_split():
+def labels(v, hours):
+    """Groups of one event's articles, row by row over the whole matrix of distances."""
+    n = len(v)
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    dist = np.round(1 - unit @ unit.T + np.minimum(0.15 * np.abs(hours[:, None] - hours[None, :]) / 24, 0.5), 9)
+    near = dist <= min(9 / n, 0.7)
+    label = list(range(n))
+    for _ in range(n):
+        for i in range(n):
+            label[i] = min(label[j] for j in range(n) if near[i, j])
+    alone = [near[i].sum() < 2 for i in range(n)]
+    firsts = sorted({label[i] for i in range(n) if not alone[i]})
+    if not firsts or n < 3:
+        return None
+    # Rows are in order of time, so the smallest label is a group's oldest article.
+    for i in range(n):
+        if alone[i]:
+            best = min(firsts, key=lambda f: (dist[i, f], f))
+            label[i] = best if dist[i, best] <= 0.25 else i
+    groups = sorted(set(label), key=lambda g: min(i for i in range(n) if label[i] == g))
+    return [groups.index(g) for g in label] if len(groups) > 1 else None
+
+
+def test_split_against_the_whole_matrix(spark):
     rng = np.random.default_rng(1)
-    a, b = np.eye(8)[0], np.eye(8)[1]
-    v = np.array([a + 0.01 * rng.normal(size=8) for _ in range(6)] + [b + 0.01 * rng.normal(size=8) for _ in range(6)])
-    groups = split_labels(v, np.zeros(12))
-    assert groups.tolist() == [0] * 6 + [1] * 6
-    assert split_labels(np.eye(12), np.zeros(12)) is None
-    assert split_labels(v[:2], np.zeros(2)) is None
+    rows, want = [], {}
+    for event, (n, spread, noise) in enumerate([(12, 0, 0.01), (40, 200, 0.05), (25, 30, 0.2), (2, 0, 0.0), (60, 500, 0.1), (15, 5, 0.5), (8, 400, 0.01), (5, 0, 9.0)]):
+        v = np.eye(8)[rng.integers(0, 3, n)] + noise * rng.normal(size=(n, 8))
+        hours = np.sort(rng.integers(0, spread + 1, n)).astype(float)
+        rows += [(event, event * 1000 + i, NOW + dt.timedelta(hours=h), x.tolist()) for i, (x, h) in enumerate(zip(v, hours, strict=True))]
+        got = labels(v, hours)
+        want |= {event * 1000 + i: g for i, g in enumerate(got)} if got else {}
+    a = spark.createDataFrame([*rows, (0, -1, NOW, [1.0]), (0, -2, NOW, None)], "event_id long, id long, published_date timestamp_ntz, embedding array<double>")
+    assert {r.id: r.group_no for r in split_events(a, dimension=8).collect()} == want and len(set(want.values())) > 2
+    assert split_events(a.limit(0), dimension=8).count() == 0
+
+
+def test_components_of_chains(spark):
+    nodes = spark.range(60).select(F.col("id").alias("node"))
+    links = spark.range(40).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    got = {r.node: r.component for r in components(nodes, links).collect()}
+    assert got == {i: 0 if i <= 40 else i for i in range(60)}
 
 
 def test_leaky_bucket(spark):
@@ -103,6 +139,83 @@ def test_leaky_bucket(spark):
     assert (got.allowed, got.rejected) == (2, 1)
 
 
+def test_leaky_bucket_against_a_fold(spark):
+    rng = np.random.default_rng(3)
+    rows = [(f"k{k}" if k < 5 else None, float(t), float(c)) for k, t, c in zip(np.minimum(rng.integers(0, 12, 3000), 5), rng.integers(0, 40_000, 3000), rng.integers(1, 30, 3000), strict=True)]
+    want = {}
+    for key, ts, cost in sorted(rows, key=lambda r: (r[0] or "", r[1], r[2])):
+        used, last, yes, no = want.get(key, (0.0, None, 0, 0))
+        used = max(0.0, used - (0.0 if last is None else ts - last) * 1.0)
+        ok = used + cost <= 60
+        want[key] = (used + cost if ok else used, ts, yes + ok, no + (not ok))
+    got = {r.key: (r.used, r.allowed, r.rejected) for r in st.rate_limited_batch(spark.createDataFrame(rows, "key string, ts double, cost double").repartition(7), 60.0, 60.0).collect()}
+    assert got == {k: (pytest.approx(u, abs=1e-6), y, n) for k, (u, _, y, n) in want.items()}
+    assert st.rate_limited_batch(spark.createDataFrame([], "key string, ts double, cost double"), 60.0, 60.0).count() == 0
+
+
+def test_stages_route_fail_and_pass_by(spark):
+    jobs = spark.createDataFrame([(1, "filter", "PENDING", ""), (2, "filter", "PENDING", ""), (3, "enricher", "FAILED", "old"), (4, "other", "PENDING", "x")], "id long, queue_name string, status string, msg string")
+    one_ = lambda df: df.select("id", F.lit("ok").alias("outcome"), F.when(F.col("id") == 1, "enricher").alias("next_queue"), F.when(F.col("id") == 2, F.lit("e" * 900)).alias("error"))
+    two = lambda df: df.select("id", F.lit("rich").alias("outcome"), F.lit(None).cast("string").alias("next_queue"), F.lit(None).cast("string").alias("error"))
+    got = {r.id: (r.queue_name, r.status, r.msg) for r in st.run_stages(jobs, [("filter", one_), ("enricher", two)]).collect()}
+    assert got == {1: ("enricher", "COMPLETED", "rich"), 2: ("filter", "FAILED", "e" * 500), 3: ("enricher", "FAILED", "old"), 4: ("other", "PENDING", "x")}
+
+
+def test_dump_and_restore(spark, tmp_path):
+    t = {"a": spark.createDataFrame([(1, "x|y", None), (2, None, [1, 2])], "id long, name string, v array<int>")}
+    ba.dump_tables(t, str(tmp_path))
+    back = ba.restore_tables(spark, str(tmp_path), {k: df.schema for k, df in t.items()})
+    assert sorted(back["a"].collect()) == sorted(t["a"].collect())
+    assert ba.markdown_rows(t["a"].select("id", "name")).first().line == "| 1 | x\\|y |" and ba.markdown_head(t["a"], id="No") == "| No | name | v |\n| --- | --- | --- |"
+
+
+def test_page_links(spark):
+    html = "<a href='/a'>First  link</a><a href='b/c'>x</a><a href='/a'>Again here</a><a href='https://o.test/z'>Other &amp; more</a><a>no target</a><a href='/d'>Fourth<b> one</b></a>"
+    pages = spark.createDataFrame([(1, "https://s.test/x/", html), (2, None, None)], "page_id long, url string, html string")
+    got = ha.page_links(pages)
+    assert [tuple(r) for r in got.orderBy("position").collect()] == [(1, "https://s.test/a", "First link", 1), (1, "https://o.test/z", "Other & more", 2), (1, "https://s.test/d", "Fourth one", 3)]
+    known = spark.createDataFrame([("https://s.test/a?x=1",)], "url string").select(tx.url_hash(F.col("url")).alias("url_hash"))
+    assert sorted((r.link, r.ordinal) for r in ha.new_links(got, known, "o[.]test").collect()) == [("https://s.test/d", 2)]
+
+
+def test_publish_gate_branches(spark):
+    cases = [
+        (False, 0, False, [], [], 9, "IGNORE", "inactive"), (True, 2, False, [], [], 9, "WAIT", "future"), (True, 1, True, [], [], 9, "WAIT", "collision"), (True, 0, False, ["sports"], [], 4, "WAIT", "topic"),
+        (True, 0, False, ["sports"], ["BREAKING"], 1, "PUBLISH", None), (True, 0, False, ["sports"], [], 5, "PUBLISH", None), (True, 0, False, ["Politics"], [], 1, "WAIT", "volume"),
+        (True, 0, False, ["Politics"], ["BLIND_SPOT"], 1, "PUBLISH", None), (True, 1, False, None, ["HIGH_IMPACT"], 1, "PUBLISH", None), (None, 0, False, [], [], 9, "IGNORE", "inactive"),
+    ]
+    e = spark.createDataFrame([(i, a, NOW + dt.timedelta(hours=h), c, t, m, n) for i, (a, h, c, t, m, n, _, _) in enumerate(cases)], "id int, is_active boolean, first_article_date timestamp_ntz, collision boolean, topics array<string>, insights array<string>, article_count long")
+    assert {r.id: (r.decision, r.reason) for r in sc.publish_gate(e, now()).collect()} == {i: c[6:] for i, c in enumerate(cases)}
+
+
+def test_search_for_its_own_words(spark):
+    rows = [(1, [1.0, 0.0], ["a", "b", "c"], True), (2, [1.0, 0.1], ["b", "x", "a"], True), (3, [0.0, 1.0], ["a"], True), (4, [1.0, 0.0], ["a", "b"], False), (5, [0.0, 0.0], ["q"], True)]
+    e = spark.createDataFrame(rows, "id long, centroid array<double>, toks array<string>, is_active boolean").withColumns({"created_at": now(), "last_updated_at": now()})
+    found = se.find_duplicates(e, e.filter("id = 1").withColumn("toks", F.array(F.lit("a"), F.lit("b")))).collect()
+    assert sorted(r.id for r in found) == [2, 3] and max(found, key=lambda r: r.rrf_score).id == 2
+    alone = se.hybrid_search(e, se.TextQuery.parse("a b"), [1.0, 0.0], now()).collect()
+    assert [r.id for r in alone][:2] == [1, 2] and {r.id for r in alone} == {1, 2, 3}
+    words = se.find_duplicates(e, e.filter("id = 5")).collect()
+    assert words == []
+
+
+def test_firewall_and_lock_key(spark):
+    row = one(spark, tx.is_firewall_page(F.lit("x" * 995 + "captcha")), tx.is_firewall_page(F.lit(None).cast("string")), tx.lock_key(F.lit("abc")), tx.wrapped_json(F.lit('[{"a":1}]'), "items"), tx.wrapped_json(F.lit('{"a":1}'), "items"), tx.wrapped_json(F.lit('{"items":[]}'), "items"))
+    assert list(row) == [False, False, 891568578, '{"items":[{"a":1}]}', '{"items":[{"a":1}]}', '{"items":[]}']
+
+
+def test_guards_and_first_per_key(spark, tmp_path):
+    src = str(tmp_path / "in")
+    spark.createDataFrame([("a", NOW, 1), ("a", NOW + dt.timedelta(minutes=1), 2), ("b", NOW + dt.timedelta(hours=9), 3)], "key string, ts timestamp, n int").coalesce(1).write.parquet(src)
+    stream = st.event_stream(spark, src, spark.read.parquet(src).schema)
+    guarded = st.guard_future(spark.read.parquet(src), "ts", now().cast("timestamp"))
+    assert sorted(r.n for r in guarded.filter("ts is null").collect()) == [3]
+    q = st.first_per_key(stream, "ts", "1 hour", "key").writeStream.format("memory").queryName("firsts").outputMode("append").start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted(r.key for r in spark.table("firsts").collect()) == ["a", "b"]
+
+
 def test_streams(spark, tmp_path):
     src = str(tmp_path / "in")
     rows = [("a", NOW + dt.timedelta(minutes=m), 60.0 if m == 0 else 1.0) for m in (0, 1, 50, 70)]

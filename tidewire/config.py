@@ -17,6 +17,8 @@ TOPIC_MULTIPLIERS = {
 
 @dataclass(frozen=True)
 class Settings:
+    """Thresholds and windows that decisions must share to agree."""
+
     similarity_strict: float = 0.05
     similarity_loose: float = 0.18
     similarity_merger: float = 0.13

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: What marks a blocked download.
-BLOCK_SIGNS = ("403", "forbidden", "captcha", "cloudflare", "access denied", "blocked", "robot", "429", "too many requests")
+#: What marks a blocked download in a job's message.
+BLOCK_SIGNS = ("HTTP 403", "HTTP 429", "HTTP 503", "Access Denied", "Cloudflare", "Captcha", "Forbidden", "Too Many Requests", "Blocked")
+#: What marks a page that a firewall has put in place of the one asked for.
+FIREWALL_SIGNS = ("cloudflare", "access denied", "403 forbidden", "captcha")
 #: Extensions of files that are not pages.
-BINARY_EXTENSIONS = ("pdf", "jpg", "jpeg", "png", "gif", "zip", "mp3", "mp4", "doc", "docx", "xls", "xlsx")
+BINARY_EXTENSIONS = ("pdf", "jpg", "png", "gif", "mp4", "zip", "exe")
 
 
 def url_hash(url: Column) -> Column:
@@ -57,12 +59,37 @@ def cut_at_stop_line(text: Column, phrases: list[str], short: int = 150) -> Colu
     return F.when((F.char_length(cut) < 50) & (F.char_length(text) > 200), F.substring(text, 1, 2000)).otherwise(cut)
 
 
-def looks_blocked(message: Column) -> Column:
-    return F.coalesce(message.rlike("(?i)" + "|".join(BLOCK_SIGNS)), F.lit(False))
+def looks_blocked(message: Column, signs: tuple[str, ...] = BLOCK_SIGNS) -> Column:
+    """whether the message holds one of the signs, in any case; null holds none."""
+    return F.coalesce(message.rlike("(?i)" + "|".join(signs)), F.lit(False))
 
 
-def is_binary_url(url: Column) -> Column:
-    return F.lower(F.split_part(url, F.lit("?"), F.lit(1))).rlike(r"\.(" + "|".join(BINARY_EXTENSIONS) + ")$")
+def is_firewall_page(html: Column, head: int = 1000, signs: tuple[str, ...] = FIREWALL_SIGNS) -> Column:
+    """whether the first characters of a page hold one of the signs, in any case; null and empty pages don't."""
+    return F.coalesce(F.substring(html, 1, head).rlike("(?i)" + "|".join(signs)), F.lit(False))
+
+
+def is_binary_url(url: Column, extensions: tuple[str, ...] = BINARY_EXTENSIONS) -> Column:
+    """whether the URL, its query aside, ends in one of the extensions, in any case."""
+    return F.lower(F.split_part(url, F.lit("?"), F.lit(1))).rlike(r"\.(" + "|".join(extensions) + ")$")
+
+
+def lock_key(title: Column) -> Column:
+    """CRC32 of a title, which tells apart what may be worked on at once; null counts as empty."""
+    return F.crc32(F.coalesce(title, F.lit("")).cast("binary"))
+
+
+def prefix(text: Column, n: int) -> Column:
+    """The first n characters."""
+    return F.substring(text, 1, n)
+
+
+def embedding_input(text: Column, phrases: list[str], limit: int = 20_000, label: str = "search_document: ") -> Column:
+    """What is handed to an encoder: cut at its stop lines, then at ``limit`` characters, with the label in front.
+
+    Null for texts of fewer than 10 characters: their vector is zero.
+    """
+    return F.when(F.char_length(text) >= 10, F.concat(F.lit(label), F.substring(cut_at_stop_line(text, phrases), 1, limit)))
 
 
 def repaired_json(reply: Column) -> Column:
@@ -70,3 +97,10 @@ def repaired_json(reply: Column) -> Column:
     plain = F.regexp_replace(F.regexp_replace(reply, r"(?s)<think>.*?</think>", ""), r"```(?:json)?", "")
     body = F.regexp_extract(plain, r"(?s)([\[{].*[\]}])", 1)
     return F.when(F.try_parse_json(body).isNotNull(), body)
+
+
+def wrapped_json(reply: Column, field: str) -> Column:
+    """A repaired reply where an object with a list ``field`` is wanted: a bare list, or one item of it, is wrapped."""
+    body = F.trim(repaired_json(reply))
+    is_list, has_field = body.startswith("["), F.get_json_object(body, f"$.{field}").isNotNull()
+    return F.when(is_list, F.concat(F.lit(f'{{"{field}":'), body, F.lit("}"))).when(has_field, body).otherwise(F.concat(F.lit(f'{{"{field}":['), body, F.lit("]}")))

@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
 def count_by(df: DataFrame, *keys: str, name: str = "n") -> DataFrame:
-    """Rows per key."""
+    """Rows per key."""
     return df.groupBy(*keys).agg(F.count("*").alias(name))
 
 
 def top_by(df: DataFrame, keys: list[str], n: int, name: str = "n") -> DataFrame:
-    """The n most frequent keys; keys break ties."""
+    """The n most frequent keys; keys break ties."""
     return count_by(df, *keys, name=name).orderBy(F.desc(name), *keys).limit(n)
 
 
@@ -96,8 +97,6 @@ def source_health(outlets: DataFrame, articles: DataFrame, as_of: Column, hours:
 
 def blocked_by_source(queue: DataFrame, articles: DataFrame, blocked: Column) -> DataFrame:
     """Blocked messages per source with the source's total, from one aggregate."""
-    from pyspark.sql import Window as W
-
     g = queue.filter(blocked).join(articles.select(F.col("id").alias("aid"), "newspaper"), F.col("article_id") == F.col("aid")).groupBy("newspaper", "msg").agg(F.count("*").alias("n"))
     return g.withColumn("source_total", F.sum("n").over(W.partitionBy("newspaper")))
 
@@ -121,3 +120,84 @@ def rate_utilisation(config: DataFrame, usage: DataFrame) -> DataFrame:
     c = config.withColumn("m", F.lower("model"))
     end = F.col("started_at") + F.expr("make_dt_interval(0, 0, 0, window_seconds)")
     return c.join(u, ["m", "metric"], "left").select("model", "metric", F.round(F.coalesce("used", F.lit(0.0)) * 100.0 / F.nullif("limit", F.lit(0)), 2).alias("percent"), end.alias("resets_at"))
+
+
+def blind_spots(events: DataFrame) -> DataFrame:
+    """A5: (side, n, total): active blind spots per side, null sides included, and all of them."""
+    g = events.filter(F.coalesce(F.col("is_active") & F.col("is_blind_spot"), F.lit(False))).groupBy(F.col("blind_spot_side").alias("side")).agg(F.count("*").alias("n"))
+    return g.withColumn("total", F.sum("n").over(W.partitionBy()))  # one row per side
+
+
+def errors_by_source(queue: DataFrame, articles: DataFrame, as_of: Column | None = None, hours: int = 24, queue_name: str | None = None, top: int | None = None) -> DataFrame:
+    """(newspaper, msg, n) of failed jobs, of the last hours where as_of is given, of one queue, the most frequent."""
+    q = queue.filter("status = 'FAILED'")
+    if as_of is not None:
+        q = q.filter(F.col("updated_at") >= as_of - F.expr(f"make_dt_interval(0, {hours})"))
+    if queue_name is not None:
+        q = q.filter(F.col("queue_name") == queue_name)
+    found = q.select("article_id", "msg").join(articles.select(F.col("id").alias("article_id"), "newspaper"), "article_id").filter("newspaper is not null")
+    return top_by(found, ["newspaper", "msg"], top) if top else count_by(found, "newspaper", "msg")
+
+
+def processed_per_day(articles: DataFrame) -> DataFrame:
+    """(day, n) of articles whose analysis is done, by the day of their summary."""
+    return articles.filter("summary_status = 'COMPLETED'").groupBy(F.to_date("summary_date").alias("day")).agg(F.count("*").alias("n"))
+
+
+def pending_proposals(of_articles: DataFrame, of_events: DataFrame) -> DataFrame:
+    """(article_merges, event_merges) that wait for a verdict, in one row."""
+    n = lambda p: p.agg(F.count_if(F.col("status") == "PENDING").alias("n"))
+    return n(of_articles).select(F.col("n").alias("article_merges")).join(n(of_events).select(F.col("n").alias("event_merges")))  # one row each (J11)
+
+
+def top_events(events: DataFrame, min_score: float | None = None, topic: str | None = None, only_blind_spots: bool = False, limit: int = 50, offset: int = 0) -> DataFrame:
+    """Published events by score, with at least min_score, with the topic among main_topic_counts, blind spots only."""
+    e = events.filter("status = 'PUBLISHED'")
+    if only_blind_spots:
+        e = e.filter("is_blind_spot")
+    if min_score is not None:
+        e = e.filter(F.col("hot_score") >= min_score)
+    if topic is not None:
+        e = e.filter(F.map_contains_key("main_topic_counts", F.lit(topic)))
+    return e.orderBy(F.desc_nulls_first("hot_score"), "id").offset(offset).limit(limit)
+
+
+def bias_edge(left: Column, right: Column, lead: int = 15) -> Column:
+    """The side that leads by more than ``lead``; null counts as 0."""
+    l, r = F.coalesce(left, F.lit(0)), F.coalesce(right, F.lit(0))
+    return F.when(l > r + lead, "left").when(r > l + lead, "right").otherwise("none")
+
+
+def impact_level(score: Column) -> Column:
+    """P7."""
+    return F.when(score > 75, "high").when(score >= 50, "middle").otherwise("low")
+
+
+def time_since(seconds: Column) -> Column:
+    """Elapsed time in its largest whole unit, in Portuguese."""
+    minutes, hours, days = (F.floor(seconds / n) for n in (60, 3600, 86400))
+    text = lambda n, one: F.concat(n.cast("string"), F.lit(f" {one}"), F.when(n != 1, "s").otherwise(""))
+    return F.when(days > 0, text(days, "dia")).when(hours > 0, text(hours, "hora")).when(minutes > 0, text(minutes, "minuto")).otherwise(text(seconds.cast("long"), "segundo"))
+
+
+#: Viewpoint and who ignores it, by blind-spot side.
+BLIND_SPOTS = {"left": ("ESQUERDA", "DIREITA"), "right": ("DIREITA", "ESQUERDA"), "center": ("CENTRO", "ESQUERDA E DIREITA")}
+
+
+def blind_spot_caption(side: Column) -> Column:
+    """(viewpoint, ignored_by) of a side; empty texts for others."""
+    table = F.create_map(*[x for k, (v, i) in BLIND_SPOTS.items() for x in (F.lit(k), F.struct(F.lit(v).alias("viewpoint"), F.lit(i).alias("ignored_by")))])
+    return F.coalesce(F.try_element_at(table, side), F.struct(F.lit("").alias("viewpoint"), F.lit("").alias("ignored_by")))
+
+
+#: What a list of events shows where a column is null.
+LIST_DEFAULTS = {"category_tag": "GENERAL", "ai_impact_score": 0, "article_count": 0, "stance": 0.0, "is_blind_spot": False}
+
+
+def event_list(events: DataFrame) -> DataFrame:
+    """Events with LIST_DEFAULTS for null columns; empty arrays and maps for null ones; no vectors and texts."""
+    kinds = dict(events.dtypes)
+    shown = [c for c in events.columns if c not in ("centroid", "embedding", "content", "search_text")]
+    empty = lambda c: F.array() if kinds[c].startswith("array") else F.create_map()
+    value = lambda c: F.coalesce(F.col(c), F.lit(LIST_DEFAULTS[c])) if c in LIST_DEFAULTS else F.coalesce(F.col(c), empty(c).cast(kinds[c])) if kinds[c].startswith(("array", "map")) else F.col(c)
+    return events.select(*[value(c).alias(c) for c in shown])

@@ -27,6 +27,13 @@ def event_detail(events: DataFrame, articles: DataFrame, queue: DataFrame, propo
     return events.join(lists, "id", "left").join(tags, "id", "left").join(named, "id", "left")
 
 
+def article_detail(articles: DataFrame, newspapers: DataFrame, ids: DataFrame) -> DataFrame:
+    """The asked-for articles with texts and the name of their outlet, "Unknown" without one."""
+    names = newspapers.select(F.col("name").alias("newspaper"), F.col("name").alias("source"))
+    a = articles.join(ids.select("id").distinct(), "id", "left_semi").join(names, "newspaper", "left")
+    return a.withColumn("source", F.coalesce("source", F.lit("Unknown"))).withColumn("content", F.coalesce("content", F.lit("")))
+
+
 def waiting_events(events: DataFrame, queue: DataFrame) -> DataFrame:
     """Events with a job that waits for approval, newest first, and why; one row per such job."""
     waits = queue.filter("status = 'WAITING'").select(F.col("event_id").alias("id"))

@@ -78,3 +78,58 @@ def paged(df: DataFrame, order_by: list[str], number: int = 1, size: int = 50, k
     """The page's rows with total, page and size of the whole result."""
     total = df.agg(F.count("*").alias("total"))
     return page(df, order_by, number, size, key).crossJoin(F.broadcast(total)).withColumns({"page": F.lit(number), "size": F.lit(size)})  # one row
+
+
+_TIMES = ("created_at__gte", "created_at__lte", "updated_at__gte", "updated_at__lte")
+_JOBS = (*_TIMES, "status", "attempts", "attempts__gt", "attempts__lt", "msg__ilike", "order_by")
+_ENTITY = (*_TIMES, "id", "order_by")
+#: The declared filters of each kind of list; further ones are let through.
+FILTERS: dict[str, tuple[str, ...]] = {
+    "articles_queue": (*_JOBS, "article__title__ilike", "article__original_url__ilike", "article__newspaper__name__ilike"),
+    "events_queue": (*_JOBS, "event__title__ilike", "event__status"),
+    "proposals": (*_JOBS, "proposal_type", "reasoning__ilike", "distance_score__lt"),
+    "articles": (*_ENTITY, "title__ilike", "content__ilike", "url_hash", "original_url__ilike", "published_date__gte", "newspaper__name__ilike"),
+    "events": (*_ENTITY, "status", "is_active", "hot_score__gt", "article_count__gt", "title__ilike"),
+    "newspapers": (*_ENTITY, "name__ilike", "bias"),
+    "audit": (*_ENTITY, "target_table", "target_id", "action", "actor_id"),
+}
+
+
+def listed(df: DataFrame, kind: str, filters: dict, relations: dict[str, Relation] | None = None, number: int = 1, size: int = 50, strict: bool = False) -> DataFrame:
+    """a page of a list under its declared filters, in the order of ``order_by``; strict: others are an error."""
+    unknown = sorted(set(filters) - set(FILTERS[kind]))
+    if strict and unknown:
+        raise ValueError(f"{kind} has no filters {', '.join(unknown)}")
+    order = [o.strip() for o in (filters.get("order_by") or "").split(",") if o.strip()]
+    return page(apply_filters(df, {k: v for k, v in filters.items() if k != "order_by"}, relations), order, number, size)
+
+
+def article_list(articles: DataFrame, newspapers: DataFrame, since=None, until=None, bias: str | None = None, search: str | None = None, newspaper_search: str | None = None) -> DataFrame:
+    """articles by date range, their outlet's bias, text in title or summary, and text in the outlet's name or description."""
+    a = apply_filters(articles, {"published_date__gte": since, "published_date__lte": until})
+    if search is not None:
+        a = search_text(a, search, ["title", "summary"])
+    if bias is not None or newspaper_search is not None:
+        n = apply_filters(newspapers, {"bias": bias})
+        n = n if newspaper_search is None else search_text(n, newspaper_search, ["name", "description"])
+        a = a.join(n.select(F.col("name").alias("newspaper")), "newspaper", "left_semi")
+    return a
+
+
+def empty_or_missing(c: Column) -> Column:
+    """a map or array that is null or has no entries."""
+    return c.isNull() | (F.size(c) == 0)
+
+
+def prefer_existing(keys: DataFrame, existing: DataFrame, fallback: DataFrame, key: str) -> DataFrame:
+    """For each key the row of ``existing``, or else that of ``fallback``, if there is either."""
+    rest = [c for c in existing.columns if c != key]
+    a = existing.select(key, F.struct(*rest).alias("_a"))
+    b = fallback.select(key, F.struct(*rest).alias("_b"))
+    return keys.select(key).join(a, key, "left").join(b, key, "left").select(key, F.coalesce("_a", "_b").alias("_r")).filter("_r is not null").select(key, "_r.*")
+
+
+def united(a: Column, b: Column) -> Column:
+    """U4: the union of two sets in arrays, sorted; null counts as empty."""
+    none = F.array().cast("array<string>")
+    return F.array_sort(F.array_union(F.coalesce(a, none), F.coalesce(b, none)))

@@ -75,6 +75,17 @@ def untitled(title: Column) -> Column:
     return F.lower(title).isin("no title", "unknown", "")
 
 
+def title_decision(title: Column, published: Column, as_of: Column, days: int = 7) -> Column:
+    """Too old is IGNORED, without a title FAILED, else KEEP; an unknown date is not old."""
+    return F.when(published < ago(as_of, days=days), "IGNORED").when(F.coalesce(title, F.lit("")) == "", "FAILED").otherwise("KEEP")
+
+
+def analysis_decision(content: Column, summary_status: Column, published: Column, as_of: Column, days: int = 7) -> Column:
+    """F17, in this order: too short is FAILED, done before COMPLETED, too old IGNORED, without a date FAILED, else ANALYSE."""
+    short = F.char_length(F.coalesce(content, F.lit(""))) < 50
+    return F.when(short, "FAILED").when(summary_status == "COMPLETED", "COMPLETED").when(published < ago(as_of, days=days), "IGNORED").when(published.isNull(), "FAILED").otherwise("ANALYSE")
+
+
 def requeue_untitled(queue: DataFrame, articles: DataFrame, as_of: Column) -> DataFrame:
     """Q6: untitled articles go to the enricher, one row per article."""
     rows = articles.filter(untitled(F.col("title"))).select(F.col("id").alias("article_id"), F.lit("PENDING").alias("status"), F.lit("enricher").alias("queue_name"), as_of.alias("updated_at"), as_of.alias("created_at"))

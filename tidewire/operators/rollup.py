@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -19,10 +23,28 @@ def basics(articles: DataFrame) -> DataFrame:
 
 
 def centroid(vectors: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
-    """(event_id, embedding): mean of the first ``centroid_limit`` non-empty vectors by date, position by position."""
+    """(event_id, embedding): mean of the first ``centroid_limit`` non-empty vectors by date, position by position.
+
+    Which vectors count is settled on narrow rows. Each batch of them is summed to one vector per event before
+    positions are shuffled.
+    """
+    some = vectors.filter(F.size("embedding") > 0)
     first = W.partitionBy("event_id").orderBy("published_date", "id")
-    v = vectors.filter(F.size("embedding") > 0).withColumn("rn", F.row_number().over(first)).filter(F.col("rn") <= s.centroid_limit)
-    cells = v.select("event_id", F.posexplode("embedding").alias("pos", "x")).groupBy("event_id", "pos").agg(F.avg("x").alias("x"))
+    chosen = some.select("event_id", "id", "published_date").withColumn("rn", F.row_number().over(first)).filter(F.col("rn") <= s.centroid_limit).select("event_id", "id")
+    v = some.select("event_id", "id", F.col("embedding").cast("array<double>").alias("embedding")).join(chosen, ["event_id", "id"], "left_semi").select("event_id", "embedding")
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            by: dict = {}
+            for event, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                x = x.values.to_numpy(zero_copy_only=False)
+                old = by.get((event, len(x)))
+                by[event, len(x)] = (x.copy(), 1) if old is None else (np.add(old[0], x, out=old[0]), old[1] + 1)
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in by], batch.schema.field(0).type), pa.array([t.tolist() for t, _ in by.values()], pa.list_(pa.float64())), pa.array([n for _, n in by.values()], pa.int64())], names=["event_id", "total", "n"])
+
+    kind = vectors.schema["event_id"].dataType.simpleString()
+    parts = v.mapInArrow(sums, f"event_id {kind}, total array<double>, n long")
+    cells = parts.select("event_id", "n", F.posexplode("total").alias("pos", "x")).groupBy("event_id", "pos").agg((F.sum("x") / F.sum("n")).alias("x"))
     return cells.groupBy("event_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda c: c["x"]).alias("embedding"))
 
 
@@ -101,6 +123,97 @@ def merge_events(pairs: DataFrame) -> DataFrame:
     )
 
 
+def _zipped(a: Column, b: Column, kind: str, both) -> Column:
+    """Two maps of one type united; ``both`` gives the value of a key from its two values, either of which may be null."""
+    none = F.create_map().cast(kind)
+    return F.map_zip_with(F.coalesce(a, none), F.coalesce(b, none), both)
+
+
+def _stance_n(x: Column) -> Column:
+    return F.coalesce(x["critical"] + x["supportive"] + x["neutral"], F.lit(0).cast("long"))
+
+
+STANCE = "struct<critical:bigint,supportive:bigint,neutral:bigint,total:double>"
+#: Columns of an event's statistics whose counts per key add up.
+SUMMED = ("main_topic_counts", "ownership_stats", "article_counts_by_bias")
+
+
+def merge_statistics(pairs: DataFrame) -> DataFrame:
+    """G10 whole: one row per (survivor, victim) of structs with all of an event's statistics, as columns of the result.
+
+    Beyond merge_events: SUMMED maps add up, interest_counts per category; stances per bias are means weighted by
+    their counts, which add up, and the global one by all of them; click-bait means are weighted by the stance counts
+    from before the merge; bias_distribution and publisher_insights are united; of sources_snapshot the victim's wins.
+    """
+    s, v = F.col("survivor"), F.col("victim")
+    counts = "map<string,bigint>"
+    stance = "stance_distribution"
+
+    def weighted(x: Column, n: Column, y: Column, m: Column) -> Column:
+        return F.coalesce((F.coalesce(x, F.lit(0.0)) * n + F.coalesce(y, F.lit(0.0)) * m) / F.nullif(n + m, F.lit(0).cast("long")), x, y)
+
+    def stances(_, x: Column, y: Column) -> Column:
+        n, m = _stance_n(x), _stance_n(y)
+        part = lambda f: (F.coalesce(x[f], F.lit(0).cast("long")) + F.coalesce(y[f], F.lit(0).cast("long"))).alias(f)
+        return F.struct(part("critical"), part("supportive"), part("neutral"), weighted(x["total"], n, y["total"], m).alias("total"))
+
+    all_n = lambda e: F.aggregate(F.map_values(F.coalesce(e[stance], F.create_map().cast(f"map<string,{STANCE}>"))), F.lit(0).cast("long"), lambda acc, x: acc + _stance_n(x))
+    bias_n = lambda e, k: F.coalesce(_stance_n(F.try_element_at(e[stance], k)), F.lit(0).cast("long"))
+    extra = [merge_counts(s[c], v[c]).alias(c) for c in SUMMED]
+    extra += [
+        _zipped(s["interest_counts"], v["interest_counts"], f"map<string,{counts}>", lambda k, x, y: merge_counts(x, y)).alias("interest_counts"),
+        _zipped(s[stance], v[stance], f"map<string,{STANCE}>", stances).alias(stance),
+        weighted(s["stance"], all_n(s), v["stance"], all_n(v)).alias("stance"),
+        _zipped(s["clickbait_distribution"], v["clickbait_distribution"], "map<string,double>", lambda k, x, y: F.when(x.isNull() | y.isNull(), F.coalesce(x, y)).otherwise(weighted(x, bias_n(s, k), y, bias_n(v, k)))).alias("clickbait_distribution"),
+        _zipped(s["bias_distribution"], v["bias_distribution"], "map<string,array<string>>", lambda k, x, y: F.array_sort(F.array_union(F.coalesce(x, F.array().cast("array<string>")), F.coalesce(y, F.array().cast("array<string>"))))).alias("bias_distribution"),
+        _zipped(s["sources_snapshot"], v["sources_snapshot"], "map<string,string>", lambda k, x, y: F.coalesce(y, x)).alias("sources_snapshot"),
+        F.array_sort(F.array_union(F.coalesce(s["publisher_insights"], F.array().cast("array<string>")), F.coalesce(v["publisher_insights"], F.array().cast("array<string>")))).alias("publisher_insights"),
+    ]
+    added = merge_events(pairs).columns
+    least = {"first_article_date": F.least, "best_source_rank": F.least, "last_article_date": F.greatest}
+    base = [s["event_id"].alias("event_id")] + [(least[c](s[c], v[c]) if c in least else F.coalesce(s[c], F.lit(0)) + F.coalesce(v[c], F.lit(0))).alias(c) for c in added if c != "event_id"]
+    return pairs.select(*base, *extra)
+
+
+def as_map(rows: DataFrame, key: str, value: str, name: str) -> DataFrame:
+    """(event_id, name): a map of key to value from (event_id, key, value) rows whose keys differ."""
+    return rows.groupBy("event_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col(key).alias("k"), F.col(value).alias("v")))).alias(name))
+
+
+def statistics(articles: DataFrame) -> DataFrame:
+    """All statistics of each event's articles (G1, G3-G9) in one row, as merge_statistics wants them.
+
+    ``articles``: event_id, id, published_date, source_rank, interests, main_topics, newspaper, newspaper_id, bias,
+    ownership_type, stance, clickbait_score. What an event has none of is null.
+    """
+    out = basics(articles)
+    stances = stance_by_bias(articles)
+    whole = stances.select("event_id", "bias", F.struct("critical", "supportive", "neutral", "total").alias("v"))
+    places = as_map(interest_counts(articles).withColumn("event_id", F.struct("event_id", "category")), "entity", "n", "v").select("event_id.event_id", "event_id.category", "v")
+    ids = bias_sets(articles).select("event_id", "bias", F.array_sort(F.transform("newspaper_ids", lambda x: x.cast("string"))).alias("v"))
+    snapshot = sources_snapshot(articles).filter("newspaper is not null").select("event_id", "newspaper", F.coalesce("bias", F.lit("")).alias("v"))
+    parts = [
+        as_map(topic_counts(articles), "topic", "n", "main_topic_counts"), as_map(ownership_counts(articles), "ownership_type", "n", "ownership_stats"), as_map(articles_by_bias(articles), "bias", "n", "article_counts_by_bias"),
+        as_map(places, "category", "v", "interest_counts"), as_map(whole, "bias", "v", "stance_distribution"), global_stance(stances), as_map(clickbait_by_bias(articles), "bias", "clickbait", "clickbait_distribution"),
+        as_map(ids, "bias", "v", "bias_distribution"), as_map(snapshot, "newspaper", "v", "sources_snapshot"),
+    ]
+    for p in parts:
+        out = out.join(p, "event_id", "left")
+    return out
+
+
+def backfill(events: DataFrame, name: str, values: DataFrame) -> DataFrame:
+    """``events`` whose map column ``name`` is null or empty take that of ``values`` (event_id, name)."""
+    v = values.select(F.col("event_id").alias("id"), F.col(name).alias("_new"))
+    missing = F.col(name).isNull() | (F.size(name) == 0)
+    return events.join(v, "id", "left").withColumn(name, F.when(missing & F.col("_new").isNotNull(), F.col("_new")).otherwise(F.col(name))).select(*events.columns)
+
+
+def flat_entities(groups: Column) -> Column:
+    """The distinct names of a map of category to names, sorted; null and empty maps have none."""
+    return F.array_sort(F.array_distinct(F.flatten(F.map_values(F.coalesce(groups, F.create_map().cast("map<string,array<string>>"))))))
+
+
 def full_recalculation(events: DataFrame, articles: DataFrame) -> DataFrame:
     """Every event with the roll-up of its articles, title of the earliest one; without articles it is inactive."""
     by = basics(articles)

@@ -1,67 +1,67 @@
-"""Splitting events whose articles fall apart (R14, R15): density clusters within one event's articles."""
+"""Splitting events whose articles fall apart (R14, R15): density clusters within one event's articles.
+
+With two articles to a neighbourhood every article that has a neighbour is a core, so density clusters are the
+connected components of the neighbour graph.
+"""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewire.config import DEFAULTS, Settings
+from tidewire.functions.vectors import cosine_distance
+from tidewire.operators.components import components
 
 
-def split_labels(vectors: np.ndarray, hours: np.ndarray, s: Settings = DEFAULTS) -> np.ndarray | None:
-    """Group of each article, 0 for the oldest group, or None if the event stays whole.
+def _near(left: DataFrame, right: DataFrame, reach: str, most: Column, s: Settings) -> DataFrame:
+    """Pairs of articles of one event, ``right``'s columns with _r, whose distance is at most ``most``.
 
-    Distances are cosine plus a penalty for hours apart; two articles within eps are neighbours; noise joins the
-    cluster whose first member is near enough, else stands alone. Rows are in order of date.
+    The penalty for hours alone bounds how far apart in time such a pair can lie: ``reach`` hours. Articles meet in
+    time buckets of that width, so an event of very many articles is not paired out.
     """
-    n = len(vectors)
-    if n < 3:
-        return None
-    unit = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
-    dist = 1 - unit @ unit.T + np.minimum(s.split_hour_penalty * np.abs(hours[:, None] - hours[None, :]) / 24, s.split_penalty_cap)
-    near = dist <= min(s.split_eps_scale / n, s.split_eps_cap)
-    label = np.full(n, -1)
-    for i in range(n):
-        if label[i] >= 0 or near[i].sum() < 2:
-            continue
-        todo, label[i] = [i], i
-        while todo:
-            for j in np.flatnonzero(near[todo.pop()] & (label < 0)):
-                label[j] = i
-                todo.append(j)
-    firsts = sorted(set(label[label >= 0]))
-    if not firsts:
-        return None
-    for i in np.flatnonzero(label < 0):
-        best = min(firsts, key=lambda f: dist[i, f])
-        label[i] = best if dist[i, best] <= s.split_noise else n + i
-    oldest = {g: np.flatnonzero(label == g).min() for g in set(label)}
-    order = {g: k for k, g in enumerate(sorted(oldest, key=oldest.get))}
-    return np.array([order[g] for g in label]) if len(order) > 1 else None
+    bucket = lambda shift: F.when(F.col(reach).isNull(), F.lit(0)).otherwise(F.floor(F.col("hours") / F.col(reach)) + shift)
+    l = left.withColumn("_bucket", F.explode(F.array_distinct(F.array(bucket(-1), bucket(0), bucket(1)))))
+    r = right.withColumn("_bucket", bucket(0)).select(*[F.col(c).alias(f"{c}_r") for c in (*right.columns, "_bucket")])
+    gap = F.abs(F.col("hours") - F.col("hours_r"))
+    penalty = F.least(F.lit(s.split_hour_penalty) * gap / 24, F.lit(s.split_penalty_cap))
+    met = l.join(r, (F.col("event_id") == F.col("event_id_r")) & (F.col("_bucket") == F.col("_bucket_r")) & (F.col("id") != F.col("id_r")))
+    return met.withColumn("dist", F.round(cosine_distance(F.col("embedding"), F.col("embedding_r")) + penalty, 9)).filter(F.col("dist") <= most)
 
 
 def split_events(articles: DataFrame, s: Settings = DEFAULTS, dimension: int = 768) -> DataFrame:
-    """(event_id, id, group_no) of events that split; vectors of another length are left out first.
+    """(event_id, id, group_no) of events that split, group 0 with the oldest article.
 
-    ``articles``: event_id, id, published_date, embedding. An event's articles of the last days meet in one task, as
-    the pairwise distances need them; callers bound them by the window of ``split_min_articles`` recent ones.
+    ``articles``: event_id, id (unique), published_date, embedding. Vectors of another length are left out first, as
+    are events of fewer than three articles. Distances are cosine plus a penalty for hours apart; two articles within
+    eps, which shrinks as an event grows, are neighbours, and neighbours of neighbours one cluster. An article without
+    neighbours joins the cluster whose oldest article is nearest, if near enough, else it stands alone. Events with
+    one group, or without any cluster, stay whole.
     """
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf[[x is not None and len(x) == dimension for x in pdf["embedding"]]].sort_values(["published_date", "id"])
-        if len(pdf):
-            hours = (pd.to_datetime(pdf["published_date"]) - pd.Timestamp(0)).dt.total_seconds().to_numpy() / 3600
-            groups = split_labels(np.array(pdf["embedding"].tolist(), float), hours, s)
-            if groups is not None:
-                return pdf[["event_id", "id"]].assign(group_no=groups)
-        return pd.DataFrame({"event_id": [], "id": [], "group_no": []})
-
-    return articles.select("event_id", "id", "published_date", "embedding").groupBy("event_id").applyInPandas(one, "event_id long, id long, group_no long")
+    hours = F.unix_micros(F.col("published_date").cast("timestamp")) / 3.6e9
+    v = articles.filter(F.size("embedding") == dimension).select("event_id", "id", hours.alias("hours"), F.col("embedding").cast("array<double>").alias("embedding"))
+    n = v.groupBy("event_id").agg(F.count("*").alias("n")).filter("n > 2").select("event_id", F.least(s.split_eps_scale / F.col("n"), F.lit(s.split_eps_cap)).alias("eps"))
+    n = n.withColumn("reach", F.when(F.col("eps") < s.split_penalty_cap, F.col("eps") * 24 / s.split_hour_penalty))
+    v = v.join(n, "event_id")
+    links = _near(v, v.select("event_id", "id", "hours", "embedding", "reach"), "reach", F.col("eps"), s).filter("id < id_r").select(F.col("id").alias("a"), F.col("id_r").alias("b")).distinct().checkpoint()
+    touched = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    found = components(touched, links)
+    dated = F.struct("hours", "id")
+    placed = v.drop("embedding").join(found.withColumnRenamed("node", "id"), "id")
+    firsts = placed.groupBy("event_id", "component").agg(F.min(dated).alias("first")).select("event_id", "component", F.col("first.id").alias("id"))
+    firsts = v.join(firsts, ["event_id", "id"]).select("event_id", "id", "hours", "embedding", "component")
+    lone = v.join(touched.withColumnRenamed("node", "id"), "id", "left_anti").join(firsts.select("event_id").distinct(), "event_id", "left_semi")
+    noise_reach = F.lit(s.split_noise * 24 / s.split_hour_penalty) if s.split_noise < s.split_penalty_cap else F.lit(None).cast("double")
+    lone, heads = lone.withColumn("noise_reach", noise_reach), firsts.withColumn("noise_reach", noise_reach)
+    best = _near(lone, heads, "noise_reach", F.lit(s.split_noise), s).groupBy("id").agg(F.min_by("component_r", F.struct("dist", "hours_r", "id_r")).alias("component"))
+    joined = lone.select("event_id", "id", "hours").join(best, "id", "left").select("event_id", "id", "hours", F.coalesce("component", "id").alias("component"))
+    every = placed.select("event_id", "id", "hours", "component").unionByName(joined)
+    groups = every.groupBy("event_id", "component").agg(F.min(dated).alias("first"))
+    numbered = groups.withColumn("group_no", F.row_number().over(W.partitionBy("event_id").orderBy("first")) - 1).withColumn("m", F.count("*").over(W.partitionBy("event_id"))).filter("m > 1")
+    return every.join(numbered.select("event_id", "component", "group_no"), ["event_id", "component"]).select("event_id", "id", F.col("group_no").cast("long").alias("group_no"))
 
 
 @dataclass(frozen=True)

@@ -32,10 +32,18 @@ def _(s, d):
     return en.events(s, d).drop("centroid").select("id", F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss").alias("created_at"), F.lower("status").alias("status"), "is_active")
 
 
-@query("s7_newest_sitemap", "select l_suppkey as feed_id, 'https://x.test/sitemap-' || max(l_orderkey) || '.xml' as loc from lineitem group by 1")
+@query("s7_newest_sitemap", "select 'id' as kind, l_suppkey as feed_id, 'https://x.test/sitemap-' || max(l_orderkey) || '.xml' as loc from lineitem group by 2 union all select 'date', l_suppkey, 'https://x.test/map-' || max(strftime(l_shipdate, '%Y-%m-%d')) || '.xml' from lineitem group by 2 union all select 'pair', l_suppkey, arg_max('https://x.test/' || l_orderkey || '-' || l_linenumber || '.xml', (l_linenumber, l_orderkey)) from lineitem group by 2")
 def _(s, d):
-    loc = en.table(s, d, "lineitem").select(F.col("l_suppkey").alias("feed_id"), F.concat(F.lit("https://x.test/sitemap-"), F.col("l_orderkey").cast("string"), F.lit(".xml")).alias("loc"))
-    return ha.newest_sitemap(loc, r"sitemap-(\d+)\.xml")
+    x = en.table(s, d, "lineitem")
+    loc = lambda *parts: x.select(F.col("l_suppkey").alias("feed_id"), F.concat(F.lit("https://x.test/"), *parts, F.lit(".xml")).alias("loc"))
+    number = lambda c: F.col(c).cast("string")
+    kinds = {
+        "id": ha.newest_sitemap(loc(F.lit("sitemap-"), number("l_orderkey")), r"sitemap-(\d+)\.xml"),
+        "date": ha.newest_sitemap(loc(F.lit("map-"), F.date_format("l_shipdate", "yyyy-MM-dd")), r"map-([\d-]+)\.xml", "date"),
+        "pair": ha.newest_sitemap(loc(number("l_orderkey"), F.lit("-"), number("l_linenumber")), r"/(\d+)-(\d+)\.xml", "pair"),
+    }
+    one, two, three = (df.select(F.lit(k).alias("kind"), "feed_id", "loc") for k, df in kinds.items())
+    return one.unionByName(two).unionByName(three)
 
 
 @query("s6_page_links_w6")
@@ -85,10 +93,9 @@ def _(s, d):
     return fi.paged(en.events(s, d).filter("is_active").select("id", "hot_score"), ["-hot_score", "unknown"], number=3, size=10).select("id", "hot_score", "total")
 
 
-@query("f5_text_filter", "select id, newspaper from articles where (title ilike '%the%' or content ilike '%tion%') and published_date >= timestamp '2024-01-10'", "articles")
+@query("f5_text_filter", "select id, newspaper from articles where (title ilike '%the%' or content ilike '%the%') and published_date >= timestamp '2024-01-10'", "articles")
 def _(s, d):
-    return fi.search_text(en.articles(s, d).filter("published_date >= timestamp_ntz'2024-01-10 00:00:00'"), "the", ["title"]).select("id", "newspaper").union(
-        fi.search_text(en.articles(s, d).filter("published_date >= timestamp_ntz'2024-01-10 00:00:00'"), "tion", ["content"]).select("id", "newspaper")).distinct()
+    return fi.search_text(en.articles(s, d).filter("published_date >= timestamp_ntz'2024-01-10 00:00:00'"), "the", ["title", "content"]).select("id", "newspaper")
 
 
 @query("f7_blocklist_f8", "select page_id, url from pages where not regexp_matches(url, '(?i)ref=|#top') and regexp_matches(url, '/(en|fr)/')")
@@ -108,9 +115,14 @@ def _(s, d):
     return en.articles(s, d).select("id", "url_hash").join(known, "url_hash", "left_anti").select("id", "url_hash")
 
 
-@query("f11_block_signatures_a17", "select newspaper, msg, count(*) as n, sum(count(*)) over (partition by newspaper)::bigint as source_total from aq join articles on aq.article_id = articles.id where msg ilike '%403%' or msg ilike '%forbidden%' group by 1, 2", "queue articles")
+#: Messages with each sign, and some that only resemble one.
+_MESSAGES = ("got http 403", "HTTP 429!", "x HTTP 503", "access DENIED", "Cloudflare", "solve captcha", "Forbidden", "too many requests", "it was blocked", "403 rows", "error 429", "HTTP 500", "robot", "forbid", "captch", "ok")
+
+
+@query("f11_block_signatures_a17", f", b as (select article_id, {list(_MESSAGES)}[(id % {len(_MESSAGES)} + 1)::int] as msg from aq) select newspaper, msg, count(*) as n, sum(count(*)) over (partition by newspaper)::bigint as source_total from b join articles on b.article_id = articles.id where msg ilike '%http 403%' or msg ilike '%http 429%' or msg ilike '%http 503%' or msg ilike '%access denied%' or msg ilike '%cloudflare%' or msg ilike '%captcha%' or msg ilike '%forbidden%' or msg ilike '%too many requests%' or msg ilike '%blocked%' group by 1, 2", "queue articles")
 def _(s, d):
-    return an.blocked_by_source(en.articles_queue(s, d), en.articles(s, d), tx.looks_blocked(F.col("msg")))
+    q = en.articles_queue(s, d).withColumn("msg", en.pick(_MESSAGES, F.col("id")))
+    return an.blocked_by_source(q, en.articles(s, d), tx.looks_blocked(F.col("msg")))
 
 
 @query("f12_json_keys", "select event_id, cast(props->>'k' as bigint) as k from events where json_exists(props, '$.k') and cast(props->>'k' as bigint) > 50")
@@ -125,15 +137,19 @@ def _(s, d):
     return a.filter(qu.untitled(F.col("title"))).select("id")
 
 
-@query("f16_title_filter_f17_x4", f"select id, case when published_date < {T} - interval 7 day then 'IGNORED' when title = '' then 'FAILED' when length(content) < 50 then 'FAILED' else 'KEEP' end as decision from articles", "articles")
+@query("f16_title_filter_f17_x4", f"select id, case when published_date < {T} - interval 7 day then 'IGNORED' when title = '' then 'FAILED' else 'KEEP' end as decision, case when length(content) < 50 or content is null then 'FAILED' when id % 5 = 0 then 'COMPLETED' when published_date < {T} - interval 7 day then 'IGNORED' when id % 7 = 0 then 'FAILED' else 'ANALYSE' end as analysis from articles", "articles")
 def _(s, d):
-    old = F.col("published_date") < qu.ago(en.as_of(), days=7)
-    return en.articles(s, d).select("id", F.when(old, "IGNORED").when(F.col("title") == "", "FAILED").when(F.char_length("content") < 50, "FAILED").otherwise("KEEP").alias("decision"))
+    a = en.articles(s, d).withColumn("summary_status", F.when(F.col("id") % 5 == 0, "COMPLETED"))
+    known = F.when((F.col("id") % 7 != 0) | (F.col("published_date") < qu.ago(en.as_of(), days=7)), F.col("published_date"))
+    return a.select("id", qu.title_decision(F.col("title"), F.col("published_date"), en.as_of()).alias("decision"), qu.analysis_decision(F.col("content"), F.col("summary_status"), known, en.as_of()).alias("analysis"))
 
 
-@query("f18_binary_urls", "select page_id, regexp_matches(lower(split_part(url, '?', 1)), '\\.(pdf|jpg|jpeg|png|gif|zip|mp3|mp4|doc|docx|xls|xlsx)$') as is_binary, md5(split_part(url, '?', 1)) as url_hash from pages")
+@query("f18_binary_urls", "select page_id, regexp_matches(lower(split_part(url || kind, '?', 1)), '\\.(pdf|jpg|png|gif|mp4|zip|exe)$') as is_binary, md5(split_part(url || kind, '?', 1)) as url_hash, coalesce(regexp_matches(lower(left(html, 1000)), 'cloudflare|access denied|403 forbidden|captcha'), false) as is_firewall from (select *, case when page_id % 3 = 0 then ['.PDF', '.exe?x', '.doc', '.jpeg', '.mp4'][(page_id // 3) % 5 + 1] else '' end as kind from (select page_id, url, case when page_id % 4 = 0 then ['Access Denied', 'CAPTCHA', '403', repeat('x', 999) || 'captcha'][(page_id // 4) % 4 + 1] else html end as html from pages))")
 def _(s, d):
-    return en.table(s, d, "pages").select("page_id", tx.is_binary_url(F.col("url")).alias("is_binary"), tx.url_hash(F.col("url")).alias("url_hash"))
+    third, fourth = F.floor(F.col("page_id") / 3), F.floor(F.col("page_id") / 4)
+    url = F.concat("url", F.when(F.col("page_id") % 3 == 0, en.pick((".PDF", ".exe?x", ".doc", ".jpeg", ".mp4"), third)).otherwise(""))
+    html = F.when(F.col("page_id") % 4 == 0, en.pick(("Access Denied", "CAPTCHA", "403", "x" * 999 + "captcha"), fourth)).otherwise(F.col("html"))
+    return en.table(s, d, "pages").select("page_id", tx.is_binary_url(url).alias("is_binary"), tx.url_hash(url).alias("url_hash"), tx.is_firewall_page(html).alias("is_firewall"))
 
 
 @query("p1_labels_p4", "select id, case when m is null then 'offline' when m > 60 then 'critical' when m > 15 then 'warning' else 'healthy' end as heartbeat, case when n = 0 then 'SILENT' when n < 5 then 'LOW' else 'OK' end as volume, case when n > 5 then 'Topic/Niche' else 'Low Volume' end as waiting from (select id, article_count as n, nullif(id % 90, 0) as m from evs)", "events")
@@ -199,20 +215,16 @@ def _(s, d):
     return en.table(s, d, "events").select(F.explode(F.from_json("props", "map<string,bigint>")).alias("key", "k")).groupBy("k").agg(F.count("*").alias("n"))
 
 
-@query("j13_nearest_neighbour_r2", "select a.id, arg_min(b.id, (round(list_cosine_distance(a.centroid, b.centroid), 9), b.id)) as nearest, round(min(list_cosine_distance(a.centroid, b.centroid)), 5) as distance from evs a join evs b on a.label = b.label and a.id <> b.id where a.id % 20 = 0 group by 1", "events")
+@query("j13_nearest_neighbour_r2", "select a.id, arg_min(b.id, (round(list_cosine_distance(a.centroid, b.centroid), 9), b.id)) as nearest, round(min(list_cosine_distance(a.centroid, b.centroid)), 5) as distance from evs a join evs b on a.id <> b.id where a.id % 20 = 0 group by 1", "events")
 def _(s, d):
-    e = en.events(s, d).select("id", "label", "centroid")
-    q = e.filter("id % 20 = 0").select(F.col("id").alias("qid"), "label", F.col("centroid").alias("q"))
-    dist = F.round(cosine_distance(F.col("q"), F.col("centroid")), 9)
-    p = q.join(e, "label").filter("qid <> id").withColumn("dist", dist)
-    return p.groupBy(F.col("qid").alias("id")).agg(F.min_by("id", F.struct("dist", "id")).alias("nearest"), F.round(F.min("dist"), 5).alias("distance"))
+    e = en.events(s, d).select("id", "centroid")
+    return se.nearest(e.filter("id % 20 = 0"), e).withColumn("distance", F.round("distance", 5))
 
 
-@query("j14_time_window_join", "select a.id as article_id, e.id as event_id from articles a join evs e on e.created_at between a.published_date - interval 5 day and a.published_date and e.label = a.event_id where a.id % 10 = 0", "articles events")
+@query("j14_time_window_join", "select a.id as article_id, e.id as event_id from articles a join evs e on e.created_at between a.published_date - interval 5 day and a.published_date", "articles events")
 def _(s, d):
-    q = en.articles(s, d).filter("id % 10 = 0").select(F.col("id").alias("article_id"), F.col("event_id").alias("label"), F.col("published_date").alias("target"))
-    pairs = se.candidates_by_day(q.withColumnRenamed("label", "want"), en.events(s, d).select(F.col("id").alias("event_id"), "label", "created_at"), 5)
-    return pairs.filter("want = label").select("article_id", "event_id")
+    q = en.articles(s, d).select(F.col("id").alias("article_id"), F.col("published_date").alias("target"))
+    return se.candidates_by_day(q, en.events(s, d).select(F.col("id").alias("event_id"), "created_at"), 5).select("article_id", "event_id")
 
 
 @query("j15_survivors", "select vec_id as id, vec_id - vec_id % 4 as survivor from embeddings")
@@ -299,7 +311,7 @@ def _(s, d):
     return an.time_grid(en.articles_queue(s, d).filter("status = 'COMPLETED'"), "updated_at", 28800).drop("label").orderBy(F.desc("slot")).limit(20)
 
 
-@query("a19_errors_a20", "select newspaper, msg, count(*) as n from aq join articles on aq.article_id = articles.id where status = 'FAILED' group by 1, 2 order by n desc, newspaper, msg limit 50", "queue articles")
+@query("a19_errors", "select newspaper, msg, count(*) as n from aq join articles on aq.article_id = articles.id where status = 'FAILED' group by 1, 2 order by n desc, newspaper, msg limit 50", "queue articles")
 def _(s, d):
     q = en.articles_queue(s, d).filter("status = 'FAILED'").select("article_id", "msg").join(en.articles(s, d).select(F.col("id").alias("article_id"), "newspaper"), "article_id")
     return an.top_by(q, ["newspaper", "msg"], 50)
@@ -310,15 +322,16 @@ def _(s, d):
     return an.integrity(en.events(s, d), ru.articles_by_bias(outlet_articles(s, d)))
 
 
-@query("a22_overview_a5_a23", "select count(*) filter (is_active) as active, count(*) filter (status = 'PUBLISHED') as published, count(*) filter (status = 'DRAFT') as draft, count(*) filter (status = 'ARCHIVED') as archived from evs", "events")
+@query("a22_overview", "select count(*) filter (is_active) as active, count(*) filter (status = 'PUBLISHED') as published, count(*) filter (status = 'DRAFT') as draft, count(*) filter (status = 'ARCHIVED') as archived from evs", "events")
 def _(s, d):
     c = lambda k: F.count_if(F.col("status") == k)
     return en.events(s, d).agg(F.count_if("is_active").alias("active"), c("PUBLISHED").alias("published"), c("DRAFT").alias("draft"), c("ARCHIVED").alias("archived"))
 
 
-@query("a24_largest_event", "select id, published_date from articles where event_id = (select id from evs order by article_count desc, id limit 1) order by published_date desc, id limit 100", "articles events")
+@query("a24_largest_event", ", e as (select event_id as id, count(*) as article_count from articles group by 1) select id, published_date from articles where event_id = (select id from e order by article_count desc, id limit 1) order by published_date desc, id limit 100", "articles")
 def _(s, d):
-    return an.largest_with_latest(en.events(s, d), en.articles(s, d)).select("id", "published_date")
+    a = en.articles(s, d)
+    return an.largest_with_latest(ru.basics(a).withColumnRenamed("event_id", "id"), a).select("id", "published_date")
 
 
 @query("a25_links_per_outlet", "select name, count(id) as n from newspapers left join articles on newspaper = name and id % 2 = 0 group by 1", "newspapers articles")
@@ -340,9 +353,9 @@ def _(s, d):
     return ru.basics(en.articles(s, d)).withColumn("editorial_score", F.round("editorial_score", 6))
 
 
-@query("g2_centroid", "select label::bigint as event_id, pos - 1 as pos, round(avg(x), 5) as x from (select label, unnest(embedding::double[]) as x, generate_subscripts(embedding, 1) as pos from embeddings where vec_id < 500) group by 1, 2")
+@query("g2_centroid", "select label::bigint as event_id, pos - 1 as pos, round(avg(x), 5) as x from (select label, unnest(embedding::double[]) as x, generate_subscripts(embedding, 1) as pos from (select * from embeddings qualify row_number() over (partition by label order by vec_id * 83 % 43200, vec_id) <= 500)) group by 1, 2")
 def _(s, d):
-    v = en.events(s, d).filter("id < 500").select(F.col("label").alias("event_id"), "id", F.col("created_at").alias("published_date"), F.col("centroid").alias("embedding"))
+    v = en.events(s, d).select(F.col("label").alias("event_id"), "id", F.col("created_at").alias("published_date"), F.col("centroid").alias("embedding"))
     return ru.centroid(v).select("event_id", F.posexplode("embedding").alias("pos", "x")).select("event_id", F.col("pos").cast("long").alias("pos"), F.round("x", 5).alias("x"))
 
 
@@ -431,16 +444,35 @@ def _(s, d):
     return en.events(s, d).select("id").join(en.articles(s, d).select(F.col("event_id").alias("id")), "id", "left_anti")
 
 
-_Q1 = ", q as (select embedding::double[] as v from embeddings where vec_id = 7), live as (select evs.*, regexp_extract_all(lower(array_to_string(string_split(d.text, ' ')[1:100], ' ')), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as toks from evs left join documents d on d.doc_id = evs.id where is_active and created_at <= timestamp '2024-01-20' and created_at >= timestamp '2024-01-15'), n as (select id, list_cosine_distance(centroid, v) as dist, row_number() over (order by round(list_cosine_distance(centroid, v), 12), id) as r from live, q qualify r <= 50), k as (select id, row_number() over (order by len(list_filter(toks, lambda t: t in ('and', 'the'))) / greatest(len(toks), 1) desc, id) as r from live where list_contains(toks, 'the') and list_contains(toks, 'and') qualify r <= 50) select id, round((coalesce(1.0::double / (60 + n.r), 0) + coalesce(1.0::double / (60 + k.r), 0)) / (1 + 0.05::double * abs(epoch(timestamp '2024-01-20') - epoch(last_updated_at)) / 3600), 6) as rrf_score, round(dist, 4) as distance from n full join k using (id) join live using (id) order by (coalesce(1.0::double / (60 + n.r), 0) + coalesce(1.0::double / (60 + k.r), 0)) / (1 + 0.05::double * abs(epoch(timestamp '2024-01-20') - epoch(last_updated_at)) / 3600) desc, id limit 10"
+_TOKS = "regexp_extract_all(lower(coalesce(d.text, '')), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+_Q1 = f""", live as (select evs.*, {_TOKS} as toks from evs left join documents d on d.doc_id = evs.id where is_active),
+q as (select evs.id as qid, centroid as v, created_at as t, list_distinct(list_filter([toks[3], toks[8]], lambda w: w is not null)) as words from (select evs.*, {_TOKS} as toks from evs left join documents d on d.doc_id = evs.id) evs where evs.id % 20 = 0),
+n as (select qid, id, list_cosine_distance(centroid, v) as dist, row_number() over (partition by qid order by round(list_cosine_distance(centroid, v), 9), id) as r from q join live on created_at <= t and created_at >= t - interval 5 day qualify r <= 50),
+w as (select qid, t, len(words) as n, unnest(words) as word from q), h as (select id, created_at, unnest(toks) as tok, generate_subscripts(toks, 1) as p from live),
+m as (select qid, id, n, word, p from w join h on tok = word where created_at <= t and created_at >= t - interval 5 day),
+k as (select qid, id, n from m group by 1, 2, 3 having count(distinct word) = n),
+c as (select m.qid, m.id, m.n, m.p, (select list(word order by word) from w where w.qid = m.qid) as ws, m.word from m join k using (qid, id)),
+l as (select qid, id, n, p, case when n = 1 then p else least(max(case when word = ws[1] then p end) over o, max(case when word = ws[2] then p end) over o) end as first, max(case when word = ws[1] then p end) over o as a, max(case when word = ws[2] then p end) over o as b from c window o as (partition by qid, id order by p)),
+f as (select qid, id, n, first, min(p) as e from l where n = 1 or (a is not null and b is not null) group by 1, 2, 3, 4),
+x as (select qid, id, sum(0.1::double * n / (e - first + 1)) as rank from f group by 1, 2),
+y as (select qid, id, row_number() over (partition by qid order by round(rank, 9) desc, id) as r from x qualify r <= 50),
+z as (select coalesce(n.qid, y.qid) as qid, coalesce(n.id, y.id) as id, n.r as nr, y.r as wr, dist from n full join y on n.qid = y.qid and n.id = y.id),
+g as (select z.qid, z.id, (coalesce(1.0::double / (60 + nr), 0) + coalesce(1.0::double / (60 + wr), 0)) / (1 + 0.05::double * abs(epoch(t) - epoch(last_updated_at)) / 3600) as score, coalesce(dist, 1) as dist from z join live on live.id = z.id join q on q.qid = z.qid)
+select qid, id, round(score, 6) as rrf_score, round(dist, 4) as distance from g qualify row_number() over (partition by qid order by round(score, 9) desc, id) <= 10"""
+
+
+def _searched(s, d):
+    """Events with the words of their document."""
+    docs = en.table(s, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    return en.events(s, d).join(docs, "id", "left").withColumn("toks", se.tokens(F.col("text"))).drop("text")
 
 
 @query("r1_hybrid_search_w1_w2", _Q1, "events")
 def hybrid(s, d):
-    docs = en.table(s, d, "documents").select(F.col("doc_id").alias("id"), F.array_join(F.slice(F.split("text", " ", -1), 1, 100), " ").alias("search_text"))
-    e = en.events(s, d).join(docs, "id", "left").withColumn("toks", se.tokens(F.col("search_text")))
-    vector = en.events(s, d).filter("id = 7").select("centroid").first()[0]
-    found = se.hybrid_search(e, se.TextQuery.parse("the and"), vector, F.expr("timestamp_ntz'2024-01-20 00:00:00'"))
-    return found.select("id", F.round("rrf_score", 6).alias("rrf_score"), F.round("distance", 4).alias("distance"))
+    e = _searched(s, d)
+    words = F.array_compact(F.array(F.get("toks", F.lit(2)), F.get("toks", F.lit(7))))
+    q = e.filter("id % 20 = 0").select(F.col("id").alias("qid"), words.alias("words"), F.col("centroid").alias("vector"), F.col("created_at").alias("target"))
+    return se.hybrid_search_many(q, e).select("qid", "id", F.round("rrf_score", 6).alias("rrf_score"), F.round("distance", 4).alias("distance"))
 
 
 @query("r3_text_query", "select doc_id as id from (select doc_id, regexp_extract_all(lower(text), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as t from documents) where (list_contains(t, 'idiot') and not list_contains(t, 'les')) or list_contains(t, 'clown')")
@@ -449,17 +481,38 @@ def _(s, d):
     return se.text_search(x, se.TextQuery.parse("idiot -les or clown")).select("id")
 
 
-@query("r4_cover_density_r5")
+_R4 = ", x as (select evs.id, last_updated_at, " + _TOKS + " as t from evs join documents d on d.doc_id = evs.id), m as (select * from x where list_contains(t, 'idiot') or (list_contains(t, 'the') and len(list_filter(range(1, len(t)), lambda i: t[i] = 'of' and t[i + 1] = 'the')) > 0)), h as (select id, unnest(t) as w, generate_subscripts(t, 1) as p from m), l as (select id, p, max(case when w = 'idiot' then p end) over o as a, max(case when w = 'of' then p end) over o as b, max(case when w = 'the' then p end) over o as c from h where w in ('idiot', 'of', 'the') window o as (partition by id order by p)), f as (select id, least(a, b, c) as s, min(p) as e from l where a is not null and b is not null and c is not null group by 1, 2), r as (select id, sum(0.1::double * 3 / (e - s + 1)) as rank from f group by 1) select m.id, round(coalesce(rank, 0), 6) as text_rank from m left join r using (id)"
+
+
+@query("r4_cover_density", _R4, "events")
 def _(s, d):
-    x = en.table(s, d, "documents").select(F.col("doc_id").alias("id"), se.tokens(F.col("text")).alias("toks"))
-    q = se.TextQuery.parse('idiot "of the"')
-    return x.filter(q.matches(F.col("toks"))).select("id", se.cover_density(q.words)("toks").alias("text_rank"))
+    return se.text_search(_searched(s, d).join(en.table(s, d, "documents").select(F.col("doc_id").alias("id")), "id", "left_semi"), se.TextQuery.parse('idiot or "of the"')).select("id", F.round("text_rank", 6).alias("text_rank"))
+
+
+@query("r5_ranked_page", _R4.replace("select m.id, round(coalesce(rank, 0), 6) as text_rank from m left join r using (id)", "select m.id, round(coalesce(rank, 0), 6) as text_rank from m left join r using (id) order by round(coalesce(rank, 0), 9) desc, last_updated_at desc, id limit 20 offset 20"), "events")
+def _(s, d):
+    found = se.text_search(_searched(s, d).join(en.table(s, d, "documents").select(F.col("doc_id").alias("id")), "id", "left_semi"), se.TextQuery.parse('idiot or "of the"'))
+    return se.ranked_page(found, 2, 20).select("id", F.round("text_rank", 6).alias("text_rank"))
 
 
-@query("r6_cluster_decision")
+@query("r28_duplicates")
 def _(s, d):
-    a = en.articles(s, d).select(F.col("id").alias("article_id"), "published_date", F.lit(True).alias("has_vector"), F.col("event_id").alias("label"))
-    c = a.select("article_id", "label").join(en.events(s, d).filter("id < 100"), "label").select("article_id", F.col("id").alias("event_id"), (((F.col("id") * 13 + F.col("article_id")) % 40) / F.lit(100.0)).alias("distance"), (F.lit(1.0) / (60 + F.col("id"))).alias("rrf"), "last_updated_at", "article_count")
+    e = _searched(s, d).withColumn("toks", F.slice("toks", 1, 3))
+    return se.find_duplicates(e, e.filter("id % 20 = 0")).select("qid", "id", F.round("rrf_score", 6).alias("rrf_score"))
+
+
+_R6 = """, c as (select a.id as article_id, evs.id as event_id, ((evs.id * 13 + a.id) % 40) / 100.0::double as d, 1.0::double / (60 + evs.id) as rrf, last_updated_at as u, article_count as n, row_number() over (partition by a.id order by 1.0::double / (60 + evs.id) desc, evs.id) as rn from articles a join evs on evs.label = a.event_id),
+t as (select article_id, list(struct_pack(e := event_id, d := d, rrf := rrf, u := u, n := n) order by rn) as c from c where rn <= 10 group by 1),
+x as (select a.id as article_id, published_date as p, c, c[1] as b, c[2] as s from articles a left join t on t.article_id = a.id),
+y as (select *, case when p < timestamp '2024-01-20' - interval 7 day then 'IGNORED' when article_id % 9 = 0 then 'ERROR' when b is null then 'NEW' when b.d > 0.18 then case when b.rrf > 0.05 then 'PROPOSE' else 'NEW' end
+  when b.d > 0.05 and b.d < 0.18 then case when b.u > timestamp '2024-01-20' - interval 4 hour and b.n > 10 and b.d < 0.12 then 'MERGE' else 'PROPOSE' end when s is not null and s.d - b.d < 0.05 then 'PROPOSE_MULTI' else 'MERGE' end as decision from x)
+select article_id, decision, case decision when 'PROPOSE_MULTI' then array_to_string(list_transform(list_filter(c, lambda z: z.d < 0.18), lambda z: z.e)[1:3], ',') when 'MERGE' then b.e::varchar when 'PROPOSE' then b.e::varchar end as targets from y"""
+
+
+@query("r6_cluster_decision", _R6, "articles events")
+def _(s, d):
+    a = en.articles(s, d).select(F.col("id").alias("article_id"), "published_date", (F.col("id") % 9 != 0).alias("has_vector"), F.col("event_id").alias("label"))
+    c = a.select("article_id", "label").join(en.events(s, d), "label").select("article_id", F.col("id").alias("event_id"), (((F.col("id") * 13 + F.col("article_id")) % 40) / F.lit(100.0)).alias("distance"), (F.lit(1.0) / (60 + F.col("id"))).alias("rrf"), "last_updated_at", "article_count")
     return de.cluster_decision(a.drop("label"), c, F.expr("timestamp_ntz'2024-01-20 00:00:00'")).select("article_id", "decision", F.array_join(F.transform("targets", lambda t: t.cast("string")), ",").alias("targets"))
 
 
@@ -483,7 +536,7 @@ def _(s, d):
     return de.review_decision(v).select("source_id", "target_id", "accepted", "outcome")
 
 
-@query("r10_spectrum_score_r11_p8")
+@query("r10_spectrum_score_r11")
 def _(s, d):
     a = outlet_articles(s, d)
     g = ru.basics(a).join(a.groupBy("event_id").agg(F.countDistinct("newspaper").alias("n_sources"), F.collect_set("bias").alias("biases"), F.avg("clickbait_score").alias("clickbait"), F.count_if(F.col("stance") >= 0.35).alias("supportive"), F.count_if(F.col("stance") <= -0.35).alias("critical"), F.countDistinct(F.when(F.col("ownership_type") == "independent", F.col("newspaper"))).alias("independent")), "event_id")
@@ -514,7 +567,7 @@ def _(s, d):
     return _split(s, d).jobs.select("event_id", "msg")
 
 
-@query("r16_merge_relink", "select id, case when event_id % 2 = 1 then event_id - 1 else event_id end as event_id from articles", "articles")
+@query("r16_relink", "select id, case when event_id % 2 = 1 then event_id - 1 else event_id end as event_id from articles", "articles")
 def _(s, d):
     m = en.articles(s, d).filter("event_id % 2 = 1").select(F.col("event_id").alias("victim_id"), (F.col("event_id") - 1).alias("survivor_id")).distinct()
     return qu.merge_relink(en.articles(s, d).select("id", "event_id"), m).select("id", "event_id")
@@ -532,19 +585,13 @@ def _(s, d):
     return qu.archive(en.events(s, d), en.as_of()).select("id", "status", "is_active")
 
 
-@query("r20_decay", "select id, hot_score * 0.9::double as hot_score from evs where status = 'PUBLISHED' and is_active and abs(hot_score * 0.9::double - hot_score) > 0.01", "events")
-def _(s, d):
-    e = en.events(s, d)
-    return qu.decay(e, e.withColumn("hot_score", F.col("hot_score") * 0.9))
-
-
 @query("r21_stale_summaries_j7", "select id from evs where is_active and article_count > id % 9 and created_at < timestamp '2024-01-30 23:30:00' and id not in (select article_id from aq where id % 2 = 0 and status in ('PENDING', 'PROCESSING') and (id // 2) % 2 = 0) order by created_at, id limit 50", "events queue")
 def _(s, d):
     e = en.events(s, d).withColumns({"articles_at_last_summary": F.col("id") % 9, "summarized_at": F.col("created_at")})
     return qu.stale_summaries(e, en.events_queue(s, d), en.as_of()).select("id")
 
 
-@query("r22_top_published_f19", "select id, hot_score from evs where status = 'PUBLISHED' and is_active and hot_score >= 30 order by hot_score desc, id limit 20", "events")
+@query("f19_feed_view", "select id, hot_score from evs where status = 'PUBLISHED' and is_active and hot_score >= 30 order by hot_score desc, id limit 20", "events")
 def _(s, d):
     return fi.page(fi.apply_filters(en.events(s, d), {"status": "PUBLISHED", "is_active": True, "hot_score__gte": 30.0}), ["-hot_score"], 1, 20).select("id", "hot_score")
 
@@ -631,7 +678,7 @@ def _(s, d):
     return qu.purge_done(en.articles_queue(s, d)).select("id", "status")
 
 
-@query("q5_expire_pending_q9_k5", f"select id, case when status = 'PENDING' and created_at < {T} - interval 7 day then 'COMPLETED' else status end as status, case when status = 'PENDING' and created_at < {T} - interval 7 day then 'expired' else msg end as msg from aq", "queue")
+@query("q5_expire_pending_k5", f"select id, case when status = 'PENDING' and created_at < {T} - interval 7 day then 'COMPLETED' else status end as status, case when status = 'PENDING' and created_at < {T} - interval 7 day then 'expired' else msg end as msg from aq", "queue")
 def _(s, d):
     return qu.expire_pending(en.articles_queue(s, d), en.as_of()).select("id", "status", "msg")
 

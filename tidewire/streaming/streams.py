@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -59,14 +60,56 @@ def rate_limited(requests: DataFrame, limit: float, window: float) -> DataFrame:
 
 
 def rate_limited_batch(requests: DataFrame, limit: float, window: float) -> DataFrame:
-    """X9 over a finite table: (key, allowed, rejected, used) by an ordered fold per key."""
-    rate = limit / window
-    ordered = requests.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("ts", "cost"))).alias("r"))
-
-    def fold(acc, r):
-        drained = F.greatest(F.lit(0.0), acc["used"] - F.when(acc["last"].isNull(), 0.0).otherwise(r["ts"] - acc["last"]) * rate)
-        ok = drained + r["cost"] <= limit
-        return F.struct(F.when(ok, drained + r["cost"]).otherwise(drained).alias("used"), r["ts"].alias("last"), (acc["allowed"] + ok.cast("long")).alias("allowed"), (acc["rejected"] + (~ok).cast("long")).alias("rejected"))
-
-    start = F.struct(F.lit(0.0).alias("used"), F.lit(None).cast("double").alias("last"), F.lit(0).cast("long").alias("allowed"), F.lit(0).cast("long").alias("rejected"))
-    return ordered.select("key", F.aggregate("r", start, fold).alias("s")).select("key", "s.allowed", "s.rejected", F.round("s.used", 6).alias("used"))
+    """X9 over a finite table: (key, allowed, rejected, used) by an ordered fold per key; ``used`` with 6 decimals.
+
+    Requests are sorted by key, ts and cost within partitions and folded as they stream by: a task holds one bucket,
+    however many requests a key has. Null keys are one key; requests without a time come first and drain nothing.
+    """
+    kind = requests.schema["key"].dataType.simpleString()
+    names = ["key", "allowed", "rejected", "used"]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state: list | None = None
+        for batch in batches:
+            done: list[tuple] = []
+            for key, ts, cost in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if state is None or state[0] != key:
+                    if state is not None:
+                        done.append((state[0], state[3], state[4], round(state[1], 6)))
+                    state = [key, 0.0, None, 0, 0]
+                ok, state[1], _ = leak(state[1], ts - state[2] if ts is not None and state[2] is not None else 0.0, limit, window, cost)
+                state[2] = ts
+                state[3 if ok else 4] += 1
+            yield _limited(done, batch.schema.field(0).type, names)
+        if state is not None:
+            yield _limited([(state[0], state[3], state[4], round(state[1], 6))], batch.schema.field(0).type, names)
+
+    dealt = requests.select("key", F.col("ts").cast("double").alias("ts"), F.col("cost").cast("double").alias("cost")).repartition("key")
+    return dealt.sortWithinPartitions("key", "ts", "cost").mapInArrow(fold, f"key {kind}, allowed long, rejected long, used double")
+
+
+def _limited(rows: list[tuple], kind: pa.DataType, names: list[str]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) if rows else [()] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (kind, pa.int64(), pa.int64(), pa.float64()), strict=True)], names=names)
+
+
+def run_stages(batch: DataFrame, stages: list[tuple[str, Callable[[DataFrame], DataFrame]]], cut: int = 500) -> DataFrame:
+    """One micro-batch of jobs (id, queue_name, status, msg, ...) through the stages of its queues, in order.
+
+    A stage is the name of a queue and a function from its jobs to (id, outcome, next_queue, error). A job with an
+    error fails with its message cut to ``cut`` characters; one with a next queue goes on there, in this batch if that
+    stage is still to come; all others are done. Jobs of other queues pass by. Use it in ``foreachBatch``.
+    """
+    jobs = batch
+    for name, stage in stages:
+        own = F.col("queue_name") == name
+        results = stage(jobs.filter(own & (F.col("status") == "PENDING"))).select("id", F.col("outcome").alias("_outcome"), F.col("next_queue").alias("_next"), F.col("error").alias("_error"), F.lit(True).alias("_ran"))
+        j = jobs.join(results, "id", "left")
+        ran, failed = F.coalesce("_ran", F.lit(False)), F.col("_error").isNotNull()
+        status = F.when(failed, "FAILED").when(F.col("_next").isNotNull(), "PENDING").otherwise("COMPLETED")
+        jobs = j.withColumns({
+            "status": F.when(ran, status).otherwise(F.col("status")),
+            "msg": F.when(ran, F.when(failed, F.substring("_error", 1, cut)).otherwise(F.col("_outcome"))).otherwise(F.col("msg")),
+            "queue_name": F.when(ran & ~failed, F.coalesce("_next", "queue_name")).otherwise(F.col("queue_name")),
+        }).select(*batch.columns)
+    return jobs
