@@ -201,3 +201,44 @@ def event_list(events: DataFrame) -> DataFrame:
     empty = lambda c: F.array() if kinds[c].startswith("array") else F.create_map()
     value = lambda c: F.coalesce(F.col(c), F.lit(LIST_DEFAULTS[c])) if c in LIST_DEFAULTS else F.coalesce(F.col(c), empty(c).cast(kinds[c])) if kinds[c].startswith(("array", "map")) else F.col(c)
     return events.select(*[value(c).alias(c) for c in shown])
+
+
+def newest_first(key: str, ts: str = "published_date", tie: str = "id"):
+    return W.partitionBy(key).orderBy(F.desc(ts), tie)
+
+
+def retired(rows: DataFrame, key: str, ts: str = "published_date") -> DataFrame:
+    """``rows`` with ``retired``: all of a key but the newest one (of equal times that with the smallest id)."""
+    return rows.withColumn("retired", F.row_number().over(newest_first(key, ts)) > 1)
+
+
+def newest_per_key(rows: DataFrame, key: str, n: int = 3, ts: str = "published_date") -> DataFrame:
+    """T4: (key, ids): the ids of the n newest rows of each key, newest first."""
+    top = rows.select(key, "id", F.row_number().over(newest_first(key, ts)).alias("rn")).filter(F.col("rn") <= n)
+    return top.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("rn", "id"))), lambda x: x["id"]).alias("ids"))
+
+
+def ranked(rows: DataFrame, name: str, n: int, *order: Column) -> DataFrame:
+    """(id, name): the first n rows numbered in an order; a top-k cuts them before they are numbered."""
+    return rows.orderBy(*order).limit(n).select("id", F.row_number().over(W.orderBy(*order)).cast("long").alias(name))
+
+
+def in_either(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Rows of two rankings by id, null where a ranking lacks it."""
+    return a.join(b, "id", "full")
+
+
+def entries(rows: DataFrame, column: str, kind: str = "map<string,bigint>") -> DataFrame:
+    """``rows`` with key and value of each entry of a JSON object in ``column``."""
+    return rows.select(*rows.columns, F.explode(F.from_json(column, kind)).alias("key", "value"))
+
+
+def without(rows: DataFrame, others: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is not among the others'."""
+    return rows.join(others.select(key), key, "left_anti")
+
+
+def first_non_zero(*counts: Column) -> Column:
+    """The first count that is not 0, else the last one."""
+    zero = F.lit(0).cast("long")
+    return F.coalesce(*[F.nullif(c, zero) for c in counts[:-1]], counts[-1])

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewire.functions import text as tx
@@ -131,7 +130,7 @@ def _(s, d):
     return e.filter(F.map_contains_key("m", "k")).select("event_id", F.col("m")["k"].alias("k")).filter("k > 50")
 
 
-@query("f15_untitled_q6", "select id from articles where lower(title) in ('no title', 'unknown', '') or id % 10 = 0", "articles")
+@query("f15_untitled", "select id from articles where lower(title) in ('no title', 'unknown', '') or id % 10 = 0", "articles")
 def _(s, d):
     a = en.articles(s, d).withColumn("title", F.when(F.col("id") % 10 == 0, "No Title").otherwise(F.col("title")))
     return a.filter(qu.untitled(F.col("title"))).select("id")
@@ -166,8 +165,7 @@ def _(s, d):
 @query("p6_tri_bias", f", {AB}, c as (select event_id, count(*) filter (bias = 'left') as l, count(*) filter (bias = 'leans_left') as ll, count(*) filter (bias = 'far_left') as fl from ab group by 1) select event_id, coalesce(nullif(l, 0), nullif(ll, 0), fl) as first_left, l + ll + fl as all_left from c", "articles newspapers")
 def _(s, d):
     p = an.pivot_counts(outlet_articles(s, d), "event_id", "bias", ["left", "leans_left", "far_left"])
-    zero = F.lit(0).cast("long")
-    return p.select("event_id", F.coalesce(F.nullif("left", zero), F.nullif("leans_left", zero), "far_left").alias("first_left"), (F.col("left") + F.col("leans_left") + F.col("far_left")).alias("all_left"))
+    return p.select("event_id", an.first_non_zero(F.col("left"), F.col("leans_left"), F.col("far_left")).alias("first_left"), (F.col("left") + F.col("leans_left") + F.col("far_left")).alias("all_left"))
 
 
 @query("j1_articles_per_bias_a1", "select bias, count(*) as n from articles join newspapers on newspaper = name group by 1", "articles newspapers")
@@ -183,9 +181,7 @@ def _(s, d):
 @query("j4_full_join_ranks", "select coalesce(a.id, b.id) as id, a.ra, b.rb from (select id, row_number() over (order by hot_score desc, id) as ra from evs qualify ra <= 50) a full join (select id, row_number() over (order by created_at desc, id) as rb from evs qualify rb <= 50) b on a.id = b.id", "events")
 def _(s, d):
     e = en.events(s, d)
-    a = e.orderBy(F.desc("hot_score"), "id").limit(50).select("id", F.row_number().over(W.orderBy(F.desc("hot_score"), "id")).cast("long").alias("ra"))
-    b = e.orderBy(F.desc("created_at"), "id").limit(50).select("id", F.row_number().over(W.orderBy(F.desc("created_at"), "id")).cast("long").alias("rb"))
-    return a.join(b, "id", "full")
+    return an.in_either(an.ranked(e, "ra", 50, F.desc("hot_score"), F.col("id")), an.ranked(e, "rb", 50, F.desc("created_at"), F.col("id")))
 
 
 @query("j6_not_exists_or", "select id from evs where not exists (select 1 from pr where pr.status = 'PENDING' and (pr.source_id = evs.id or pr.target_id = evs.id))", "events proposals")
@@ -212,7 +208,7 @@ def _(s, d):
 
 @query("j12_lateral_json", "select cast(props->>'k' as bigint) as k, count(*) as n from events group by 1")
 def _(s, d):
-    return en.table(s, d, "events").select(F.explode(F.from_json("props", "map<string,bigint>")).alias("key", "k")).groupBy("k").agg(F.count("*").alias("n"))
+    return an.count_by(an.entries(en.table(s, d, "events").select("props"), "props").select(F.col("value").alias("k")), "k")
 
 
 @query("j13_nearest_neighbour_r2", "select a.id, arg_min(b.id, (round(list_cosine_distance(a.centroid, b.centroid), 9), b.id)) as nearest, round(min(list_cosine_distance(a.centroid, b.centroid)), 5) as distance from evs a join evs b on a.id <> b.id where a.id % 20 = 0 group by 1", "events")
@@ -423,8 +419,7 @@ def _(s, d):
 
 @query("w5_first_per_event", "select id, event_id, rn > 1 as retired from (select id, event_id, row_number() over (partition by event_id order by published_date desc, id) as rn from articles)", "articles")
 def _(s, d):
-    w = W.partitionBy("event_id").orderBy(F.desc("published_date"), "id")
-    return en.articles(s, d).select("id", "event_id", (F.row_number().over(w) > 1).alias("retired"))
+    return an.retired(en.articles(s, d), "event_id").select("id", "event_id", "retired")
 
 
 @query("t1_nulls_first", "select id, source_rank from articles order by source_rank asc nulls first, id limit 40", "articles")
@@ -434,14 +429,13 @@ def _(s, d):
 
 @query("t4_context_articles", "select event_id, string_agg(id::varchar, ',' order by rn) as ids from (select event_id, id, row_number() over (partition by event_id order by published_date desc, id) as rn from articles) where rn <= 3 group by 1", "articles")
 def _(s, d):
-    w = W.partitionBy("event_id").orderBy(F.desc("published_date"), "id")
-    top = en.articles(s, d).select("event_id", "id", F.row_number().over(w).alias("rn")).filter("rn <= 3")
-    return top.groupBy("event_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", "id"))), lambda x: x["id"].cast("string")), ",").alias("ids"))
+    top = an.newest_per_key(en.articles(s, d), "event_id", 3)
+    return top.select("event_id", F.array_join(F.transform("ids", lambda i: i.cast("string")), ",").alias("ids"))
 
 
 @query("u3_set_difference", "select id from evs where id not in (select event_id from articles)", "events articles")
 def _(s, d):
-    return en.events(s, d).select("id").join(en.articles(s, d).select(F.col("event_id").alias("id")), "id", "left_anti")
+    return an.without(en.events(s, d).select("id"), en.articles(s, d).select(F.col("event_id").alias("id")), "id")
 
 
 _TOKS = "regexp_extract_all(lower(coalesce(d.text, '')), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
@@ -683,6 +677,14 @@ def _(s, d):
     return qu.expire_pending(en.articles_queue(s, d), en.as_of()).select("id", "status", "msg")
 
 
+@query("q6_requeue_untitled", ", q as (select article_id, status, queue_name from aq qualify row_number() over (partition by article_id order by id) = 1), u as (select id from articles where lower(title) in ('no title', 'unknown', '') or id % 10 = 0) select article_id, case when article_id in (select id from u) then 'PENDING' else status end as status, case when article_id in (select id from u) then 'enricher' else queue_name end as queue_name from q union all select id, 'PENDING', 'enricher' from u where id not in (select article_id from q)", "articles queue")
+def _(s, d):
+    q = en.articles_queue(s, d)
+    once = q.groupBy("article_id").agg(F.min_by(F.struct("status", "queue_name", "updated_at", "created_at"), "id").alias("r")).select("article_id", "r.*")
+    a = en.articles(s, d).withColumn("title", F.when(F.col("id") % 10 == 0, "No Title").otherwise(F.col("title")))
+    return qu.requeue_untitled(once, a, F.expr("timestamp_ntz'2030-01-01 00:00:00'")).select("article_id", "status", "queue_name")
+
+
 @query("q8_janitor", f"select id, case when status = 'PROCESSING' and updated_at < {T} - interval 6 hour then 'PENDING' else status end as status from aq where not (status = 'COMPLETED' and updated_at < {T} - interval 7 day)", "queue")
 def _(s, d):
     return qu.janitor(en.articles_queue(s, d), en.as_of()).select("id", "status")
