@@ -144,21 +144,35 @@ class Tape:
         return int(self.start[a]), int(self.end[b - 1])
 
 
-def _letters(tape: Tape) -> None:
-    """Look-alikes to ASCII, one character each; invisible characters go."""
-    edits = []
-    for i, c in enumerate(tape.text):
-        if c < "­":
-            continue
+class _Letters(dict):
+    """Code point to ASCII look-alike, to nothing for invisible ones, to itself for all others; filled as they occur."""
+
+    def __missing__(self, code: int) -> int | str | None:
+        c = chr(code)
+        new: int | str | None = code
         if c in INVISIBLE:
-            edits.append((i, i + 1, ""))
+            new = None
         elif c > "ÿ":
-            new = c.translate(LOOKALIKES)
-            if new == c:
-                new = unicodedata.normalize("NFKC", c)
-            if new != c and len(new) == 1 and new.isascii():
-                edits.append((i, i + 1, new))
-    tape.edit(edits)
+            other = c.translate(LOOKALIKES)
+            if other == c:
+                other = unicodedata.normalize("NFKC", c)
+            if other != c and len(other) == 1 and other.isascii():
+                new = other
+        self[code] = new
+        return new
+
+
+_LETTERS = _Letters()
+_GONE = np.array(sorted(map(ord, INVISIBLE)), np.uint32)
+
+
+def _letters(tape: Tape) -> None:
+    """Look-alikes to ASCII, one character each; invisible characters go."""
+    new = tape.text.translate(_LETTERS)
+    if len(new) != len(tape.text):
+        stays = ~np.isin(np.frombuffer(tape.text.encode("utf-32-le", "surrogatepass"), np.uint32), _GONE)
+        tape.start, tape.end = tape.start[stays], tape.end[stays]
+    tape.text = new
 
 
 def _octets(tape: Tape) -> None:
