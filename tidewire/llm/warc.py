@@ -1,7 +1,8 @@
 """WARC archives of pages, and their capture index by external merge.
 
 Writing: one record per page as text lines that end in CRLF, by Spark's own writer, so any store that Spark writes
-will do; payloads seen before become revisit records. Reading: whole files of bounded size, parsed by Content-Length.
+will do; payloads seen before become revisit records. Reading: whole files, parsed by Content-Length; the number of
+records of a file is bounded, its bytes are not.
 Index: each archive file is a locally sorted run of captures; key ranges, cut by a bounded sample, are merged k-way
 with a loser tree by URL key and timestamp, so that ranges in order, and captures in them, are globally ordered.
 """
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import materialize, shared_path
+from tidewire.llm.common import materialize, shared_path, split_keyed
 
 CRLF = "\r\n"
 #: Equal payloads below this many bytes are stored again rather than referred to.
@@ -40,9 +41,12 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     rows = rows.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", F.sha2("payload", 256))
     groups = rows.filter(f"payload_bytes >= {REVISIT_FROM}").groupBy("payload_digest").agg(F.min("page_id").alias("keeper"), F.count("*").alias("n")).filter("n > 1")
     # Written first, so that the join deals its own sides and a payload of very many pages can be split.
-    groups = materialize(groups.select("payload_digest", "keeper"), "payloads")
-    joined = rows.join(groups, "payload_digest", "left")
-    return joined.withColumn("refers_to", F.when(F.col("page_id") != F.col("keeper"), F.col("keeper"))).drop("keeper")
+    groups = materialize(groups.select(F.col("payload_digest").alias("mark"), "keeper"), "payloads")
+    # Pages whose payload is surely no other's are not shuffled.
+    clear, maybe = split_keyed(rows, groups, "payload_digest", "mark")
+    joined = maybe.join(groups, F.col("payload_digest") == F.col("mark"), "left").drop("mark")
+    none = F.lit(None).cast("long")
+    return clear.withColumn("refers_to", none).unionByName(joined.withColumn("refers_to", F.when(F.col("page_id") != F.col("keeper"), F.col("keeper"))).drop("keeper"))
 
 
 def _record() -> Column:
