@@ -17,8 +17,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = warc.archive_and_index(_table(spark, sf_dir, "pages"))
-    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured_at", "range_no", "position")
+    index = warc.global_positions(warc.archive_and_index(_table(spark, sf_dir, "pages")))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured_at", "place")
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,13 +70,16 @@ _BLANKS, _BLANK_WORDS = "chr(32) || chr(9) || chr(11) || chr(12) || chr(13)", r"
 _WORDS = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 ORACLE_SQL: dict[str, str] = {
-    "op1_warc": """
-with p as (select page_id, coalesce(html, '') as h from pages),
-d as (select page_id, octet_length(encode(h))::bigint as payload_bytes, sha256(h) as payload_digest from p),
+    "op1_warc": r"""
+with p as (select page_id, coalesce(html, '') as h, regexp_replace(coalesce(url, ''), '[\x00-\x20]', '%20', 'g') as u from pages),
+s as (select *, regexp_replace(lower(regexp_extract(u, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]*)', 1)), '^www\.', '') as host, regexp_extract(u, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#:]*:(\d+)', 1) as port,
+  regexp_extract(u, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1) as path, regexp_extract(u, '^[^#?]*\?([^#]*)', 1) as query from p),
+d as (select page_id, octet_length(encode(h))::bigint as payload_bytes, sha256(h) as payload_digest,
+  lower(array_to_string(list_reverse(string_split(host, '.')), ',') || case when port in ('', '80', '443') then '' else ':' || port end || ')' || case path when '' then '/' else path end || case query when '' then '' else '?' || query end) as url_key from s),
 g as (select payload_digest as gd, min(page_id) as keeper from d where payload_bytes >= 100 group by 1)
 select page_id, payload_bytes, payload_digest,
   case when page_id <> keeper then 'revisit' else 'response' end as record_type,
-  case when page_id <> keeper then keeper end as refers_to
+  case when page_id <> keeper then keeper end as refers_to, url_key, '2024-01-31T00:00:00Z' as captured_at, row_number() over (order by encode(url_key), page_id) - 1 as place
 from d left join g on payload_digest = gd""",
     "op2_substring_dedup": rf"""
 with d as (select row_number() over () as r, doc_id, coalesce(text, '') as t from documents),

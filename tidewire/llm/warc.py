@@ -17,6 +17,7 @@ from urllib.parse import urlsplit
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewire.llm.common import materialize, shared_path, split_keyed
@@ -210,6 +211,16 @@ def merge_index(captures: DataFrame, range_rows: int = 50_000, sample_rows: int
     return placed.groupBy("range_no").applyInArrow(merge, CAPTURES + ", range_no long, position long")
 
 
+def global_positions(index: DataFrame) -> DataFrame:
+    """The index with ``place``, the place of a capture in the whole order, from 0; its ranges are few rows."""
+    index = materialize(index, "index")
+    sizes = index.groupBy("range_no").agg(F.count("*").alias("n"))
+    before = W.orderBy("range_no").rowsBetween(W.unboundedPreceding, -1)
+    ahead = materialize(sizes.select("range_no", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead")), "ranges")
+    # At most as many ranges as merge_index has borders.
+    return index.join(F.broadcast(ahead), "range_no").withColumn("place", F.col("ahead") + F.col("position")).drop("ahead")
+
+
 def archive_and_index(pages: DataFrame, path: str | None = None, **columns) -> DataFrame:
     """Write the archives of ``pages``, read them back and merge their index; see merge_index for the columns.
 
