@@ -530,7 +530,21 @@ def _(s, d):
     return de.review_decision(v).select("source_id", "target_id", "accepted", "outcome")
 
 
-@query("r10_spectrum_score_r11")
+_R10 = f""", {AB}, g as (select event_id, sum(10.0::double / source_rank) as ed, count(*) as ac, min(published_date) as f, count(distinct newspaper) as n, avg(clickbait_score) as cb, count(*) filter (stance >= 0.35) as sup, count(*) filter (stance <= -0.35) as cri,
+  count(distinct case when ownership_type = 'independent' then newspaper end) as ind, bool_or(bias in ('left', 'far_left', 'leans_left')) as prog, bool_or(bias in ('right', 'far_right', 'leans_right')) as cons, bool_or(bias in ('center', 'neutral', 'mainstream')) as cent from ab group by 1),
+a as (select *, greatest(0, (epoch({T}) - epoch(f)) / 3600.0::double) as age, case when event_id = 0 then 10.0::double else event_id * 10.0::double end as raw from g),
+b as (select *, case when event_id % 2 = 0 and raw < 70 then raw * 0.85::double else raw end as imp, case when ac >= 2 and prog and not cons and not cent then 'BS_RIGHT' when ac >= 2 and cons and not prog and not cent then 'BS_LEFT' when ac >= 2 and prog and cons and not cent then 'BS_CENTER' end as side from a),
+c as (select *, (case when ed > 0 then 40 * ln(1 + ed) else 0 end + 100 * ln(1 + n::double) + case when age < 72 then 150 * pow(0.5::double, age / 3) else -0.1::double * age end) * 1.5::double
+  * case when imp < 30 then 0.01::double + 0.09::double * imp / 30 when imp < 50 then 0.1::double + 0.7::double * (imp - 30) / 20 else 0.8::double + 2.2::double * (imp - 50) / 50 end / case when age > 6 then 1 + 0.05::double * pow(age - 6, 1.5::double) else 1 end
+  * case when cb > 0.7 then 0.7::double else 1 end * case when sup > 1 and cri > 1 then 1.15::double else 1 end * case when ind >= 2 then 1.1::double else 1 end * case when prog and cons then 1.25::double else 1 end * case when cent then 1.1::double else 1 end
+  * case when prog and cons and cent then 1.3::double else 1 end * case when side is not null then 1.2::double else 1 end as s,
+  [case when cb > 0.7 then 'CLICKBAIT_RISK' end, case when imp >= 80 then 'HIGH_IMPACT' end, case when imp <= 30 then 'LOW_IMPACT' end, case when (age < 6 and imp >= 60) or age < 2 then 'BREAKING' end, case when sup > 1 and cri > 1 then 'CONTROVERSIAL' end,
+   case when ind >= 2 then 'INDEPENDENT_COVERAGE' end, case when prog and cons then 'CROSS_BUBBLE' end, case when prog and cons and cent then 'FULL_SPECTRUM' end, case when side is not null then 'BLIND_SPOT' end, side] as marks from b),
+d as (select *, list_sort(list_filter(marks, lambda m: m is not null)) as i from c), w as (select *, not (list_contains(i, 'BREAKING') or list_contains(i, 'HIGH_IMPACT') or list_contains(i, 'BLIND_SPOT')) and ac < 2 as waits from d)
+select event_id, round(greatest(0, s), 2)::double as hot_score, array_to_string(i, ',') as insights, case side when 'BS_RIGHT' then 'right' when 'BS_LEFT' then 'left' when 'BS_CENTER' then 'center' end as blind_side, case when waits then 'WAIT' else 'PUBLISH' end as decision, case when waits then 'volume' end as reason from w"""
+
+
+@query("r10_spectrum_score_r11", _R10, "newspapers articles")
 def _(s, d):
     a = outlet_articles(s, d)
     g = ru.basics(a).join(a.groupBy("event_id").agg(F.countDistinct("newspaper").alias("n_sources"), F.collect_set("bias").alias("biases"), F.avg("clickbait_score").alias("clickbait"), F.count_if(F.col("stance") >= 0.35).alias("supportive"), F.count_if(F.col("stance") <= -0.35).alias("critical"), F.countDistinct(F.when(F.col("ownership_type") == "independent", F.col("newspaper"))).alias("independent")), "event_id")
