@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.llm import arrowtext as at
+from tidewire.llm.common import unused
 
 FEATURES = ("words", "word_bytes", "upper", "digit", "punct", "symbol", "bang", "bar", "high", "per_line", "distinct", "top_word", "repeat", "gram_repeat", "line_repeat", "caps_words", "symbol_words")
 SYMBOLS = b"#$%&*<>=@\\^_`{}~/+[]"
@@ -86,10 +87,10 @@ def _stats(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.column_stack([f[name] for name in FEATURES]).astype(np.float64)
 
 
-def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
+def with_statistics(docs: DataFrame, text_col: str = "text", stats: str = "stats") -> DataFrame:
     """``docs`` with a column ``stats``, an array of FEATURES. Null texts count as empty; no shuffle."""
     columns = docs.columns
-    schema = docs.withColumn("stats", F.array().cast("array<double>")).schema
+    schema = docs.withColumn(stats, F.array().cast("array<double>")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -97,7 +98,7 @@ def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 x = _stats(data, offsets)
                 part = batch.slice(row, len(x))
                 lists = at.list_column(x.ravel(), [len(FEATURES)] * len(x), pa.float64())
-                yield pa.RecordBatch.from_arrays([*part.columns, lists], names=[*columns, "stats"])
+                yield pa.RecordBatch.from_arrays([*part.columns, lists], names=[*columns, stats])
 
     return docs.mapInArrow(run, schema)
 
@@ -211,24 +212,47 @@ def fit_rules(x: np.ndarray, y: np.ndarray, s: QualitySettings = QualitySettings
     return RuleEnsemble(float(b + np.log(y.mean() / (1 - y.mean())) * 0.5), tuple(Rule(r, float(v)) for r, v in zip(rules, w, strict=True) if abs(v) > 1e-6))
 
 
+_TERM = pa.struct([("f", pa.int32()), ("at_most", pa.bool_()), ("v", pa.float64())])
+MODEL = pa.schema([("intercept", pa.float64()), ("weights", pa.list_(pa.float64())), ("terms", pa.list_(pa.list_(_TERM)))])
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows kept for judging the fit: crc32 of the doc_id as text modulo 4 is 2."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, s: QualitySettings, id_col: str, text_col: str, label_col: str) -> tuple[np.ndarray, np.ndarray]:
-    """(statistics, labels) of at most s.train_rows labelled rows that are not held out, the smallest by hash."""
+def training_rows(docs: DataFrame, labels: DataFrame, s: QualitySettings = QualitySettings(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
+    """(doc_id, y, h, stats) of at most s.train_rows labelled rows that are not held out, the smallest by hash.
+
+    Rows without a doc_id, and labels other than 0 and 1, are left out. A doc_id that repeats gives a row for each of
+    its texts and labels; the limit holds for rows, not for ids.
+    """
     l = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).filter("doc_id is not null and y in (0, 1)")
     l = l.filter(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(s.train_rows)
     # The sample's size is bounded by train_rows, so it is broadcast to the texts.
     x = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(l), "doc_id")
-    rows = with_statistics(x).select("doc_id", "y", F.xxhash64("text").alias("h"), "stats").toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending"), ("h", "ascending")])
-    stats = rows["stats"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))[: s.train_rows]
-    return stats, rows["y"].to_numpy().astype(np.float64)[: s.train_rows]
+    rows = with_statistics(x).select("doc_id", "y", F.xxhash64("text").alias("h"), "stats")
+    return rows.orderBy(F.xxhash64("doc_id"), "doc_id", "y", "h").limit(s.train_rows)
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, s: QualitySettings = QualitySettings(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> RuleEnsemble:
-    return fit_rules(*training_rows(docs, labels, s, id_col, text_col, label_col), s)
+    """The rules fitted on training_rows, in one task that reads at most s.train_rows rows of statistics.
+
+    Only the rules travel to the driver. Without usable rows, or with one label only, there are no rules.
+    """
+
+    def fit(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("doc_id", "ascending"), ("y", "ascending"), ("h", "ascending")])
+        x = table["stats"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
+        model = fit_rules(x, table["y"].to_numpy().astype(np.float64), s)
+        terms = [[{"f": f, "at_most": bool(m), "v": v} for f, m, v in r.terms] for r in model.rules]
+        return pa.Table.from_pydict({"intercept": [model.intercept], "weights": [[r.weight for r in model.rules]], "terms": [terms]}, schema=MODEL)
+
+    rows = training_rows(docs, labels, s, id_col, text_col, label_col)
+    found = rows.groupBy(F.lit(0).alias("all")).applyInArrow(fit, "intercept double, weights array<double>, terms array<array<struct<f:int,at_most:boolean,v:double>>>").first()
+    if found is None:
+        return fit_rules(np.zeros((0, len(FEATURES))), np.zeros(0), s)
+    return RuleEnsemble(found.intercept, tuple(Rule(tuple((t.f, t.at_most, t.v) for t in ts), w) for ts, w in zip(found.terms, found.weights, strict=True)))
 
 
 def score_quality(docs: DataFrame, model: RuleEnsemble, s: QualitySettings = QualitySettings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -243,14 +267,12 @@ def score_quality(docs: DataFrame, model: RuleEnsemble, s: QualitySettings = Qua
 
 
 def keep_quality(docs: DataFrame, model: RuleEnsemble, s: QualitySettings = QualitySettings(), text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the classifier accepts, all columns as they are; no shuffle."""
-    stats = "__stats"
-    columns = docs.columns
-    scored = with_statistics(docs, text_col).withColumnRenamed("stats", stats) if "stats" not in columns else None
-    if scored is None:
-        renamed = docs.withColumnRenamed("stats", "__own_stats")
-        return with_statistics(renamed, text_col).filter(model.score(F.col("stats")) >= s.threshold).drop("stats").withColumnRenamed("__own_stats", "stats").select(*columns)
-    return scored.filter(model.score(F.col(stats)) >= s.threshold).select(*columns)
+    """The rows of ``docs`` that the classifier accepts, all columns and repeated rows as they are; no shuffle.
+
+    Null texts are judged as empty ones. An empty table gives no rows.
+    """
+    stats = unused(docs.columns, "stats")
+    return with_statistics(docs, text_col, stats).filter(model.score(F.col(stats)) >= s.threshold).drop(stats)
 
 
 def crc_mod4(doc_id: int) -> int:
