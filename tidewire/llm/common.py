@@ -2,22 +2,28 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN_FOLDERS: dict[str, str] = {}
+_WORKSPACES: list[Scratch] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session has none (single-machine tests) a temporary folder takes its place.
+    Only where the session has none and runs on one machine (tests) a temporary folder takes its place; a cluster
+    without one is refused.
     """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or None
     if root is None:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         app = spark.sparkContext.applicationId
         if app not in _OWN_FOLDERS:
             _OWN_FOLDERS[app] = tempfile.mkdtemp(prefix="tidewire-shared-")
@@ -26,14 +32,25 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def shared_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    """A new path in the current workspace, or else in the shared folder itself."""
+    return f"{_WORKSPACES[-1].path if _WORKSPACES else shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+
+
+@contextlib.contextmanager
+def workspace(spark: SparkSession) -> Iterator[None]:
+    """All intermediate tables of operators called inside go when it ends; write their results before that."""
+    _WORKSPACES.append(Scratch(spark, "work"))
+    try:
+        yield
+    finally:
+        _WORKSPACES.pop().clear()
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write a (narrow) frame to the shared folder and read it again.
 
     The lineage ends there, so a lost executor costs a re-read instead of a recomputation, and a frame used
-    several times is computed once. The folder belongs to the job, which clears it when it ends.
+    several times is computed once. ``workspace`` clears it; outside of one the folder belongs to the job.
     """
     spark = df.sparkSession
     path = shared_path(spark, tag)

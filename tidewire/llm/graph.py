@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tidewire.llm.common import Scratch
@@ -18,28 +18,40 @@ def _star(edges: DataFrame, small: bool) -> DataFrame:
         out = joined.select(F.col("lo").alias("hi"), F.col("m").alias("lo")).unionByName(least.select(F.col("c").alias("hi"), F.col("m").alias("lo")))
     else:
         out = joined.filter(F.col("lo") > F.col("hi")).select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-    return out.filter(F.col("hi") > F.col("lo")).distinct()
+    return out.filter(F.col("hi") > F.col("lo"))
 
 
-def connected_components(links: DataFrame, scratch: Scratch | None = None, max_rounds: int = 60) -> DataFrame:
-    """(node, component) for every node of ``links`` (a, b); the component is its smallest node.
+def star_edges(links: DataFrame, scratch: Scratch, rounds: int | None = None, max_rounds: int = 60) -> DataFrame:
+    """(hi, lo), hi > lo: edges with the same components as ``links`` (a, b), after alternating star steps.
 
-    Each round is written to the shared folder (to ``scratch``, where given), so the plan stays short and a lost
-    executor costs a re-read. Ends when a round changes nothing; the number of rounds grows with the logarithm of a
-    component's size.
+    Without ``rounds`` they go on until nothing changes: then every node has one edge, to the smallest of its
+    component. Each round is written to ``scratch``, so the plan stays short and a lost executor costs a re-read; the
+    number of rounds grows with the logarithm of a component's size.
     """
-    at = Scratch(links.sparkSession, "components", scratch)
     edges = links.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).filter("hi > lo").distinct()
-    edges = at.write(edges, "edges")
     before = None
-    for _ in range(max_rounds):
-        # Sums of hashes tell whether two rounds hold the same edges.
-        row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)")).alias("h")).first()
-        if (row.n, row.h) == before:
-            break
-        before = (row.n, row.h)
-        edges = at.write(_star(_star(edges, small=False), small=True), "edges")
-    else:
+    for _ in range(max_rounds if rounds is None else rounds):
+        # Sums of hashes, taken as the rows are written, tell whether two rounds hold the same edges.
+        seen = Observation()
+        step = _star(_star(edges, small=False), small=True).distinct()
+        edges = scratch.write(step.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)")).alias("h")), "edges")
+        now = (seen.get["n"], seen.get["h"])
+        if now == before:
+            return edges
+        before = now
+    if rounds is None:
         raise RuntimeError("components did not settle")
-    own = edges.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct()
-    return edges.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionByName(own)
+    return edges
+
+
+def labels(edges: DataFrame) -> DataFrame:
+    """(node, component): the smallest neighbour of each node of star_edges, itself where all are larger.
+
+    Nodes with one label are in one component; once the edges have settled, nodes of one component have one label.
+    """
+    return edges.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionByName(edges.select(F.col("lo").alias("node"), F.col("lo").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))
+
+
+def connected_components(links: DataFrame, scratch: Scratch | None = None, max_rounds: int = 60) -> DataFrame:
+    """(node, component) for every node of ``links`` (a, b); the component is its smallest node."""
+    return labels(star_edges(links, Scratch(links.sparkSession, "components", scratch), max_rounds=max_rounds))

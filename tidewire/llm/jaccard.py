@@ -14,6 +14,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -23,8 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.llm import arrowtext as at
-from tidewire.llm.common import Scratch, hash_bitmap, materialize
-from tidewire.llm.graph import connected_components
+from tidewire.llm.common import Scratch, materialize, split_keyed
+from tidewire.llm.graph import labels, star_edges
 
 #: Hash ranges whose counts the suffix filter compares.
 BINS = 256
@@ -56,33 +57,54 @@ def _least_overlap(n: Column, m: Column, percent: int) -> Column:
     return F.ceil((n + m) * F.lit(percent).cast("long") / F.lit(100 + percent))
 
 
+#: Counters of one row at most.
+PIECE = 1 << 16
+SETS = "doc_id long, n long, digest binary, slots array<int>, counts array<int>"
+
+
 def shingle_sets(docs: DataFrame, k: int, rarity_bits: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n, digest, counters): one row per document, and one row of k-gram counters per task.
+    """(doc_id, n, digest, slots, counts): one row per document, and rows with the k-gram counters of each task.
 
-    Rows of counters have null in the other columns. Written to the shared folder.
+    Rows of counters have null in the other columns and hold only counters above 0, at most PIECE each.
     """
     size = 1 << rarity_bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters = np.zeros(size, np.int32)
+        names = [x.split()[0] for x in SETS.split(", ")]
         for batch in batches:
             n, digests = np.zeros(batch.num_rows, np.int64), []
             for i, s in enumerate(_doc_sets(batch.column(1), k)):
                 n[i] = len(s)
                 digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 np.add.at(counters, (s & np.uint64(size - 1)).astype(np.int64), 1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(digests, pa.binary()), pa.nulls(batch.num_rows, pa.list_(pa.int32()))], names=["doc_id", "n", "digest", "counters"])
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([counters], pa.list_(pa.int32()))], names=["doc_id", "n", "digest", "counters"])
+            none = pa.nulls(batch.num_rows, pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(digests, pa.binary()), none, none], names=names)
+        some = np.flatnonzero(counters).astype(np.int32)
+        for i in range(0, len(some), PIECE):
+            piece = some[i : i + PIECE]
+            lists = [pa.array([x], pa.list_(pa.int32())) for x in (piece, counters[piece])]
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), *lists], names=names)
 
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return materialize(picked.mapInArrow(run, "doc_id long, n long, digest binary, counters array<int>"), "sets")
+    return picked.mapInArrow(run, SETS)
 
 
 def rarity_table(sets: DataFrame, rarity_bits: int) -> np.ndarray:
-    """How often k-grams of each of ``2**rarity_bits`` hash classes occur in the whole corpus: a table of fixed size."""
-    rows = sets.filter(F.col("counters").isNotNull()).select(F.posexplode("counters").alias("slot", "c")).filter("c > 0").groupBy("slot").agg(F.sum("c").alias("c")).toArrow()
-    table = np.zeros(1 << rarity_bits, np.int64)
-    table[rows["slot"].to_numpy()] = rows["c"].to_numpy()
+    """How often k-grams of each of ``2**rarity_bits`` hash classes occur in the whole corpus: a table of fixed size.
+
+    Counts are kept as 8 times their binary logarithm, one byte each: they only order k-grams, the same way for all.
+    """
+    each = sets.filter(F.col("slots").isNotNull()).select(F.explode(F.arrays_zip("slots", "counts")).alias("x"))
+    sums = each.groupBy(F.col("x.slots").alias("slot")).agg(F.sum("x.counts").alias("c"))
+    level = F.least(F.lit(255), F.floor(8 * F.log2(F.col("c").cast("double"))) + 1).cast("int")
+    # One row per 2**12 slots travels to the driver.
+    rows = sums.groupBy(F.shiftright("slot", 12).alias("base")).agg(F.collect_list(F.struct((F.col("slot") % 4096).alias("at"), level.alias("level"))).alias("x"))
+    packed = rows.select("base", F.transform("x", lambda e: e["at"].cast("short")).alias("at"), F.transform("x", lambda e: e["level"].cast("short")).alias("level"))
+    table = np.zeros(1 << rarity_bits, np.uint8)
+    for row in packed.toArrow().to_batches():
+        for base, at_, level_ in zip(row.column(0).to_pylist(), row.column(1), row.column(2), strict=True):
+            table[(base << 12) + at_.values.to_numpy().astype(np.int64)] = level_.values.to_numpy()
     return table
 
 
@@ -101,7 +123,7 @@ def _prefixes(docs: DataFrame, reps: DataFrame, rarity, k: int, percent: int, id
                 if n < least or ids[i] is None:
                     continue
                 p = n - (n * percent + 99) // 100 + 1
-                order = np.lexsort((s, table[(s & mask).astype(np.int64)]))[:p]
+                order = np.argsort(table[(s & mask).astype(np.int64)], kind="stable")[:p]
                 keep.append(i)
                 sizes.append(n)
                 flat.append(at.signed(s[order]))
@@ -131,17 +153,12 @@ def _least_n(percent: int) -> int:
     return -(-percent // (100 - percent))
 
 
-def _token_sets(docs: DataFrame, wanted: DataFrame, k: int, percent: int, id_col: str, text_col: str, filter_bits: int, scratch: Scratch) -> DataFrame:
-    """(doc, toks) of the documents in ``wanted``, read again from their texts; others leave the scan at once."""
-    bitmap = docs.sparkSession.sparkContext.broadcast(hash_bitmap(wanted.select(F.xxhash64("doc").alias("h")), "h", filter_bits))
+def _token_sets(docs: DataFrame, wanted: DataFrame, k: int, percent: int, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
+    """(doc, toks) of the documents in ``wanted``, read again from their texts, and of few others; most leave the scan at once."""
     least = _least_n(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = bitmap.value
         for batch in batches:
-            slot = batch.column(2).to_numpy(zero_copy_only=False)
-            hit = (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
-            batch = batch.filter(pa.array(hit))
             ids, keep, flat = batch.column(0).to_pylist(), [], []
             for i, s in enumerate(_doc_sets(batch.column(1), k)):
                 if len(s) >= least:
@@ -152,20 +169,19 @@ def _token_sets(docs: DataFrame, wanted: DataFrame, k: int, percent: int, id_col
                     keep, flat = [], []
             yield _token_batch(keep, flat)
 
-    slot = F.shiftrightunsigned(F.xxhash64(F.col(id_col).cast("long")), 64 - filter_bits)
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), slot.alias("slot")).filter("doc_id is not null")
-    return scratch.write(picked.mapInArrow(run, "doc long, toks array<long>").join(wanted, "doc", "left_semi"), "tokens")
+    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("doc_id is not null")
+    return scratch.write(split_keyed(picked, wanted, "doc_id", "doc")[1].mapInArrow(run, "doc long, toks array<long>"), "tokens")
 
 
 def _token_batch(ids: list, flat: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), at.list_column(np.concatenate(flat) if flat else np.zeros(0, np.int64), [len(x) for x in flat], pa.int64())], names=["doc", "toks"])
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int, id_col: str, text_col: str, filter_bits: int, scratch: Scratch) -> DataFrame:
+def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
     """Those of the pairs (a, b) that reach the threshold on their whole sets."""
     pairs = scratch.write(pairs, "pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
-    tokens = _token_sets(docs, wanted, k, percent, id_col, text_col, filter_bits, scratch)
+    tokens = _token_sets(docs, wanted, k, percent, id_col, text_col, scratch)
     ta, tb = (tokens.select(F.col("doc").alias(s), F.col("toks").alias(f"toks_{s}")) for s in "ab")
     both = F.size(F.array_intersect("toks_a", "toks_b")).cast("long")
     union = F.size("toks_a") + F.size("toks_b") - both
@@ -194,29 +210,33 @@ def _list_pairs(left: DataFrame, right: DataFrame, percent: int, ordered: bool,
     return left.join(r, met).select(F.least("doc", "doc_r").alias("a"), F.greatest("doc", "doc_r").alias("b"))
 
 
-def _filtered_pairs(work: DataFrame, other: DataFrame, meta: DataFrame, percent: int, ordered: bool) -> DataFrame:
+def _filtered_pairs(work: DataFrame, other: DataFrame, meta: DataFrame, percent: int, complete: bool) -> DataFrame:
     """The pairs of all posting lists that pass the three filters, each once.
 
-    Short lists are paired on narrow rows and the suffix filter follows; long lists carry its counts into the join, so
-    that their many pairs never leave it.
+    Lists are paired on narrow rows and the suffix filter follows. Only where long lists are paired completely do they
+    carry its counts into the join, so that their many pairs never leave it.
     """
-    bins = meta.select(F.col("doc").alias("bd"), "bins")
-    long_, long_other = (x.filter(F.col("size") > LONG_LIST).join(bins, F.col("doc") == F.col("bd")).drop("bd") for x in (work, other))
-    short = _list_pairs(work.filter(F.col("size") <= LONG_LIST), other.filter(F.col("size") <= LONG_LIST), percent, ordered, bins=False).distinct()
+    if complete:
+        bins = meta.select(F.col("doc").alias("bd"), "bins")
+        long_ = work.filter(F.col("size") > LONG_LIST).join(bins, F.col("doc") == F.col("bd")).drop("bd")
+        at_once = _list_pairs(long_, long_, percent, True, bins=True)
+        work = other = work.filter(F.col("size") <= LONG_LIST)
+    pairs = _list_pairs(work, other, percent, complete, bins=False).distinct()
     a, b = (meta.select(*[F.col(c).alias(f"{c}_{s}") for c in ("doc", "n", "bins")]) for s in "ab")
-    short = short.join(a, F.col("a") == F.col("doc_a")).join(b, F.col("b") == F.col("doc_b"))
-    short = short.filter(_shared_at_most(F.col("bins_a"), F.col("bins_b")) >= _least_overlap(F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
-    return short.unionByName(_list_pairs(long_, long_other, percent, ordered, bins=True)).distinct()
+    pairs = pairs.join(a, F.col("a") == F.col("doc_a")).join(b, F.col("b") == F.col("doc_b"))
+    pairs = pairs.filter(_shared_at_most(F.col("bins_a"), F.col("bins_b")) >= _least_overlap(F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
+    return pairs.unionByName(at_once).distinct() if complete else pairs
 
 
 def _hubs(work: DataFrame, step: int) -> DataFrame:
-    """(tok, doc): one document per posting list, that the others are held against.
+    """The posting of one document per list, that the others are held against.
 
     First the one in which the k-gram ranks as rarest: an original has no rarer k-grams of its own, its edited copies
     have. Later any, by a hash.
     """
     by_place = F.struct(F.col("pos"), F.xxhash64("doc").alias("h"))
-    return work.groupBy("tok").agg(F.min_by("doc", by_place if step == 0 else F.struct(F.xxhash64("doc", F.lit(step)))).alias("doc"))
+    rest = [c for c in work.columns if c != "tok"]
+    return work.groupBy("tok").agg(F.min_by(F.struct(*rest), by_place if step == 0 else F.struct(F.xxhash64("doc", F.lit(step)))).alias("r")).select("tok", "r.*")
 
 
 def _open_lists(work: DataFrame, comps: DataFrame, scratch: Scratch) -> tuple[DataFrame, float]:
@@ -231,7 +251,7 @@ def _open_lists(work: DataFrame, comps: DataFrame, scratch: Scratch) -> tuple[Da
     return scratch.write(placed.join(mixed.select("tok"), "tok", "left_semi"), "work"), mixed.agg(F.sum("pairs")).first()[0] or 0
 
 
-def near_links(docs: DataFrame, sets: DataFrame, k: int, percent: int, rarity_bits: int, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", filter_bits: int = 24) -> DataFrame | None:
+def near_links(docs: DataFrame, sets: DataFrame, k: int, percent: int, rarity_bits: int, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame | None:
     """(node, component) over classes with partners, or None where no k-gram is shared. Its tables are in ``scratch``."""
     spark = docs.sparkSession
     reps = sets.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n")).filter(f"rep is not null and n >= {_least_n(percent)}")
@@ -245,25 +265,30 @@ def near_links(docs: DataFrame, sets: DataFrame, k: int, percent: int, rarity_bi
     if not n_live:
         return None
 
-    links = None
+    edges = None
     open_pairs, before, step = float("inf"), float("inf"), 0
     while True:
         # Few pairs, or hubs no longer draw components together: what is left is paired completely.
         complete = step > 0 and (open_pairs <= 4 * n_live or open_pairs > before / 2)
-        other = work if complete else work.join(_hubs(work, step), ["tok", "doc"], "left_semi")
-        pairs = _filtered_pairs(work, other, meta, percent, ordered=complete)
+        other = work if complete else _hubs(work, step)
+        pairs = _filtered_pairs(work, other, meta, percent, complete)
         now = Scratch(spark, "round", scratch)
-        found = scratch.write(_verified(docs, pairs, k, percent, id_col, text_col, filter_bits, now), "links")
-        links = found if links is None else links.unionByName(found)
-        comps = connected_components(links, now)
+        checked = Scratch(spark, "checked", now)
+        found = now.write(_verified(docs, pairs, k, percent, id_col, text_col, checked), "links")
+        checked.clear()
+        # What is known so far goes on as edges. Between rounds their components need not have settled: nodes that
+        # are not yet known to be in one are held against each other once more.
+        known = [] if edges is None else [edges.select(F.col("hi").alias("a"), F.col("lo").alias("b"))]
+        links = functools.reduce(DataFrame.unionByName, [found, *known])
         if complete:
-            return comps
+            return labels(star_edges(links, now))
+        edges = star_edges(links, now, rounds=2)
         before, step = open_pairs, step + 1
-        work, open_pairs = _open_lists(work, comps, now)
+        work, open_pairs = _open_lists(work, now.write(labels(edges), "labels"), now)
+        if not open_pairs:
+            return labels(star_edges(links, now))
         last.clear()
         last = now
-        if not open_pairs:
-            return comps
 
 
 def near_duplicate_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", rarity_bits: int = 20) -> DataFrame:
@@ -275,9 +300,9 @@ def near_duplicate_components(docs: DataFrame, k: int = 5, percent: int = 80, id
     Rows that repeat a doc_id are one node of the graph. A row with a null doc_id joins the component of its equal set,
     and is alone (component null) if only such rows hold it. Other columns are ignored; an empty table gives no rows.
     """
-    sets = shingle_sets(docs, k, rarity_bits, id_col, text_col)
-    rows = sets.filter(F.col("counters").isNull()).select("doc_id", "n", "digest")
     scratch = Scratch(docs.sparkSession, "near")
+    sets = materialize(shingle_sets(docs, k, rarity_bits, id_col, text_col), "sets")
+    rows = sets.filter(F.col("slots").isNull()).select("doc_id", "n", "digest")
     comps = near_links(docs, sets, k, percent, rarity_bits, scratch, id_col, text_col)
     classes = rows.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"))
     if comps is not None:
