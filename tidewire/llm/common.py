@@ -62,6 +62,10 @@ def text_or_empty(text_col: str) -> Column:
     return F.coalesce(F.col(text_col).cast("string"), F.lit(""))
 
 
+#: Tables after which the driver collects its garbage: the plans and broadcasts of past jobs, and with them their shuffles.
+COLLECT_EVERY = 3
+
+
 class Scratch:
     """A folder in the shared one for tables that an operator needs only while it runs.
 
@@ -72,10 +76,14 @@ class Scratch:
     def __init__(self, spark: SparkSession, tag: str, parent: Scratch | None = None):
         self.spark = spark
         self.path = f"{parent.path}/{tag}-{uuid.uuid4().hex}" if parent else shared_path(spark, tag)
+        self.written = 0
 
     def write(self, df: DataFrame, tag: str) -> DataFrame:
         path = f"{self.path}/{tag}-{uuid.uuid4().hex}"
         df.write.parquet(path)
+        self.written += 1
+        if self.written % COLLECT_EVERY == 0:
+            self.spark.sparkContext._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(path)
 
     def clear(self) -> None:
