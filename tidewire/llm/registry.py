@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import alignment, decontam, exactdup, jaccard, licenses, mixing, pii, quality, secrets, substring, warc
+from tidewire.llm import alignment, decontam, exactdup, jaccard, licenses, mixing, pii, quality, secrets, substring, tandem, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -67,7 +67,11 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align_tokenizers(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_warc, op2_substring_dedup, op3_license_scan, op4_secret_scan, op5_decontamination, op6_personal_data, op7_quality, op8_mixing, op9_exact_dedup, op10_jaccard_join, op12_token_alignment)}
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tandem.periodic_runs(_table(spark, sf_dir, "documents"), rewrite=True).drop("runs")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_warc, op2_substring_dedup, op3_license_scan, op4_secret_scan, op5_decontamination, op6_personal_data, op7_quality, op8_mixing, op9_exact_dedup, op10_jaccard_join, op12_token_alignment, op13_periodic_runs)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _BLANKS, _BLANK_WORDS = "chr(32) || chr(9) || chr(11) || chr(12) || chr(13)", r"'[^\x20\x09-\x0D]+'"
