@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import alignment, decontam, exactdup, jaccard, licenses, mixing, pii, quality, secrets, substring, tandem, warc
+from tidewire.llm import alignment, decontam, exactdup, jaccard, licenses, mixing, pii, quality, secrets, sharding, substring, tandem, warc
+from tidewire.llm.common import shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -63,6 +64,17 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicate_components(_table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
+def op11_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From 32 shards by source, so of very different sizes, to 40 of equal bytes; read back from the files."""
+    docs = _table(spark, sf_dir, "documents")
+    old = F.pmod(F.coalesce(F.crc32(F.encode("source", "utf-8")), F.lit(0)), F.lit(32))
+    done = sharding.reshard(docs, old, 40, shared_path(spark, "shards"))
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 16
+    crc = F.coalesce(F.crc32(F.encode("text", "utf-8")), F.lit(0).cast("long"))
+    rows = done.read(spark)
+    return rows.select("doc_id", size.alias("size"), crc.alias("text_crc32"), F.lit("bytes").alias("law"), F.col(done.shard_col).alias("shard"), F.col(done.slot_col).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align_tokenizers(_table(spark, sf_dir, "documents"))
 
@@ -71,7 +83,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tandem.periodic_runs(_table(spark, sf_dir, "documents"), rewrite=True).drop("runs")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_warc, op2_substring_dedup, op3_license_scan, op4_secret_scan, op5_decontamination, op6_personal_data, op7_quality, op8_mixing, op9_exact_dedup, op10_jaccard_join, op12_token_alignment, op13_periodic_runs)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_warc, op2_substring_dedup, op3_license_scan, op4_secret_scan, op5_decontamination, op6_personal_data, op7_quality, op8_mixing, op9_exact_dedup, op10_jaccard_join, op11_resharding, op12_token_alignment, op13_periodic_runs)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _BLANKS, _BLANK_WORDS = "chr(32) || chr(9) || chr(11) || chr(12) || chr(13)", r"'[^\x20\x09-\x0D]+'"
