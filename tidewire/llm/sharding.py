@@ -102,6 +102,8 @@ def solve_transfers(sizes: dict[int, int], capacities: list[int], s: ReshardSett
     """
     if sum(sizes.values()) != sum(capacities):
         raise ValueError("capacities must add up to the sizes")
+    if not sizes:
+        return []
     net, total = Flow(), sum(capacities)
     kept = {i: net.edge(("old", i), ("new", i), total, 0) for i in sizes if 0 <= i < len(capacities)}
     leave = {i: net.edge(("old", i), ("from", s.zone(i)), total, 1) for i in sizes}
