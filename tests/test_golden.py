@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidewire.functions import text as tx
 from tidewire.operators import decisions as de
 from tidewire.operators import desk as dk
+from tidewire.operators import lifecycle as li
 from tidewire.operators import queues as qu
 from tidewire.operators import rollup as ru
 from tidewire.operators import score as sc
@@ -180,11 +181,11 @@ def test_page_links(spark):
 
 def test_publish_gate_branches(spark):
     cases = [
-        (False, 0, False, [], [], 9, "IGNORE", "inactive"), (True, 2, False, [], [], 9, "WAIT", "future"), (True, 1, True, [], [], 9, "WAIT", "collision"), (True, 0, False, ["sports"], [], 4, "WAIT", "topic"),
-        (True, 0, False, ["sports"], ["BREAKING"], 1, "PUBLISH", None), (True, 0, False, ["sports"], [], 5, "PUBLISH", None), (True, 0, False, ["Politics"], [], 1, "WAIT", "volume"),
-        (True, 0, False, ["Politics"], ["BLIND_SPOT"], 1, "PUBLISH", None), (True, 1, False, None, ["HIGH_IMPACT"], 1, "PUBLISH", None), (None, 0, False, [], [], 9, "IGNORE", "inactive"),
+        (False, 0, None, [], [], 9, "IGNORE", "inactive"), (True, 2, None, [], [], 9, "WAIT", "future"), (True, 1, "WAITING", [], [], 9, "WAIT", "collision"), (True, 1, "AUTO", [], [], 9, "MERGE", "collision"), (True, 1, "PROPOSE", ["Sports"], [], 1, "PROPOSE", "collision"), (True, 0, None, ["sports"], [], 2, "PUBLISH", None), (True, 0, None, ["Sports"], [], 4, "WAIT", "topic"),
+        (True, 0, None, ["Sports"], ["BREAKING"], 1, "PUBLISH", None), (True, 0, None, ["Sports"], [], 5, "PUBLISH", None), (True, 0, None, ["Politics"], [], 1, "WAIT", "volume"),
+        (True, 0, None, ["Politics"], ["BLIND_SPOT"], 1, "PUBLISH", None), (True, 1, None, None, ["HIGH_IMPACT"], 1, "PUBLISH", None), (None, 0, None, [], [], 9, "IGNORE", "inactive"),
     ]
-    e = spark.createDataFrame([(i, a, NOW + dt.timedelta(hours=h), c, t, m, n) for i, (a, h, c, t, m, n, _, _) in enumerate(cases)], "id int, is_active boolean, first_article_date timestamp_ntz, collision boolean, topics array<string>, insights array<string>, article_count long")
+    e = spark.createDataFrame([(i, a, NOW + dt.timedelta(hours=h), c, t, m, n) for i, (a, h, c, t, m, n, _, _) in enumerate(cases)], "id int, is_active boolean, first_article_date timestamp_ntz, collision string, topics array<string>, insights array<string>, article_count long")
     assert {r.id: (r.decision, r.reason) for r in sc.publish_gate(e, now()).collect()} == {i: c[6:] for i, c in enumerate(cases)}
 
 
@@ -289,3 +290,41 @@ def test_split_leaves_busy_and_whole_events(spark):
     assert {r.id: r.event_id for r in out.articles.collect()} == {1: 1, 2: 102, 3: 1, 4: 2, 5: 2, 6: 3}
     assert [(r.id, r.parent_id, r.article_count) for r in out.events.collect()] == [(102, 1, 1)]
     assert sorted(r.event_id for r in out.jobs.collect()) == [1, 102]
+
+
+
+def test_merge_decision_branches(spark):
+    """Survivor, entity gate below 0.13 only, keyword rescue."""
+    cases = [
+        ("DRAFT", "DRAFT", 0.01, 0.0, [], [], "MERGE", 2), ("PUBLISHED", "DRAFT", 0.01, 0.0, [], None, "MERGE", 1), ("DRAFT", "PUBLISHED", 0.01, 0.0, ["a"], ["a"], "MERGE", 2), (None, None, 0.01, 0.0, ["a"], ["a"], "MERGE", 2),
+        ("PUBLISHED", "PUBLISHED", 0.01, 0.0, [], [], "PROPOSE", None), ("DRAFT", "DRAFT", 0.01, 0.01, ["a"], ["b"], None, None), ("DRAFT", "DRAFT", 0.01, 0.02, ["a"], ["b"], "MERGE", 2), ("DRAFT", "DRAFT", 0.09, 0.9, [], ["b"], None, None),
+        ("DRAFT", "DRAFT", 0.09, 0.0, ["a", "b"], ["b"], "PROPOSE", None), ("DRAFT", "DRAFT", 0.15, 0.03, None, None, "PROPOSE", None), ("DRAFT", "DRAFT", 0.15, 0.02, ["a"], ["a"], None, None), ("DRAFT", "DRAFT", 0.22, 0.9, ["a"], ["a"], None, None),
+    ]
+    rows = [(10 * i + 1, 10 * i + 2, *c[:6], False) for i, c in enumerate(cases)]
+    p = spark.createDataFrame(rows, "event_id long, other_id long, status string, other_status string, distance double, rrf double, names array<string>, other_names array<string>, blocked boolean")
+    got = {r.event_id // 10: (r.action, r.survivor and r.survivor % 10) for r in de.merge_decision(p).collect()}
+    assert got == {i: c[6:] for i, c in enumerate(cases) if c[6]}
+
+
+def test_several_targets_are_of_the_first_three(spark):
+    a = spark.createDataFrame([(1, NOW, True)], "article_id long, published_date timestamp_ntz, has_vector boolean")
+    c = spark.createDataFrame([(1, i, d, 1.0 - i / 10, NOW, 1) for i, d in enumerate([0.01, 0.02, 0.5, 0.03])], "article_id long, event_id long, distance double, rrf double, last_updated_at timestamp_ntz, article_count long")
+    assert [tuple(r) for r in de.cluster_decision(a, c, now()).collect()] == [(1, "PROPOSE_MULTI", [0, 1])]
+
+
+def test_older_tickets_are_pruned(spark):
+    """The publisher's waiting tickets go with its pending ones, the enhancer's stay; newer and other tickets stay."""
+    hour = lambda h: NOW + dt.timedelta(hours=h)
+    q = [(1, 7, "publisher", "PROCESSING", 5), (2, 7, "publisher", "WAITING", 1), (3, 7, "publisher", "PENDING", 5), (4, 7, "publisher", "WAITING", 6), (5, 8, "publisher", "WAITING", 1), (6, 7, "enhancer", "PROCESSING", 5), (7, 7, "enhancer", "WAITING", 1), (8, 7, "enhancer", "PENDING", 1), (9, 7, "publisher", "FAILED", 1)]
+    queue = spark.createDataFrame([(i, e, n, s, "", 0, hour(h), hour(h)) for i, e, n, s, h in q], "id long, event_id long, queue_name string, status string, msg string, attempts int, created_at timestamp_ntz, updated_at timestamp_ntz")
+    results = spark.createDataFrame([(1, "MERGE", "why", 9, "A title of more than twenty"), (6, "ENHANCED", "ok", None, None)], "id long, action string, reason string, subject long, title string")
+    done = li.route_results(queue, results, "event_id", now())
+    assert {r.id: r.status for r in done.queue.collect()} == {1: "COMPLETED", 2: "COMPLETED", 3: "COMPLETED", 4: "WAITING", 5: "WAITING", 6: "COMPLETED", 7: "WAITING", 8: "COMPLETED", 9: "FAILED"}
+    assert sorted((r.subject, r.queue_name, r.msg) for r in done.next_jobs.collect()) == [(7, "publisher", "Enhanced"), (9, "enhancer", "Merged with A title of more than")]
+
+
+def test_chains_of_merged_events_that_do_not_end(spark):
+    e = spark.createDataFrame([(1, 2), (2, 3), (3, None), (4, 4)], "id long, merged_into_id long")
+    assert {r.id: r.survivor for r in de.resolve_survivors(e).collect()} == {1: 3, 2: 3, 3: 3, 4: 4}
+    with pytest.raises(RuntimeError):
+        de.resolve_survivors(spark.createDataFrame([(1, 2), (2, 3), (3, 1)], "id long, merged_into_id long"), depth=3)

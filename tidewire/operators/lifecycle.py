@@ -130,15 +130,15 @@ def reset_limits(usage: DataFrame, resets: DataFrame) -> DataFrame:
 class Route:
     """What becomes of a job whose work ended in an action.
 
-    msg: the job's message, with {action} and {reason}; next_queue and next_msg: the job that follows; supersedes:
-    pending jobs of the same subject and queue that are no newer are done with.
+    msg: the job's message, with {action}, {reason} and {title}; next_queue and next_msg: the job that follows; prunes:
+    jobs in these states, of the same subject and queue and no newer, are done with.
     """
 
     status: str
     msg: str = "{reason}"
     next_queue: str | None = None
     next_msg: str = "{reason}"
-    supersedes: bool = False
+    prunes: tuple[str, ...] = ()
 
 
 #: Queue and action to what follows.
@@ -159,16 +159,16 @@ ROUTES: dict[tuple[str, str], Route] = {
     ("cluster", "PROPOSE"): Route("COMPLETED", "Parked: {reason}"),
     ("cluster", "PROPOSE_MULTI"): Route("COMPLETED", "Parked: {reason}"),
     ("cluster", "ERROR"): Route("FAILED"),
-    ("enhancer", "ENHANCED"): Route("COMPLETED", "{action}: {reason}", "publisher", "Enhanced", True),
-    ("enhancer", "DEBOUNCED"): Route("COMPLETED", "{action}: {reason}", "publisher", "Debounced: Volume Update Only", True),
-    ("enhancer", "SKIPPED_EMPTY"): Route("COMPLETED", "{action}: {reason}", supersedes=True),
-    ("enhancer", "SKIPPED_INACTIVE"): Route("COMPLETED", "{action}: {reason}", supersedes=True),
+    ("enhancer", "ENHANCED"): Route("COMPLETED", "{action}: {reason}", "publisher", "Enhanced", ("PENDING",)),
+    ("enhancer", "DEBOUNCED"): Route("COMPLETED", "{action}: {reason}", "publisher", "Debounced: Volume Update Only", ("PENDING",)),
+    ("enhancer", "SKIPPED_EMPTY"): Route("COMPLETED", "{action}: {reason}", prunes=("PENDING",)),
+    ("enhancer", "SKIPPED_INACTIVE"): Route("COMPLETED", "{action}: {reason}", prunes=("PENDING",)),
     ("enhancer", "ERROR"): Route("FAILED", "{action}: {reason}"),
     ("publisher", "WAIT"): Route("WAITING"),
-    ("publisher", "IGNORE"): Route("COMPLETED", supersedes=True),
-    ("publisher", "PUBLISH"): Route("COMPLETED", supersedes=True),
-    ("publisher", "MERGE"): Route("COMPLETED", "{reason}", "enhancer", "Merged with {reason}", True),
-    ("publisher", "PROPOSE"): Route("COMPLETED", supersedes=True),
+    ("publisher", "IGNORE"): Route("COMPLETED", prunes=("PENDING", "WAITING")),
+    ("publisher", "PUBLISH"): Route("COMPLETED", prunes=("PENDING", "WAITING")),
+    ("publisher", "MERGE"): Route("COMPLETED", "{reason}", "enhancer", "Merged with {title}", ("PENDING", "WAITING")),
+    ("publisher", "PROPOSE"): Route("COMPLETED", prunes=("PENDING", "WAITING")),
     ("publisher", "ERROR"): Route("FAILED"),
 }
 
@@ -182,25 +182,25 @@ class Routed:
 
 
 def route_results(queue: DataFrame, results: DataFrame, key: str, as_of: Column, routes: dict[tuple[str, str], Route] = ROUTES) -> Routed:
-    """Q18: jobs (id, ``key``, queue_name, status, created_at, ...) after their results (id, action, reason, subject).
+    """Q18: jobs (id, ``key``, queue_name, status, created_at, ...) after their results (id, action, reason, subject, title).
 
     ``subject`` is what a following job is for - the event of a clustered article, the survivor of a merge; null means
-    the job's own ``key``. Jobs without a result, and actions that no route names, stay as they are. A result takes one
+    the job's own ``key``; ``title`` (may be left out) is its event's, of which 20 characters are told. Jobs without a result, and actions that no route names, stay as they are. A result takes one
     attempt. The routes are a table of fixed size.
     """
     spark = queue.sparkSession
-    rows = [(q, a, r.status, r.msg, r.next_queue, r.next_msg, r.supersedes) for (q, a), r in routes.items()]
-    table = spark.createDataFrame(rows, "queue_name string, _action string, _status string, _msg string, _next string, _next_msg string, _supersedes boolean")
-    r = results.select("id", F.col("action").alias("_action"), F.coalesce("reason", F.lit("")).alias("_reason"), F.col("subject").alias("_subject"))
+    rows = [(q, a, r.status, r.msg, r.next_queue, r.next_msg, list(r.prunes)) for (q, a), r in routes.items()]
+    table = spark.createDataFrame(rows, "queue_name string, _action string, _status string, _msg string, _next string, _next_msg string, _prunes array<string>")
+    r = results.select("id", F.col("action").alias("_action"), F.coalesce("reason", F.lit("")).alias("_reason"), F.col("subject").alias("_subject"), (F.coalesce(F.substring("title", 1, 20), F.lit("")) if "title" in results.columns else F.lit("")).alias("_title"))
     q = queue.join(r, "id", "left").join(F.broadcast(table), ["queue_name", "_action"], "left")
-    filled = lambda c: F.replace(F.replace(F.col(c), F.lit("{action}"), F.col("_action")), F.lit("{reason}"), F.col("_reason"))
+    filled = lambda c: F.replace(F.replace(F.replace(F.col(c), F.lit("{action}"), F.col("_action")), F.lit("{reason}"), F.col("_reason")), F.lit("{title}"), F.col("_title"))
     hit = F.col("_status").isNotNull()
-    over = q.filter("_supersedes").select(F.col(key).alias("_k"), F.col("queue_name").alias("_q"), F.struct("created_at", "id").alias("_by"))
-    newest = over.groupBy("_k", "_q").agg(F.max("_by").alias("_by"))
+    over = q.select(F.col(key).alias("_k"), F.col("queue_name").alias("_q"), F.explode("_prunes").alias("_s"), F.struct("created_at", "id").alias("_by"))
+    newest = over.groupBy("_k", "_q", "_s").agg(F.max("_by").alias("_by"))
     next_jobs = q.filter(hit & F.col("_next").isNotNull()).select(F.coalesce("_subject", key).alias("subject"), F.col("_next").alias("queue_name"), filled("_next_msg").alias("msg"), F.col("id").alias("from_id"))
     done = update_where(q, hit, as_of, status=F.col("_status"), msg=filled("_msg"), attempts=F.col("attempts") + 1)
-    done = done.join(newest, (F.col(key) == F.col("_k")) & (F.col("queue_name") == F.col("_q")), "left")
-    stale = ~hit & (F.col("status") == "PENDING") & (F.col("created_at") <= F.col("_by.created_at"))
+    done = done.join(newest, (F.col(key) == F.col("_k")) & (F.col("queue_name") == F.col("_q")) & (done["status"] == F.col("_s")), "left")
+    stale = ~hit & (F.col("created_at") <= F.col("_by.created_at"))
     done = update_where(done, stale, as_of, status="COMPLETED", msg=F.concat(F.lit("Superseded by Job "), F.col("_by.id").cast("string")))
     return Routed(done.select(*queue.columns), next_jobs)
 

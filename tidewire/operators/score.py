@@ -55,16 +55,26 @@ def spectrum_score(events: DataFrame, as_of: Column) -> DataFrame:
     return x.select(*events.columns, F.greatest(F.lit(0.0), F.round(score, 2)).alias("hot_score"), insights.alias("insights"), blind.alias("blind_side"))
 
 
-def publish_gate(scored: DataFrame, as_of: Column, soft_topics: tuple[str, ...] = ("Entertainment", "Sports", "Lifestyle", "Nature")) -> DataFrame:
-    """Adds decision and reason; ``collision`` (boolean) comes from the collision check."""
+#: Topics that need volume or impact, as they are written.
+SOFT_TOPICS = ("Lifestyle", "Entertainment", "Nature", "Sports")
+
+
+def publish_gate(scored: DataFrame, as_of: Column, soft_topics: tuple[str, ...] = SOFT_TOPICS) -> DataFrame:
+    """Adds decision and reason.
+
+    ``collision`` is what the collision check (R9) found: WAITING for an open proposal, AUTO or PROPOSE for a published
+    event within reach, else null.
+    """
     has = lambda k: F.array_contains("insights", k)
     strong = has("BREAKING") | has("HIGH_IMPACT")
-    soft = F.exists("topics", lambda t: capitalised(t).isin(list(soft_topics)))
+    soft = F.exists("topics", lambda t: t.isin(list(soft_topics)))
     n = F.coalesce("article_count", F.lit(0))
     cases = [
         (~F.coalesce("is_active", F.lit(False)), "IGNORE", "inactive"),
         (F.col("first_article_date") > as_of + F.expr("make_dt_interval(0, 1)"), "WAIT", "future"),
-        (F.coalesce("collision", F.lit(False)), "WAIT", "collision"),
+        (F.col("collision") == "WAITING", "WAIT", "collision"),
+        (F.col("collision") == "AUTO", "MERGE", "collision"),
+        (F.col("collision") == "PROPOSE", "PROPOSE", "collision"),
         (soft & ~strong & (n < 5), "WAIT", "topic"),
         (~strong & ~has("BLIND_SPOT") & (n < 2), "WAIT", "volume"),
     ]

@@ -98,12 +98,17 @@ _ACTIONS = {
 }
 
 
+def _with_waiting(queue):
+    """Of the pending tickets every third waits, so that both states are met."""
+    return queue.withColumn("status", F.when((F.col("status") == "PENDING") & (F.col("id") % 3 == 0), "WAITING").otherwise(F.col("status")))
+
+
 def _routed(queue, key: str):
     action = None
     for q, names in _ACTIONS.items():
         one = en.pick(names, F.floor(F.col("id") / 8).cast("long"))
         action = F.when(F.col("queue_name") == q, one) if action is None else action.when(F.col("queue_name") == q, one)
-    results = queue.filter("status = 'PROCESSING'").select("id", action.alias("action"), F.concat(F.lit("r"), (F.col("id") % 3).cast("string")).alias("reason"), F.when(F.col("queue_name").isin("cluster", "publisher"), F.col(key) + 1000).alias("subject"))
+    results = queue.filter("status = 'PROCESSING'").select("id", action.alias("action"), F.concat(F.lit("r"), (F.col("id") % 3).cast("string")).alias("reason"), F.when(F.col("queue_name").isin("cluster", "publisher"), F.col(key) + 1000).alias("subject"), F.concat(F.lit("An event with a long title "), F.col(key).cast("string")).alias("title") if key == "event_id" else F.lit(None).cast("string").alias("title"))
     return li.route_results(queue, results, key, en.as_of())
 
 
@@ -114,15 +119,15 @@ _ROUTE_SQL = f"""
   ('analyzer','SUCCESS','COMPLETED','@','cluster','Analyzed Successfully',false), ('analyzer','IRRELEVANT','COMPLETED','@',null,null,false), ('analyzer','ERROR','FAILED','@',null,null,false),
   ('cluster','MERGE','COMPLETED','@','enhancer','From Cluster: @',false), ('cluster','NEW','COMPLETED','@','enhancer','From Cluster: @',false), ('cluster','IGNORED','COMPLETED','@',null,null,false), ('cluster','PROPOSE','COMPLETED','Parked: @',null,null,false), ('cluster','PROPOSE_MULTI','COMPLETED','Parked: @',null,null,false), ('cluster','ERROR','FAILED','@',null,null,false),
   ('enhancer','ENHANCED','COMPLETED','ENHANCED: @','publisher','Enhanced',true), ('enhancer','DEBOUNCED','COMPLETED','DEBOUNCED: @','publisher','Debounced: Volume Update Only',true), ('enhancer','SKIPPED_EMPTY','COMPLETED','SKIPPED_EMPTY: @',null,null,true), ('enhancer','SKIPPED_INACTIVE','COMPLETED','SKIPPED_INACTIVE: @',null,null,true), ('enhancer','ERROR','FAILED','ERROR: @',null,null,false),
-  ('publisher','WAIT','WAITING','@',null,null,false), ('publisher','IGNORE','COMPLETED','@',null,null,true), ('publisher','PUBLISH','COMPLETED','@',null,null,true), ('publisher','MERGE','COMPLETED','@','enhancer','Merged with @',true), ('publisher','PROPOSE','COMPLETED','@',null,null,true), ('publisher','ERROR','FAILED','@',null,null,false)),
+  ('publisher','WAIT','WAITING','@',null,null,false), ('publisher','IGNORE','COMPLETED','@',null,null,true), ('publisher','PUBLISH','COMPLETED','@',null,null,true), ('publisher','MERGE','COMPLETED','@','enhancer','Merged with #',true), ('publisher','PROPOSE','COMPLETED','@',null,null,true), ('publisher','ERROR','FAILED','@',null,null,false)),
 w as (select *, case when status = 'PROCESSING' then {_ACTION_SQL} end as act, 'r' || (id % 3) as reason from jobs),
 x as (select w.*, rt.* from w left join rt on rt.q = w.queue_name and rt.a = w.act),
 o as (select subject_key as k, q, max(struct_pack(c := created_at, i := id)) as b from x where sup group by 1, 2)
 """
-_DONE_SQL = "select id, case when st is not null then st when status = 'PENDING' and created_at <= b.c then 'COMPLETED' else status end as status, case when st is not null then replace(m, '@', reason) when status = 'PENDING' and created_at <= b.c then 'Superseded by Job ' || b.i else msg end as msg, case when st is not null then attempts + 1 else attempts end as attempts from x left join o on o.k = x.subject_key and o.q = x.queue_name"
-_NEXT_SQL = "select case when queue_name in ('cluster', 'publisher') then subject_key + 1000 else subject_key end as subject, nq as queue_name, replace(nm, '@', reason) as msg, id as from_id from x where nq is not null"
+_DONE_SQL = "select id, case when st is not null then st when (status = 'PENDING' or (status = 'WAITING' and queue_name = 'publisher')) and created_at <= b.c then 'COMPLETED' else status end as status, case when st is not null then replace(m, '@', reason) when (status = 'PENDING' or (status = 'WAITING' and queue_name = 'publisher')) and created_at <= b.c then 'Superseded by Job ' || b.i else msg end as msg, case when st is not null then attempts + 1 else attempts end as attempts from x left join o on o.k = x.subject_key and o.q = x.queue_name"
+_NEXT_SQL = "select case when queue_name in ('cluster', 'publisher') then subject_key + 1000 else subject_key end as subject, nq as queue_name, replace(replace(nm, '@', reason), '#', 'An event with a long') as msg, id as from_id from x where nq is not null"
 _ARTICLE_JOBS = ", jobs as (select *, article_id as subject_key from aq)"
-_EVENT_JOBS = ", jobs as (select *, event_id as subject_key from eq)"
+_EVENT_JOBS = ", jobs as (select * replace (case when status = 'PENDING' and id % 3 = 0 then 'WAITING' else status end as status), event_id as subject_key from eq)"
 
 
 @query("q18_article_results_x3", _ARTICLE_JOBS + _ROUTE_SQL + _DONE_SQL, "queue")
@@ -137,12 +142,12 @@ def _(s, d):
 
 @query("q18_event_results_q10", _EVENT_JOBS + _ROUTE_SQL + _DONE_SQL, "queue equeue")
 def _(s, d):
-    return _routed(en.events_queue(s, d), "event_id").queue.select("id", "status", "msg", "attempts")
+    return _routed(_with_waiting(en.events_queue(s, d)), "event_id").queue.select("id", "status", "msg", "attempts")
 
 
 @query("q18_event_next_jobs", _EVENT_JOBS + _ROUTE_SQL + _NEXT_SQL, "queue equeue")
 def _(s, d):
-    return _routed(en.events_queue(s, d), "event_id").next_jobs
+    return _routed(_with_waiting(en.events_queue(s, d)), "event_id").next_jobs
 
 
 @query("r8_merge_work_set", f"select id, last_updated_at from evs where is_active and last_updated_at >= {T} - interval 48 hour and not exists (select 1 from pr where pr.status in ('PENDING', 'PROCESSING') and (pr.source_id = evs.id or pr.target_id = evs.id)) and id not in (select event_id from eq where queue_name = 'enhancer' and status = 'PROCESSING' and id % 4 = 0) and id % 6 <> 0", "events queue equeue proposals")

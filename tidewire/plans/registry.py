@@ -500,7 +500,7 @@ t as (select article_id, list(struct_pack(e := event_id, d := d, rrf := rrf, u :
 x as (select a.id as article_id, published_date as p, c, c[1] as b, c[2] as s from articles a left join t on t.article_id = a.id),
 y as (select *, case when p < timestamp '2024-01-20' - interval 7 day then 'IGNORED' when article_id % 9 = 0 then 'ERROR' when b is null then 'NEW' when b.d > 0.18 then case when b.rrf > 0.05 then 'PROPOSE' else 'NEW' end
   when b.d > 0.05 and b.d < 0.18 then case when b.u > timestamp '2024-01-20' - interval 4 hour and b.n > 10 and b.d < 0.12 then 'MERGE' else 'PROPOSE' end when s is not null and s.d - b.d < 0.05 then 'PROPOSE_MULTI' else 'MERGE' end as decision from x)
-select article_id, decision, case decision when 'PROPOSE_MULTI' then array_to_string(list_transform(list_filter(c, lambda z: z.d < 0.18), lambda z: z.e)[1:3], ',') when 'MERGE' then b.e::varchar when 'PROPOSE' then b.e::varchar end as targets from y"""
+select article_id, decision, case decision when 'PROPOSE_MULTI' then array_to_string(list_transform(list_filter(c[1:3], lambda z: z.d < 0.18), lambda z: z.e), ',') when 'MERGE' then b.e::varchar when 'PROPOSE' then b.e::varchar end as targets from y"""
 
 
 @query("r6_cluster_decision", _R6, "articles events")
@@ -510,11 +510,13 @@ def _(s, d):
     return de.cluster_decision(a.drop("label"), c, F.expr("timestamp_ntz'2024-01-20 00:00:00'")).select("article_id", "decision", F.array_join(F.transform("targets", lambda t: t.cast("string")), ",").alias("targets"))
 
 
-@query("r7_merge_decision", ", p as (select source_id as event_id, target_id as other_id, distance, 1.0::double / (60 + target_id - source_id) as rrf, ['PUBLISHED','DRAFT','ENHANCED','ARCHIVED'][source_id % 4 + 1] as status, ['PUBLISHED','DRAFT','ENHANCED','ARCHIVED'][target_id % 4 + 1] as other_status from pr), x as (select *, case when distance < 0.05 then case when status = 'PUBLISHED' and other_status = 'PUBLISHED' then 'PROPOSE' else 'MERGE' end when distance < 0.13 or (distance < 0.21 and rrf > 0.02) then 'PROPOSE' end as action from p where distance <= 0.08), r as (select *, row_number() over (partition by event_id order by rrf desc, other_id) as rn from x where action is not null) select event_id, other_id, action, case when action = 'MERGE' then case when other_status = 'PUBLISHED' then other_id else event_id end end as survivor from r where rn = 1", "proposals")
+@query("r7_merge_decision", ", p as (select source_id as event_id, target_id as other_id, distance, 1.0::double / (60 + target_id - source_id) as rrf, ['PUBLISHED','DRAFT','ENHANCED','ARCHIVED'][source_id % 4 + 1] as status, ['PUBLISHED','DRAFT','ENHANCED','ARCHIVED'][target_id % 4 + 1] as other_status, case when source_id % 3 = 0 then [] else ['n' || source_id % 2, 'n' || source_id % 5] end as names, case when target_id % 5 = 0 then null else ['n' || target_id % 7] end as other_names from pr), x as (select *, case when distance < 0.05 then case when status = 'PUBLISHED' and other_status = 'PUBLISHED' then 'PROPOSE' else 'MERGE' end when distance < 0.13 or (distance < 0.21 and rrf > 0.02) then 'PROPOSE' end as action from p where distance >= 0.13 or case when len(names) = 0 or other_names is null then distance <= 0.08 else list_has_any(names, other_names) or rrf >= 0.02 end), r as (select *, row_number() over (partition by event_id order by rrf desc, other_id) as rn from x where action is not null) select event_id, other_id, action, case when action = 'MERGE' then case when status = 'PUBLISHED' and other_status <> 'PUBLISHED' then event_id else other_id end end as survivor from r where rn = 1", "proposals")
 def _(s, d):
     st_ = lambda c: en.pick(("PUBLISHED", "DRAFT", "ENHANCED", "ARCHIVED"), F.col(c))
-    none = F.array().cast("array<string>")
-    p = en.proposals(s, d).select(F.col("source_id").alias("event_id"), F.col("target_id").alias("other_id"), "distance", (F.lit(1.0) / (60 + F.col("target_id") - F.col("source_id"))).alias("rrf"), st_("source_id").alias("status"), st_("target_id").alias("other_status"), none.alias("names"), none.alias("other_names"), F.lit(False).alias("blocked"))
+    name = lambda c, n: F.concat(F.lit("n"), (F.col(c) % n).cast("string"))
+    names = F.when(F.col("source_id") % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(name("source_id", 2), name("source_id", 5)))
+    other_names = F.when(F.col("target_id") % 5 != 0, F.array(name("target_id", 7)))
+    p = en.proposals(s, d).select(F.col("source_id").alias("event_id"), F.col("target_id").alias("other_id"), "distance", (F.lit(1.0) / (60 + F.col("target_id") - F.col("source_id"))).alias("rrf"), st_("source_id").alias("status"), st_("target_id").alias("other_status"), names.alias("names"), other_names.alias("other_names"), F.lit(False).alias("blocked"))
     return de.merge_decision(p)
 
 
@@ -541,14 +543,14 @@ c as (select *, (case when ed > 0 then 40 * ln(1 + ed) else 0 end + 100 * ln(1 +
   [case when cb > 0.7 then 'CLICKBAIT_RISK' end, case when imp >= 80 then 'HIGH_IMPACT' end, case when imp <= 30 then 'LOW_IMPACT' end, case when (age < 6 and imp >= 60) or age < 2 then 'BREAKING' end, case when sup > 1 and cri > 1 then 'CONTROVERSIAL' end,
    case when ind >= 2 then 'INDEPENDENT_COVERAGE' end, case when prog and cons then 'CROSS_BUBBLE' end, case when prog and cons and cent then 'FULL_SPECTRUM' end, case when side is not null then 'BLIND_SPOT' end, side] as marks from b),
 d as (select *, list_sort(list_filter(marks, lambda m: m is not null)) as i from c), w as (select *, not (list_contains(i, 'BREAKING') or list_contains(i, 'HIGH_IMPACT') or list_contains(i, 'BLIND_SPOT')) and ac < 2 as waits from d)
-select event_id, round(greatest(0, s), 2)::double as hot_score, array_to_string(i, ',') as insights, case side when 'BS_RIGHT' then 'right' when 'BS_LEFT' then 'left' when 'BS_CENTER' then 'center' end as blind_side, case when waits then 'WAIT' else 'PUBLISH' end as decision, case when waits then 'volume' end as reason from w"""
+select event_id, round(greatest(0, s), 2)::double as hot_score, array_to_string(i, ',') as insights, case side when 'BS_RIGHT' then 'right' when 'BS_LEFT' then 'left' when 'BS_CENTER' then 'center' end as blind_side, case event_id % 11 when 0 then 'WAIT' when 1 then 'MERGE' when 2 then 'PROPOSE' else case when waits then 'WAIT' else 'PUBLISH' end end as decision, case when event_id % 11 < 3 then 'collision' when waits then 'volume' end as reason from w"""
 
 
 @query("r10_spectrum_score_r11", _R10, "newspapers articles")
 def _(s, d):
     a = outlet_articles(s, d)
     g = ru.basics(a).join(a.groupBy("event_id").agg(F.countDistinct("newspaper").alias("n_sources"), F.collect_set("bias").alias("biases"), F.avg("clickbait_score").alias("clickbait"), F.count_if(F.col("stance") >= 0.35).alias("supportive"), F.count_if(F.col("stance") <= -0.35).alias("critical"), F.countDistinct(F.when(F.col("ownership_type") == "independent", F.col("newspaper"))).alias("independent")), "event_id")
-    g = g.withColumns({"created_at": F.col("first_article_date"), "topics": F.array(F.lit("politics")), "ai_impact": (F.col("event_id") * 10).cast("int"), "is_international": F.col("event_id") % 2 == 0, "is_active": F.lit(True), "collision": F.lit(False)})
+    g = g.withColumns({"created_at": F.col("first_article_date"), "topics": F.array(F.lit("politics")), "ai_impact": (F.col("event_id") * 10).cast("int"), "is_international": F.col("event_id") % 2 == 0, "is_active": F.lit(True), "collision": F.get(F.array(F.lit("WAITING"), F.lit("AUTO"), F.lit("PROPOSE")), (F.col("event_id") % 11).cast("int"))})
     return sc.publish_gate(sc.spectrum_score(g, en.as_of()), en.as_of()).select("event_id", "hot_score", F.array_join("insights", ",").alias("insights"), "blind_side", "decision", "reason")
 
 
