@@ -1,6 +1,7 @@
 """Golden and boundary cases of single operators."""
 
 import datetime as dt
+import random
 
 import numpy as np
 import pytest
@@ -328,3 +329,21 @@ def test_chains_of_merged_events_that_do_not_end(spark):
     assert {r.id: r.survivor for r in de.resolve_survivors(e).collect()} == {1: 3, 2: 3, 3: 3, 4: 4}
     with pytest.raises(RuntimeError):
         de.resolve_survivors(spark.createDataFrame([(1, 2), (2, 3), (3, 1)], "id long, merged_into_id long"), depth=3)
+
+
+def test_cover_density_by_trying_all_stretches(spark):
+    """Known ranks, then random texts and queries against every stretch of every text."""
+    known = [('idiot or "of the"', "an idiot spoke", 0.1), ('idiot or "of the"', "end of the day", 0.1), ("of the", "of x x the idiot", 0.1 / 3), ("of the", "of the", 0.1), ("a", "a b a", 0.2), ('"a a"', "a a a", 0.2), ("a b", "a b a", 0.2), ("z", "a", 0.0)]
+    rng = random.Random(2)
+    for q in ["a b", "a b c", '"a b" or c', '"a b a" d or "b b" -c', "a or b or c d", '"a b" b', 'a "c a" or "a a"']:
+        for _ in range(25):
+            words = rng.choices("abcdx", k=rng.randrange(0, 25))
+            query = se.TextQuery.parse(q)
+            at = [{p: [i for i in range(len(words)) if words[i : i + len(p)] == list(p)] for p in {tuple(p) for p in need}} for need, _ in query.alternatives]
+            good = lambda i, j: any(all(any(i <= x and x + len(p) - 1 <= j for x in where) for p, where in a.items()) for a in at)  # noqa: B023, E731
+            covers = [(i, j) for i in range(len(words)) for j in range(i, len(words)) if good(i, j) and not (i < j and (good(i + 1, j) or good(i, j - 1)))]
+            known.append((q, " ".join(words), sum(0.1 / (1 + sum(w not in query.words for w in words[i : j + 1])) for i, j in covers)))
+    rows = spark.createDataFrame([(i, q, t.split()) for i, (q, t, _) in enumerate(known)], "id long, q string, toks array<string>").cache()
+    for q in {k[0] for k in known}:
+        for x in rows.filter(F.col("q") == q).select("id", se.cover_density(F.col("toks"), se.TextQuery.parse(q)).alias("r")).collect():
+            assert x.r == pytest.approx(known[x.id][2]), known[x.id]

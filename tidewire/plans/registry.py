@@ -448,7 +448,8 @@ k as (select qid, id, n from m group by 1, 2, 3 having count(distinct word) = n)
 c as (select m.qid, m.id, m.n, m.p, (select list(word order by word) from w where w.qid = m.qid) as ws, m.word from m join k using (qid, id)),
 l as (select qid, id, n, p, case when n = 1 then p else least(max(case when word = ws[1] then p end) over o, max(case when word = ws[2] then p end) over o) end as first, max(case when word = ws[1] then p end) over o as a, max(case when word = ws[2] then p end) over o as b from c window o as (partition by qid, id order by p)),
 f as (select qid, id, n, first, min(p) as e from l where n = 1 or (a is not null and b is not null) group by 1, 2, 3, 4),
-x as (select qid, id, sum(0.1::double * n / (e - first + 1)) as rank from f group by 1, 2),
+u as (select f.qid, f.id, f.first, f.e, 0.1::double / (1 + (f.e - f.first + 1) - count(*)) as part from f join l on l.qid = f.qid and l.id = f.id and l.p between f.first and f.e group by 1, 2, 3, 4),
+x as (select qid, id, sum(part) as rank from u group by 1, 2),
 y as (select qid, id, row_number() over (partition by qid order by round(rank, 9) desc, id) as r from x qualify r <= 50),
 z as (select coalesce(n.qid, y.qid) as qid, coalesce(n.id, y.id) as id, n.r as nr, y.r as wr, dist from n full join y on n.qid = y.qid and n.id = y.id),
 g as (select z.qid, z.id, (coalesce(1.0::double / (60 + nr), 0) + coalesce(1.0::double / (60 + wr), 0)) / (1 + 0.05::double * abs(epoch(t) - epoch(last_updated_at)) / 3600) as score, coalesce(dist, 1) as dist from z join live on live.id = z.id join q on q.qid = z.qid)
@@ -475,7 +476,7 @@ def _(s, d):
     return se.text_search(x, se.TextQuery.parse("idiot -les or clown")).select("id")
 
 
-_R4 = ", x as (select evs.id, last_updated_at, " + _TOKS + " as t from evs join documents d on d.doc_id = evs.id), m as (select * from x where list_contains(t, 'idiot') or (list_contains(t, 'the') and len(list_filter(range(1, len(t)), lambda i: t[i] = 'of' and t[i + 1] = 'the')) > 0)), h as (select id, unnest(t) as w, generate_subscripts(t, 1) as p from m), l as (select id, p, max(case when w = 'idiot' then p end) over o as a, max(case when w = 'of' then p end) over o as b, max(case when w = 'the' then p end) over o as c from h where w in ('idiot', 'of', 'the') window o as (partition by id order by p)), f as (select id, least(a, b, c) as s, min(p) as e from l where a is not null and b is not null and c is not null group by 1, 2), r as (select id, sum(0.1::double * 3 / (e - s + 1)) as rank from f group by 1) select m.id, round(coalesce(rank, 0), 6) as text_rank from m left join r using (id)"
+_R4 = ", x as (select evs.id, last_updated_at, " + _TOKS + " as t from evs join documents d on d.doc_id = evs.id), m as (select * from x where list_contains(t, 'idiot') or (list_contains(t, 'the') and len(list_filter(range(1, len(t)), lambda i: t[i] = 'of' and t[i + 1] = 'the')) > 0)), r as (select id, 0.1::double * (len(list_filter(t, lambda w: w = 'idiot')) + len(list_filter(range(1, len(t)), lambda i: t[i] = 'of' and t[i + 1] = 'the'))) as rank from m) select m.id, round(coalesce(rank, 0), 6) as text_rank from m left join r using (id)"
 
 
 @query("r4_cover_density", _R4, "events")
