@@ -492,7 +492,7 @@ def _(s, d):
 
 @query("r28_duplicates")
 def _(s, d):
-    e = _searched(s, d).withColumn("toks", F.slice("toks", 1, 3))
+    e = _searched(s, d)
     return se.find_duplicates(e, e.filter("id % 20 = 0")).select("qid", "id", F.round("rrf_score", 6).alias("rrf_score"))
 
 
