@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from tidewire.functions import text as tx
 from tidewire.operators import desk as dk
 from tidewire.operators import lifecycle as li
+from tidewire.operators import search as se
+from tidewire.operators import sequence as sq
 from tidewire.plans.base import T, query
 from tidewire.sources import entities as en
 
@@ -200,3 +202,18 @@ def _(s, d):
 def _(s, d):
     e = en.events(s, d).withColumns({"first_article_date": F.col("created_at"), "last_article_date": F.col("created_at"), "best_source_rank": F.lit(None).cast("long"), "editorial_score": F.col("hot_score"), "search_text": F.lit("old")})
     return li.link_articles(e, _linked(s, d), en.as_of()).select("id", "article_count", "first_article_date", "last_article_date", "best_source_rank", F.round("editorial_score", 6).alias("editorial_score"), "last_updated_at")
+
+
+@query("r6_r17_sequence")
+def _(s, d):
+    """All articles, four at a time about one vector that is mixed with the next by one of five weights, in sequence."""
+    v = en.table(s, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    n = v.count()
+    topic = F.floor(F.col("id") / 4) % n
+    a = en.articles(s, d).withColumns({"_a": topic, "_b": (topic + 1) % n, "_w": F.element_at(F.array(*map(F.lit, (0.0, 0.2, 0.4, 0.6, 1.5))), (F.col("id") % 5 + 1).cast("int"))})
+    a = a.join(v.select(F.col("vec_id").alias("_a"), F.col("v").alias("va")), "_a").join(v.select(F.col("vec_id").alias("_b"), F.col("v").alias("vb")), "_b")
+    a = a.select("id", (F.col("published_date") + F.expr("make_dt_interval(0, cast(id % 3 as int))")).alias("at"), "published_date", F.zip_with("va", "vb", lambda x, y: 0.95 * x + F.col("_w") * y).alias("embedding"), se.tokens(F.col("title")).alias("words"), (F.col("id") + 1_000_000_000).alias("new_id"))
+    texts = en.table(s, d, "documents").select(F.col("doc_id").alias("id"), se.tokens(F.substring("text", 1, 60)).alias("words"))
+    e = en.events(s, d).join(texts, "id", "left")
+    done = sq.cluster_in_sequence(a, e, block_days=31)
+    return done.decisions.select("id", "decision", F.array_join(F.transform("targets", lambda t: t.cast("string")), ",").alias("targets"), "event_id")
