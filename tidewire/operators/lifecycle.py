@@ -250,7 +250,7 @@ def execute_merges(events: DataFrame, articles: DataFrame, proposals: DataFrame,
 
 
 def new_events(articles: DataFrame, as_of: Column, new_id: Column | None = None) -> DataFrame:
-    """An event for each article with a vector: id, title, centroid, dates, rank, score and search text from it.
+    """An event for each article with a vector: id, title, centroid, dates, rank, score and whole search text from it.
 
     ``articles``: id, title, published_date, source_rank, embedding, search_text (see functions.text.search_query).
     """
@@ -258,7 +258,7 @@ def new_events(articles: DataFrame, as_of: Column, new_id: Column | None = None)
     return articles.filter(F.size("embedding") > 0).select(
         (F.xxhash64("id") if new_id is None else new_id).alias("id"), F.col("id").alias("article_id"), "title", F.col("embedding").alias("centroid"), F.lit(1).cast("long").alias("article_count"), F.lit(True).alias("is_active"),
         F.coalesce("published_date", as_of).alias("created_at"), as_of.alias("last_updated_at"), F.col("published_date").alias("first_article_date"), F.col("published_date").alias("last_article_date"),
-        rank.alias("best_source_rank"), F.coalesce(F.lit(10.0) / rank, F.lit(0.0)).alias("editorial_score"), F.array_join(last_unique_words(F.split("search_text", " +", -1)), " ").alias("search_text"),
+        rank.alias("best_source_rank"), F.coalesce(F.lit(10.0) / rank, F.lit(0.0)).alias("editorial_score"), "search_text",
     )
 
 
@@ -266,17 +266,19 @@ def link_articles(events: DataFrame, articles: DataFrame, as_of: Column) -> Data
     """Events after the articles (event_id, id, published_date, source_rank, search_text) joined them, oldest first.
 
     Counts, dates, rank, score and search text move on; centroids and maps are rolled up apart. The newest 100 words
-    of the search text stay, so only the last 100 articles of an event can add any.
+    of the search text stay, each at its newest place among all articles; a null date is older than any other.
     """
     rank = F.nullif(F.col("source_rank"), F.lit(0))
-    newest = W.partitionBy("event_id").orderBy(F.desc_nulls_last("published_date"), F.desc("id"))
-    a = articles.withColumn("_rn", F.row_number().over(newest))
-    new = a.groupBy(F.col("event_id").alias("id")).agg(
+    # A word's newest place is found per event and word, so that no group holds more than the words that stay.
+    each = articles.select("event_id", "published_date", "id", F.posexplode(F.split("search_text", " +", -1)).alias("p", "word")).filter("word <> ''")
+    last = each.groupBy("event_id", "word").agg(F.max(F.struct("published_date", "id", "p")).alias("at"))
+    kept = last.withColumn("_rn", F.row_number().over(W.partitionBy("event_id").orderBy(F.desc("at")))).filter("_rn <= 100")
+    texts = kept.groupBy(F.col("event_id").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda x: x["word"]).alias("_texts"))
+    new = articles.groupBy(F.col("event_id").alias("id")).agg(
         F.count("*").alias("_n"), F.min("published_date").alias("_first"), F.max("published_date").alias("_last"), F.min(rank).alias("_rank"), F.coalesce(F.sum(F.lit(10.0) / rank), F.lit(0.0)).alias("_score"),
-        F.array_sort(F.collect_list(F.when(F.col("_rn") <= 100, F.struct((-F.col("_rn")).alias("k"), F.col("search_text").alias("t"))))).alias("_texts"),
     )
-    e = events.join(new, "id", "left")
-    words = F.filter(F.split(F.concat_ws(" ", F.coalesce("search_text", F.lit("")), F.array_join(F.transform("_texts", lambda x: x["t"]), " ")), " +", -1), lambda w: w != "")
+    e = events.join(new, "id", "left").join(texts, "id", "left").withColumn("_texts", F.coalesce("_texts", F.array().cast("array<string>")))
+    words = F.filter(F.split(F.concat_ws(" ", F.coalesce("search_text", F.lit("")), F.array_join("_texts", " ")), " +", -1), lambda w: w != "")
     values = {
         "article_count": F.coalesce("article_count", F.lit(0)) + F.col("_n"), "first_article_date": F.least("first_article_date", "_first"), "last_article_date": F.greatest("last_article_date", "_last"),
         "best_source_rank": F.least("best_source_rank", "_rank"), "editorial_score": F.coalesce("editorial_score", F.lit(0.0)) + F.col("_score"), "search_text": F.array_join(last_unique_words(words), " "), "last_updated_at": as_of,

@@ -185,15 +185,12 @@ def _(s, d):
     return _merged(s, d).queue.select("id", "status", "msg")
 
 
-_LAST_WORDS = "array_to_string(list_reverse(list_transform(list_filter(list_zip(list_reverse(w), range(1, len(w) + 1)), lambda p: not list_contains(list_reverse(w)[1:p[2] - 1], p[1])), lambda p: p[1])[1:100]), ' ')"
-
-
 def _linked(s, d):
     a = en.articles(s, d)
     return a.select("id", "event_id", "title", "published_date", "source_rank", F.array(F.lit(1.0)).alias("embedding"), tx.search_query(F.col("lang"), F.col("main_topics"), F.array("newspaper")).alias("search_text"))
 
 
-@query("r17_new_events", f"select id + 1000000 as id, id as article_id, title, 1::bigint as article_count, coalesce(published_date, {T}) as created_at, source_rank as best_source_rank, coalesce(10.0::double / source_rank, 0) as editorial_score, {_LAST_WORDS} as search_text from (select *, string_split(lang || ' ' || lang || ' ' || newspaper || ' ' || newspaper, ' ') as w from articles where newspaper is not null)", "articles")
+@query("r17_new_events", f"select id + 1000000 as id, id as article_id, title, 1::bigint as article_count, coalesce(published_date, {T}) as created_at, source_rank as best_source_rank, coalesce(10.0::double / source_rank, 0) as editorial_score, lang || ' ' || lang || ' ' || newspaper || ' ' || newspaper as search_text from articles where newspaper is not null", "articles")
 def _(s, d):
     return li.new_events(_linked(s, d).filter("search_text like '% src%'"), en.as_of(), F.col("id") + 1_000_000).select("id", "article_id", "title", "article_count", "created_at", "best_source_rank", "editorial_score", "search_text")
 
