@@ -1,12 +1,16 @@
 """Golden and boundary cases of single operators."""
 
 import datetime as dt
+import math
 import random
+from dataclasses import replace
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidewire.config import DEFAULTS
 from tidewire.functions import text as tx
 from tidewire.operators import decisions as de
 from tidewire.operators import desk as dk
@@ -18,6 +22,7 @@ from tidewire.operators import search as se
 from tidewire.operators.analytics import histogram
 from tidewire.operators.components import components
 from tidewire.operators.split import apply_split, split_events
+from tidewire.plans import registry
 from tidewire.sources import backup as ba
 from tidewire.sources import harvest as ha
 from tidewire.streaming import streams as st
@@ -347,3 +352,8 @@ def test_cover_density_by_trying_all_stretches(spark):
     for q in {k[0] for k in known}:
         for x in rows.filter(F.col("q") == q).select("id", se.cover_density(F.col("toks"), se.TextQuery.parse(q)).alias("r")).collect():
             assert x.r == pytest.approx(known[x.id][2]), known[x.id]
+
+
+def test_candidates_are_ranked_before_they_meet_articles(spark, sf):
+    c = registry._r6_candidates(spark, sf)
+    assert max(r["count"] for r in c.groupBy("article_id").count().collect()) <= DEFAULTS.search_limit
