@@ -357,3 +357,17 @@ def test_cover_density_by_trying_all_stretches(spark):
 def test_candidates_are_ranked_before_they_meet_articles(spark, sf):
     c = registry._r6_candidates(spark, sf)
     assert max(r["count"] for r in c.groupBy("article_id").count().collect()) <= DEFAULTS.search_limit
+
+
+def test_articles_without_newspaper_found_events(spark, tmp_path, sf):
+    for t in ("documents", "embeddings"):
+        x = spark.read.parquet(f"{sf}/{t}.parquet")
+        (x.withColumn("source", F.when(F.col("doc_id") % 3 != 0, F.col("source"))) if t == "documents" else x).write.parquet(f"{tmp_path}/{t}.parquet")
+    got = {r.article_id: r.search_text for r in registry.QUERIES["r17_new_events"](spark, str(tmp_path)).collect()}
+    assert len(got) == spark.read.parquet(f"{sf}/documents.parquet").count()
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    cur = con.execute(registry.ORACLE_SQL["r17_new_events"])
+    at = [c[0] for c in cur.description]
+    assert got == {r[at.index("article_id")]: r[at.index("search_text")] for r in cur.fetchall()}

@@ -190,9 +190,9 @@ def _linked(s, d):
     return a.select("id", "event_id", "title", "published_date", "source_rank", F.array(F.lit(1.0)).alias("embedding"), tx.search_query(F.col("lang"), F.col("main_topics"), F.array("newspaper")).alias("search_text"))
 
 
-@query("r17_new_events", f"select id + 1000000 as id, id as article_id, title, 1::bigint as article_count, coalesce(published_date, {T}) as created_at, source_rank as best_source_rank, coalesce(10.0::double / source_rank, 0) as editorial_score, lang || ' ' || lang || ' ' || newspaper || ' ' || newspaper as search_text from articles where newspaper is not null", "articles")
+@query("r17_new_events", f"select id + 1000000 as id, id as article_id, title, 1::bigint as article_count, coalesce(published_date, {T}) as created_at, source_rank as best_source_rank, coalesce(10.0::double / source_rank, 0) as editorial_score, concat_ws(' ', lang, concat_ws(' ', lang, newspaper), coalesce(newspaper, '')) as search_text from articles", "articles")
 def _(s, d):
-    return li.new_events(_linked(s, d).filter("search_text like '% src%'"), en.as_of(), F.col("id") + 1_000_000).select("id", "article_id", "title", "article_count", "created_at", "best_source_rank", "editorial_score", "search_text")
+    return li.new_events(_linked(s, d), en.as_of(), F.col("id") + 1_000_000).select("id", "article_id", "title", "article_count", "created_at", "best_source_rank", "editorial_score", "search_text")
 
 
 @query("r17_linked_articles", f", r as (select event_id, count(*) as n, min(published_date) as f, max(published_date) as l, min(source_rank) as rank, coalesce(sum(10.0::double / source_rank), 0) as score from articles group by 1) select id, article_count + coalesce(n, 0) as article_count, least(created_at, f) as first_article_date, case when n is null then created_at else greatest(created_at, l) end as last_article_date, rank as best_source_rank, round(hot_score + coalesce(score, 0), 6) as editorial_score, case when n is null then last_updated_at else {T} end as last_updated_at from evs left join r on event_id = id", "articles events")
