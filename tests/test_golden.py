@@ -354,6 +354,38 @@ def test_cover_density_by_trying_all_stretches(spark):
             assert x.r == pytest.approx(known[x.id][2]), known[x.id]
 
 
+def test_blocks_find_what_pairs_find(spark):
+    rng = random.Random(3)
+    day, words = NOW.replace(tzinfo=None), "abcdefgh"
+    events = [(i, [rng.choice((0.0, 1.0, 2.0)) for _ in range(3)], [rng.choice(words) for _ in range(rng.randrange(9))], day + dt.timedelta(hours=rng.randrange(200)), rng.random() < 0.9) for i in range(150)]
+    queries = [(q, rng.sample(words, rng.randrange(4)) if q % 7 else [events[q][2][0] if events[q][2] else "a"] * 2, events[q][1] if q % 5 else None, day + dt.timedelta(hours=rng.randrange(200))) for q in range(40)]
+    e = spark.createDataFrame(events, "id long, centroid array<double>, toks array<string>, created_at timestamp_ntz, is_active boolean").withColumn("last_updated_at", F.col("created_at"))
+    q = spark.createDataFrame(queries, "qid long, words array<string>, vector array<double>, target timestamp_ntz")
+    s = replace(DEFAULTS, rrf_depth=4)
+    near, worded, want = {}, {}, {}
+    for qid, asked, v, t in queries:
+        there = [x for x in events if x[4] and t - dt.timedelta(days=5) <= x[3] <= t]
+        dist = {x[0]: 1 - sum(a * b for a, b in zip(v, x[1])) / (math.hypot(*v) * math.hypot(*x[1])) for x in there if v and any(v) and any(x[1])}
+        near[qid] = sorted(dist, key=lambda i: (round(dist[i], 9), i))[:4]
+        rank = {x[0]: covers(x[2], set(asked)) for x in there if asked and set(asked) <= set(x[2])}
+        worded[qid] = sorted(rank, key=lambda i: (-round(rank[i], 9), i))[:4]
+        score = {i: sum(1 / (61 + side.index(i)) for side in (near[qid], worded[qid]) if i in side) / (1 + 0.05 * abs((t - events[i][3]).total_seconds()) / 3600) for i in {*near[qid], *worded[qid]}}
+        want[qid] = sorted(score, key=lambda i: (-round(score[i], 9), i))[:10]
+    got = {}
+    for r in sorted(se.hybrid_search_many(q, e, s).collect(), key=lambda r: (r.qid, -round(r.rrf_score, 9), r.id)):
+        got.setdefault(r.qid, []).append(r.id)
+    assert got == {k: v for k, v in want.items() if v}
+    # No query takes more than its best events out of a block, however many there are.
+    assert max(r["count"] for r in se.worded_events(q, e, 4, 0).groupBy("qid").count().collect()) <= 4
+
+
+def covers(toks, asked, weight=0.1):
+    places = [i for i, w in enumerate(toks) if w in asked]
+    spans = [(a, b) for a in places for b in places if a <= b and asked <= set(toks[a : b + 1])]
+    shortest = [(a, b) for a, b in spans if not any((c, d) != (a, b) and a <= c and d <= b for c, d in spans)]
+    return sum(weight / (1 + (b - a + 1) - sum(a <= p <= b for p in places)) for a, b in shortest)
+
+
 def test_candidates_are_ranked_before_they_meet_articles(spark, sf):
     c = registry._r6_candidates(spark, sf)
     assert max(r["count"] for r in c.groupBy("article_id").count().collect()) <= DEFAULTS.search_limit
