@@ -386,6 +386,18 @@ def covers(toks, asked, weight=0.1):
     return sum(weight / (1 + (b - a + 1) - sum(a <= p <= b for p in places)) for a, b in shortest)
 
 
+def test_words_told_before_texts_are_split(spark):
+    texts = ["The idiot!", "idiots les", "Clown", "les clown, \u00e9t\u00e9 \U0001f600x-A1", "", None, "of--THE", "oft he", "\x00a\x7fb  ", "of a the"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    old = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(se.WORD), F.lit(0))
+    assert df.filter(~old.eqNullSafe(se.tokens(F.col("text")))).count() == 0
+    for text, may in (("idiot -les or clown", {0, 1, 2, 3}), ('idiot or "of the"', {0, 1, 6, 9}), ("", set())):
+        q = se.TextQuery.parse(text)
+        assert {r.id for r in df.filter(q.may_match(F.col("text"))).collect()} == may
+        hits = {r.id for r in se.text_search(df.withColumn("toks", se.tokens(F.col("text"))), q).collect()}
+        assert hits <= may
+
+
 def test_candidates_are_ranked_before_they_meet_articles(spark, sf):
     c = registry._r6_candidates(spark, sf)
     assert max(r["count"] for r in c.groupBy("article_id").count().collect()) <= DEFAULTS.search_limit
