@@ -494,3 +494,25 @@ def test_pipeline_stages_brute_force_null_and_repeated_ids(spark, tmp_path):
         assert sum(r.taken for r in mix if r.source == s) == int(t + 1e-9)
     for stage in (corpus_pipeline.quality_stage, corpus_pipeline.exact_stage, corpus_pipeline.near_stage, corpus_pipeline.benchmark_stage, corpus_pipeline.mixing_stage):
         assert stage(spark, rows.limit(0), str(tmp_path)).count() == 0
+
+
+def test_few_edges_run_in_few_tasks(spark):
+    """However many partitions shuffles have, a small graph is not dealt out over all of them, and its components are whole."""
+    from tidewire.llm import graph
+    from tidewire.llm.common import Scratch
+
+    held = {"spark.sql.shuffle.partitions": "48", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in held}
+    scratch = Scratch(spark, "few")
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        links = spark.range(600).selectExpr("id + id div 20 as a", "id + id div 20 + 1 as b")
+        edges = graph.star_edges(links, scratch)
+        assert len(edges.inputFiles()) <= spark.sparkContext.defaultParallelism
+        got = {r.node: r.component for r in graph.labels(edges).collect()}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+        scratch.clear()
+    assert got == {n: n - n % 21 for n in range(630)}

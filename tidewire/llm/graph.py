@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 from tidewire.llm.common import Scratch
 
 
-def _star(edges: DataFrame, small: bool) -> DataFrame:
+#: Edges that are worth a task of their own.
+EDGES_PER_TASK = 50_000
+
+
+def _star(edges: DataFrame, small: bool, tasks: int) -> DataFrame:
     """Hook neighbours to the smallest one: all larger neighbours (large star) or all smaller ones (small star)."""
     both = edges if small else edges.unionByName(edges.select(F.col("lo").alias("hi"), F.col("hi").alias("lo")))
     # ``hi`` is the centre, ``lo`` its neighbour.
@@ -18,7 +22,7 @@ def _star(edges: DataFrame, small: bool) -> DataFrame:
         out = joined.select(F.col("lo").alias("hi"), F.col("m").alias("lo")).unionByName(least.select(F.col("c").alias("hi"), F.col("m").alias("lo")))
     else:
         out = joined.filter(F.col("lo") > F.col("hi")).select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-    return out.filter(F.col("hi") > F.col("lo"))
+    return out.filter(F.col("hi") > F.col("lo")).coalesce(tasks)
 
 
 def star_edges(links: DataFrame, scratch: Scratch, rounds: int | None = None, max_rounds: int = 60) -> DataFrame:
@@ -26,14 +30,16 @@ def star_edges(links: DataFrame, scratch: Scratch, rounds: int | None = None, ma
 
     Without ``rounds`` they go on until nothing changes: then every node has one edge, to the smallest of its
     component. Each round is written to ``scratch``, so the plan stays short and a lost executor costs a re-read; the
-    number of rounds grows with the logarithm of a component's size.
+    number of rounds grows with the logarithm of a component's size. Few edges run in few tasks: a round has some eight
+    stages, whose tasks would else cost more than the edges, however few these are.
     """
-    edges = links.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).filter("hi > lo").distinct()
+    tasks = max(links.sparkSession.sparkContext.defaultParallelism, -(-links.count() // EDGES_PER_TASK))
+    edges = links.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).filter("hi > lo").coalesce(tasks).distinct().coalesce(tasks)
     before = None
     for _ in range(max_rounds if rounds is None else rounds):
         # Sums of hashes, taken as the rows are written, tell whether two rounds hold the same edges.
         seen = Observation()
-        step = _star(_star(edges, small=False), small=True).distinct()
+        step = _star(_star(edges, False, tasks), True, tasks).distinct().coalesce(tasks)
         edges = scratch.write(step.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)")).alias("h")), "edges")
         now = (seen.get["n"], seen.get["h"])
         if now == before:

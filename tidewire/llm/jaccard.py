@@ -33,6 +33,8 @@ BINS = 256
 FULL = 32767
 #: Posting lists of more members carry the suffix filter's counts into their join.
 LONG_LIST = 64
+#: Postings whose pairs are worth a task of their own, and tasks per core at least.
+POSTINGS_PER_TASK, TASKS_PER_CORE = 20_000, 8
 
 
 def _doc_sets(column, k: int) -> Iterator[np.ndarray]:
@@ -210,18 +212,19 @@ def _list_pairs(left: DataFrame, right: DataFrame, percent: int, ordered: bool,
     return left.join(r, met).select(F.least("doc", "doc_r").alias("a"), F.greatest("doc", "doc_r").alias("b"))
 
 
-def _filtered_pairs(work: DataFrame, other: DataFrame, meta: DataFrame, percent: int, complete: bool) -> DataFrame:
+def _filtered_pairs(work: DataFrame, other: DataFrame, meta: DataFrame, percent: int, complete: bool, tasks: int) -> DataFrame:
     """The pairs of all posting lists that pass the three filters, each once.
 
     Lists are paired on narrow rows and the suffix filter follows. Only where long lists are paired completely do they
-    carry its counts into the join, so that their many pairs never leave it.
+    carry its counts into the join, so that their many pairs never leave it. A join that Spark splits into very many
+    small pieces goes on in ``tasks`` tasks.
     """
     if complete:
         bins = meta.select(F.col("doc").alias("bd"), "bins")
         long_ = work.filter(F.col("size") > LONG_LIST).join(bins, F.col("doc") == F.col("bd")).drop("bd")
-        at_once = _list_pairs(long_, long_, percent, True, bins=True)
+        at_once = _list_pairs(long_, long_, percent, True, bins=True).coalesce(tasks)
         work = other = work.filter(F.col("size") <= LONG_LIST)
-    pairs = _list_pairs(work, other, percent, complete, bins=False).distinct()
+    pairs = _list_pairs(work, other, percent, complete, bins=False).coalesce(tasks).distinct()
     a, b = (meta.select(*[F.col(c).alias(f"{c}_{s}") for c in ("doc", "n", "bins")]) for s in "ab")
     pairs = pairs.join(a, F.col("a") == F.col("doc_a")).join(b, F.col("b") == F.col("doc_b"))
     pairs = pairs.filter(_shared_at_most(F.col("bins_a"), F.col("bins_b")) >= _least_overlap(F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
@@ -264,6 +267,7 @@ def near_links(docs: DataFrame, sets: DataFrame, k: int, percent: int, rarity_bi
     n_live = work.count()
     if not n_live:
         return None
+    tasks = max(TASKS_PER_CORE * spark.sparkContext.defaultParallelism, -(-n_live // POSTINGS_PER_TASK))
 
     edges = None
     open_pairs, before, step = float("inf"), float("inf"), 0
@@ -271,7 +275,7 @@ def near_links(docs: DataFrame, sets: DataFrame, k: int, percent: int, rarity_bi
         # Few pairs, or hubs no longer draw components together: what is left is paired completely.
         complete = step > 0 and (open_pairs <= 4 * n_live or open_pairs > before / 2)
         other = work if complete else _hubs(work, step)
-        pairs = _filtered_pairs(work, other, meta, percent, complete)
+        pairs = _filtered_pairs(work, other, meta, percent, complete, tasks)
         now = Scratch(spark, "round", scratch)
         checked = Scratch(spark, "checked", now)
         found = now.write(_verified(docs, pairs, k, percent, id_col, text_col, checked), "links")
