@@ -516,3 +516,45 @@ def test_few_edges_run_in_few_tasks(spark):
             spark.conf.set(k, v)
         scratch.clear()
     assert got == {n: n - n % 21 for n in range(630)}
+
+
+def test_pipeline_gives_python_few_texts_at_once(spark, tmp_path):
+    """A task's texts don't lie in the executor and its Python worker as one batch; run() puts the session's setting back."""
+    import corpus_pipeline
+    import pyarrow as pa
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], names=["n"])
+
+    old = spark.conf.get(corpus_pipeline.BATCH_SETTING)
+    docs = documents(spark, [(i, f"w{i} " * 30) for i in range(2500)]).coalesce(1)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "none of it")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for stage in (corpus_pipeline.quality_stage, corpus_pipeline.near_stage, corpus_pipeline.benchmark_stage):
+        try:
+            stage(spark, docs, str(tmp_path))
+            assert max(r.n for r in docs.coalesce(1).mapInArrow(sizes, "n long").collect()) <= 1000, stage.__name__
+            spark.conf.set(corpus_pipeline.BATCH_SETTING, 7)
+            stage(spark, docs, str(tmp_path))
+            assert spark.conf.get(corpus_pipeline.BATCH_SETTING) == "7"
+        finally:
+            spark.conf.set(corpus_pipeline.BATCH_SETTING, old)
+    corpus_pipeline.run(spark, str(tmp_path)).count()
+    assert spark.conf.get(corpus_pipeline.BATCH_SETTING) == old
+
+
+def test_hashing_keeps_few_powers_and_slices_do_not_matter():
+    import numpy as np
+    import pyarrow as pa
+
+    from tidewire.llm import arrowtext as at
+
+    texts = [f"a{i} b{i} shared words of all " * 40 for i in range(900)] + ["long " * 120_000]
+    parts = [(at.Words(data, offsets, at.SPACED), len(data)) for _, data, offsets in at.slices(pa.array(texts))]
+    assert max(n for _, n in parts[:-1]) <= 1 << 18 and len(parts) > 2
+    one = at.Words(*at.buffers(pa.array(texts)), at.SPACED)
+    assert np.array_equal(np.concatenate([w.hash for w, _ in parts]), one.hash)
+    at._Powers.up = at._Powers.down = np.ones(1, np.uint64)
+    assert sum(x.nbytes for x in at._Powers.get(100)) <= 8 << 20

@@ -2,7 +2,8 @@
 
 A whole slice of a batch is tokenised at once on its UTF-8 bytes: byte classes give the word bounds, prefix sums of
 a polynomial give each word's 64-bit hash. Words never cross documents. A slice holds about ``SLICE_BYTES`` of text
-(one longer document makes a slice of its own), so memory does not depend on the batch size.
+(one longer document makes a slice of its own), so memory does not depend on the batch size. Hashing takes some 60
+bytes for each byte of a slice, and a worker keeps 32 more for the powers.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 _U = np.uint64
 _POW, _INV = _U(0x9E3779B97F4A7C15), _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
