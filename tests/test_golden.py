@@ -3,6 +3,7 @@
 import datetime as dt
 import math
 import random
+from collections import Counter
 from dataclasses import replace
 
 import duckdb
@@ -415,3 +416,27 @@ def test_articles_without_newspaper_found_events(spark, tmp_path, sf):
     cur = con.execute(registry.ORACLE_SQL["r17_new_events"])
     at = [c[0] for c in cur.description]
     assert got == {r[at.index("article_id")]: r[at.index("search_text")] for r in cur.fetchall()}
+
+
+def test_window_pairs_are_whole_and_written_small(spark, tmp_path):
+    moment = lambda c, p: F.expr(f"timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, cast({c} * {p} % 864000 as int))")
+    q = spark.range(3000).select(F.col("id").alias("qid"), moment("id", 43 * 60).alias("target"))
+    e = spark.range(2000).select("id", moment("id", 83 * 60).alias("created_at"))
+    se.candidates_by_day(q, e, 5).select("qid", "id").write.parquet(f"{tmp_path}/pairs")
+    found = spark.read.parquet(f"{tmp_path}/pairs")
+    plain = q.join(e, (F.col("created_at") <= F.col("target")) & (F.col("created_at") >= F.col("target") - F.expr("make_dt_interval(5)"))).select("qid", "id")
+    digest = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("qid", "id").cast("decimal(38,0)"))).first()
+    assert digest(found) == digest(plain) and digest(found)[0] > 1_000_000
+    assert sum(p.stat().st_size for p in (tmp_path / "pairs").glob("*.parquet")) < 0.5 * digest(found)[0]
+
+
+def test_window_pairs_at_the_edges_of_blocks_and_windows(spark):
+    t, us = dt.datetime(2024, 1, 10), dt.timedelta(microseconds=1)
+    at = [t + dt.timedelta(days=d) + k * us for d in (-6, -5, -2, 0) for k in (-1, 0, 1)]
+    events = [*enumerate(at), (3, at[3]), (50, None), (None, at[5]), *((100 + i, t - dt.timedelta(days=2)) for i in range(40))]
+    queries = [(0, t), (1, t - us), (2, t + us), (2, t + us), (3, None), (4, t + dt.timedelta(days=4)), (5, t - dt.timedelta(days=9)), *((10 + i, t) for i in range(20))]
+    want = Counter((q, e) for q, a in queries for e, c in events if a and c and a - dt.timedelta(days=5) <= c <= a)
+    q, e = spark.createDataFrame(queries, "qid long, target timestamp_ntz"), spark.createDataFrame(events, "id long, created_at timestamp_ntz")
+    for how in ({}, {"rows": (7, 30), "step": 11, "per_task": 100}, {"rows": (1, 1), "step": 1}):
+        assert Counter((r["qid"], r["id"]) for r in se.candidates_by_day(q, e, 5, **how).collect()) == want
+    assert se.candidates_by_day(q.filter("false"), e, 5).count() == se.candidates_by_day(q, e.filter("false"), 5).count() == 0
